@@ -1,0 +1,9 @@
+"""Registered queries over the driver's tables; importing this package fills the registry."""
+
+import importlib
+
+MODULES = ["q_criteria"]
+for _module in MODULES:
+    importlib.import_module(f"{__name__}.{_module}")
+
+from .registry import ORACLES, QUERIES  # noqa: E402,F401
