@@ -261,6 +261,29 @@ def screen(df: DataFrame, p: dict) -> DataFrame:
     return df.drop(*named, "_aside")
 
 
+def keep_bucket(df: DataFrame, p: dict, bucket: str) -> DataFrame:
+    """Only the rows of one bucket (in or aside), with title_hits and unknown_on.
+
+    The same rows ``screen`` would mark, but written as one condition per
+    criterion, so each is pushed towards the scan by itself.
+    """
+    policy = {key: p["unknowns"].get(key, "include") for key in CRITERIA}
+    asked = verdicts(p)
+    for key, v in asked.items():
+        df = df.where(F.coalesce(v, F.lit(policy[key] != "exclude")))
+    silent = [v.isNull() for key, v in asked.items() if policy[key] == "separate"]
+    if bucket == "in":
+        for s in silent:
+            df = df.where(~s)
+    else:
+        any_silent = F.lit(False)
+        for s in silent:
+            any_silent = any_silent | s
+        df = df.where(any_silent)
+    unknown = _keys((k, v.isNull()) for k, v in asked.items() if policy[k] != "exclude")
+    return df.withColumns({"title_hits": term_hits(col("title_folded"), p["title_keywords"]), "unknown_on": unknown})
+
+
 def classify(p: dict) -> Column:
     """in / aside / out straight from the verdicts, without the failed list."""
     out, aside = F.lit(False), F.lit(False)

@@ -59,6 +59,10 @@ def dimensions(p: dict) -> list[tuple[str, str | None, Column]]:
     ]
 
 
+def _labelled(dim: str):
+    return lambda v: F.struct(F.lit(dim).alias("dim"), v.alias("value"))
+
+
 LIST_DIMENSIONS = {"metro", "age_band", "country", "skill"}
 # Dimensions shown in a fixed order; all others by count.
 ORDERS = {
@@ -74,20 +78,17 @@ def facet_counts(screened: DataFrame, p: dict) -> DataFrame:
     One pass: each row emits its (dim, value) pairs and counts are combined in
     the map tasks, so the shuffle carries distinct values, not rows.
     """
-    failed = F.try_element_at("failed", F.lit(1))
+    # Rows with two failures emit nothing here instead of being filtered first: a filter
+    # over every criterion at once costs the optimizer far more than it saves the scan.
+    screened = screened.withColumns({
+        "_none": F.size("failed") == 0, "_only": F.when(F.size("failed") == 1, F.try_element_at("failed", F.lit(1)))})
     pairs = []
     for dim, criterion, value in dimensions(p):
-        counts = F.size("failed") == 0
-        if criterion is not None:
-            counts = counts | F.coalesce(failed == criterion, F.lit(False))
-        if dim in LIST_DIMENSIONS:
-            items = F.transform(value, lambda v, dim=dim: F.struct(F.lit(dim).alias("dim"), v.alias("value")))
-        else:
-            items = F.array(F.struct(F.lit(dim).alias("dim"), value.alias("value")))
+        counts = col("_none") if criterion is None else col("_none") | F.coalesce(col("_only") == criterion, F.lit(False))
+        items = F.transform(value, _labelled(dim)) if dim in LIST_DIMENSIONS else F.array(F.struct(F.lit(dim).alias("dim"), value.alias("value")))
         pairs.append(F.when(counts, items).otherwise(F.array().cast("array<struct<dim:string,value:string>>")))
     return (
-        screened.where(F.size("failed") <= 1)
-        .select(F.explode(F.concat(*pairs)).alias("x")).select("x.dim", "x.value")
+        screened.select(F.explode_outer(F.concat(*pairs)).alias("x")).select("x.dim", "x.value")
         .where(col("value").isNotNull())
         .groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,79 +50,129 @@ def search_view(postings: DataFrame, companies: DataFrame | None = None, as_of=N
     )
 
 
-@dataclass
-class Found:
-    """Lazy frames of one search; ask only for those you need."""
-
-    profile: dict
-    warnings: list[str]
-    flagged: DataFrame
-    results: DataFrame
-    aside: DataFrame
-    facets: DataFrame
-    funnel: DataFrame
-
-
-def _flag(df: DataFrame, ids: DataFrame | None, name: str) -> DataFrame:
-    if ids is None:
-        return df.withColumn(name, F.lit(False))
-    return df.join(ids.select("id").distinct().withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
-def flag_rows(view: DataFrame, p: dict, texts: DataFrame | None = None, index: DataFrame | None = None,
-              restrict_to: DataFrame | None = None, hidden: DataFrame | None = None, applied: DataFrame | None = None) -> DataFrame:
-    """Every posting with its gates (considered, titled), verdict columns and user marks."""
-    df = view
-    considered = F.lit(True)
-    if restrict_to is not None:
-        df = _flag(df, restrict_to, "_restricted")
-        considered = considered & col("_restricted")
-    if index is None and texts is not None and (p["text"] or p["description_keywords"] or p["exclude_description_keywords"]):
-        index = textindex.build_token_index(texts)
-    if p["text"] and index is not None:
-        hits = textindex.text_query(index, p["text"])
-        # Two counts, one row each, meet on a constant key.
-        corpus = view.agg(F.count(F.lit(1)).alias("corpus")).withColumn("_one", F.lit(1))
+class Search:
+    """One profile over one view. Each frame is built when asked for, from the view down.
+
+    ``texts`` has id, title, company, body; ``index`` is its token table;
+    ``restrict_to``, ``hidden`` and ``applied`` have id.
+    """
+
+    def __init__(self, view: DataFrame, raw_profile: dict, *, texts: DataFrame | None = None, index: DataFrame | None = None,
+                 restrict_to: DataFrame | None = None, hidden: DataFrame | None = None, applied: DataFrame | None = None,
+                 limit: int | None = None, offset: int = 0, labels: DataFrame | None = None):
+        self.view, self.texts, self.labels, self.offset = view, texts, labels, offset
+        self.profile, self.warnings = normalize_profile(raw_profile)
+        self.limit = self.profile["limit"] if limit is None else limit
+        self.restrict_to, self.hidden, self.applied = restrict_to, hidden, applied
+        p = self.profile
+        self.keywords = criteria.searchable(p["description_keywords"])
+        if len(self.keywords) < len(p["description_keywords"]):
+            lost = [t for t in p["description_keywords"] if t not in self.keywords]
+            self.warnings.append(f"description keywords: nothing to search for in {', '.join(lost)}; ignored")
+        asks_text = p["text"] or self.keywords or p["exclude_description_keywords"]
+        if asks_text and index is None:
+            if texts is None:
+                raise ValueError("this profile searches text: pass texts or index")
+            index = textindex.build_token_index(texts)
+        self.index = index
+
+    @staticmethod
+    def _flag(df: DataFrame, ids: DataFrame | None, name: str) -> DataFrame:
+        if ids is None:
+            return df.withColumn(name, F.lit(False))
+        marked = ids.select("id").distinct().withColumn(name, F.lit(True))
+        return df.join(marked, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    @cached_property
+    def _text_hits(self) -> DataFrame | None:
+        """(id, text_field, text_spec) of the free-text search; its rarity comes from two one-row counts."""
+        if not self.profile["text"]:
+            return None
+        hits = textindex.text_query(self.index, self.profile["text"])
+        corpus = self.view.agg(F.count(F.lit(1)).alias("corpus")).withColumn("_one", F.lit(1))
         matches = hits.agg(F.count(F.lit(1)).alias("matches")).withColumn("_one", F.lit(1))
         spec = corpus.join(F.broadcast(matches), "_one").select(
             "_one", rank.text_specificity(col("matches"), col("corpus")).alias("text_spec"))
-        hits = hits.withColumn("_one", F.lit(1)).join(F.broadcast(spec), "_one").drop("_one")
-        df = df.join(hits, "id", "left")
-        considered = considered & col("text_field").isNotNull()
-    if p["exclude_description_keywords"] and index is not None:
-        df = _flag(df, textindex.match_terms(index, p["exclude_description_keywords"], "any"), "_excluded")
-        considered = considered & ~col("_excluded")
-    terms = criteria.searchable(p["description_keywords"])
-    if terms:
-        gate = textindex.match_terms(index, terms, p["description_match"])
-        df = _flag(_flag(df, gate, "text_hit"), textindex.missing_text(view, texts, "body"), "text_missing")
-    df = df.withColumn("considered", considered).withColumn("titled", criteria.title_gate(p))
-    df = criteria.screen(df, p)
-    return _flag(_flag(df, hidden, "hidden"), applied, "applied")
-
-
-def search(view: DataFrame, raw_profile: dict, *, texts: DataFrame | None = None, index: DataFrame | None = None,
-           restrict_to: DataFrame | None = None, hidden: DataFrame | None = None, applied: DataFrame | None = None,
-           limit: int | None = None, offset: int = 0, labels: DataFrame | None = None) -> Found:
-    """Run a profile. ``texts`` has id, title, company, body; ``index`` is its token table."""
-    p, warnings = normalize_profile(raw_profile)
-    limit = p["limit"] if limit is None else limit
-    flagged = flag_rows(view, p, texts, index, restrict_to, hidden, applied)
-    # The gates come first and by themselves, so later stages never see the rows they drop.
-    gated = flagged.where("considered").where("titled")
-    survivors = gated.where(~col("hidden") & ~col("applied"))
-    kept = survivors.where(col("bucket").isNotNull())
-    if criteria.searchable(p["description_keywords"]) and texts is not None:
-        # Text is joined after filtering, and only here.
-        body = texts.select("id", fold(col("body")).alias("_body"))
-        kept = kept.join(body, "id", "left").withColumn("description_hits", F.coalesce(
-            term_hits(col("_body"), p["description_keywords"]), F.array().cast("array<string>"))).drop("_body")
-    scored = rank.score(kept, p)
-    inside, aside = scored.where(col("bucket") == "in"), scored.where(col("bucket") == "aside")
-    if p["collapse_duplicates"]:
-        inside, aside = rank.collapse_duplicates(inside, p["sort"]), rank.collapse_duplicates(aside, p["sort"])
-    return Found(
-        p, warnings, flagged,
-        results=rank.top_rows(inside, p["sort"], limit, offset), aside=rank.top_rows(aside, p["sort"], limit),
-        facets=facet_ops.facets(survivors, p, labels), funnel=facet_ops.funnel(flagged, p),
-    )
+        return hits.withColumn("_one", F.lit(1)).join(F.broadcast(spec), "_one").drop("_one")
+
+    @cached_property
+    def _excluded(self) -> DataFrame | None:
+        terms = self.profile["exclude_description_keywords"]
+        return textindex.match_terms(self.index, terms, "any") if terms else None
+
+    def _keyword_flags(self, df: DataFrame) -> DataFrame:
+        if not self.keywords:
+            return df
+        gate = textindex.match_terms(self.index, self.keywords, self.profile["description_match"])
+        missing = textindex.missing_text(self.view, self.texts, "body") if self.texts is not None else None
+        return self._flag(self._flag(df, gate, "text_hit"), missing, "text_missing")
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        """Rows past the restriction, the text gates and the title gate."""
+        df = self.view.where(criteria.title_gate(self.profile))
+        if self.restrict_to is not None:
+            df = df.join(self.restrict_to.select("id"), "id", "left_semi")
+        if self._excluded is not None:
+            df = df.join(self._excluded, "id", "left_anti")
+        if self._text_hits is not None:
+            df = df.join(self._text_hits, "id")
+        return self._keyword_flags(df)
+
+    @cached_property
+    def visible(self) -> DataFrame:
+        """Gated rows the user has neither hidden nor acted on."""
+        df = self.gated
+        for ids in (self.hidden, self.applied):
+            if ids is not None:
+                df = df.join(ids.select("id"), "id", "left_anti")
+        return df
+
+    def _ranked(self, bucket: str, k: int, offset: int) -> DataFrame:
+        p = self.profile
+        kept = criteria.keep_bucket(self.visible, p, bucket)
+        if self.keywords and self.texts is not None:
+            # Text is joined after filtering, and only here.
+            body = self.texts.select("id", fold(col("body")).alias("_body"))
+            none = F.array().cast("array<string>")
+            kept = kept.join(body, "id", "left").withColumn(
+                "description_hits", F.coalesce(term_hits(col("_body"), p["description_keywords"]), none)).drop("_body")
+        scored = rank.score(kept, p)
+        if p["collapse_duplicates"]:
+            scored = rank.collapse_duplicates(scored, p["sort"])
+        return rank.top_rows(scored, p["sort"], k, offset)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return self._ranked("in", self.limit, self.offset)
+
+    @cached_property
+    def aside(self) -> DataFrame:
+        return self._ranked("aside", self.limit, 0)
+
+    @cached_property
+    def facets(self) -> DataFrame:
+        return facet_ops.facets(criteria.screen(self.visible, self.profile), self.profile, self.labels)
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """Every posting with its gates and marks as flags instead of filters."""
+        df = self._keyword_flags(self.view)
+        considered = F.lit(True)
+        if self.restrict_to is not None:
+            df, considered = self._flag(df, self.restrict_to, "_restricted"), considered & col("_restricted")
+        if self._excluded is not None:
+            df, considered = self._flag(df, self._excluded, "_excluded"), considered & ~col("_excluded")
+        if self._text_hits is not None:
+            df, considered = self._flag(df, self._text_hits, "_texted"), considered & col("_texted")
+        df = df.withColumn("considered", considered).withColumn("titled", criteria.title_gate(self.profile))
+        return self._flag(self._flag(criteria.screen(df, self.profile), self.hidden, "hidden"), self.applied, "applied")
+
+    @cached_property
+    def funnel(self) -> DataFrame:
+        return facet_ops.funnel(self.flagged, self.profile)
+
+
+def search(view: DataFrame, raw_profile: dict, **options) -> Search:
+    """Run a profile: ``results``, ``aside``, ``facets`` and ``funnel`` of the returned search."""
+    return Search(view, raw_profile, **options)

@@ -20,6 +20,8 @@ def get_spark(app: str = "jobtide", cores: str | int = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("JOBTIDE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # Recording a Python stack per column expression costs seconds on wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

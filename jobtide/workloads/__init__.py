@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_criteria"]
+MODULES = ["q_criteria", "q_search"]
 for _module in MODULES:
     importlib.import_module(f"{__name__}.{_module}")
 
