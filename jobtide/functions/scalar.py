@@ -131,7 +131,7 @@ def company_name_from_url(url: Column) -> Column:
 
 def parse_board_slug(c: Column) -> Column:
     """struct(tenant, dc, site) of ``tenant|dc|site``, NULL when malformed."""
-    parts = F.transform(F.split(c, "[|]"), F.trim)
+    parts = F.transform(F.split(c, "[|]"), lambda p: F.trim(p))
     tenant, dc, site = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
     ok = (
         (F.size(parts) == 3) & ~tenant.rlike("(?i)^wd\\d+$") & tenant.rlike("(?i)^[a-z0-9][a-z0-9-]*$")

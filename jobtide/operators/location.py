@@ -465,7 +465,7 @@ def location_fragments(df: DataFrame) -> DataFrame:
     pair = F.when((F.col("city") != "") & (F.col("region") != ""), F.concat_ws(", ", "city", "region")).otherwise(F.col("city"))
     written = F.concat(
         F.coalesce(F.col("locations_all"), F.array().cast("array<string>")), F.array("location_raw", pair, "country"))
-    fragments = F.array_distinct(F.filter(F.transform(written, F.trim), lambda f: f.isNotNull() & (f != "")))
+    fragments = F.array_distinct(F.filter(F.transform(written, lambda w: F.trim(w)), lambda f: f.isNotNull() & (f != "")))
     return df.select("id", F.explode(fragments).alias("fragment"))
 
 
