@@ -53,7 +53,7 @@ def to_epoch(c: Column) -> Column:
 
 def age_days(posted_at: Column, now: Column) -> Column:
     days = F.floor((F.unix_millis(now) - F.unix_millis(posted_at)) / 86_400_000 + 0.5)
-    return F.greatest(F.lit(0), days)
+    return F.when(days < 0, 0).otherwise(days)
 
 
 # Employment words and the type each one names.

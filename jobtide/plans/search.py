@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import GUESSED_ONSITE
+from ..functions.scalar import age_days
 from ..functions.text import fold, term_hits
 from ..operators import criteria, facets as facet_ops, rank, textindex
 from .profile import normalize_profile
@@ -24,7 +25,6 @@ def search_view(postings: DataFrame, companies: DataFrame | None = None, as_of=N
     """
     roles = facet_ops.open_roles(postings)
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-    days = F.floor((F.unix_millis(now) - F.unix_millis("posted_at")) / 86_400_000 + 0.5)
     df = postings.join(roles, "company_slug", "left")
     if companies is not None:
         sector = companies.where(col("sector").isNotNull()).select(col("id").alias("company_id"), "sector")
@@ -45,7 +45,7 @@ def search_view(postings: DataFrame, companies: DataFrame | None = None, as_of=N
         col("has_equity").alias("equity"), col("d_min_years").alias("min_years"), col("d_max_years").alias("max_years"),
         F.coalesce("d_years_known", F.lit(False)).alias("years_known"), col("d_seniority").alias("seniority"),
         col("d_job_function").alias("job_function"), F.coalesce("d_skills", empty).alias("skills"), col("d_visa").alias("visa"),
-        col("d_clearance").alias("clearance"), col("d_degree").alias("degree"), F.greatest(F.lit(0), days).alias("age_days"),
+        col("d_clearance").alias("clearance"), col("d_degree").alias("degree"), age_days(col("posted_at"), now).alias("age_days"),
         col("d_quality").alias("quality"), "posted_at", "first_seen", "last_seen",
     )
 
