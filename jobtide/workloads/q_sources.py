@@ -90,7 +90,7 @@ LEVER_JSON = """array(named_struct('id', CAST(o_orderkey AS STRING), 'text', 'Ro
 @query("lever_postings",
        "SELECT 'lever:b' || o_custkey || ':' || o_orderkey AS id, o_orderpriority AS department, CASE o_orderkey % 4 WHEN 0 THEN 'FullTime' WHEN 2 THEN 'Contract' WHEN 3 THEN 'Intern' END AS employment_type, 'Berlin|Paris' AS places, "
        "CASE o_orderkey % 3 WHEN 0 THEN 'Germany' WHEN 1 THEN 'Ivory Coast' END AS country, CASE o_orderkey % 3 WHEN 0 THEN 'onsite' WHEN 2 THEN 'remote' END AS raw_workplace, strftime(o_orderdate, '%Y-%m-%d') AS posted, "
-       "'https://l/' || o_orderkey || '/apply' AS apply_url, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey + 10.0 END AS comp_max, CASE WHEN o_orderkey % 5 <> 0 THEN 'GBP' END AS cur, "
+       "'https://l/' || o_orderkey || '/apply' AS apply_url, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey + 10 AS DOUBLE) END AS comp_max, CASE WHEN o_orderkey % 5 <> 0 THEN 'GBP' END AS cur, "
        "CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN 'HOUR' END AS per, 'Intro' || chr(10) || chr(10) || 'Needs' || chr(10) || chr(10) || 'a' || chr(10) || 'b' || chr(10) || chr(10) || 'End' AS text FROM orders")
 def lever_postings(spark, sf_dir):
     got = payloads.lever_postings(_bodies(_orders(spark, sf_dir), LEVER_JSON))

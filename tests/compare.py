@@ -44,8 +44,8 @@ def compare(spark, con, sf_dir, name, queries, oracles):
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        has, should = set(got), set(want)
+        extra, missing = [r for r in got if r not in should][:3], [r for r in want if r not in has][:3]
         return f"{len(got)} rows vs {len(want)}; spark only {extra}; sql only {missing}"
     return None if got else "no rows on either side"
 
