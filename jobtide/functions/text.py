@@ -105,13 +105,23 @@ def title_case(c: Column) -> Column:
     return F.array_join(raised, "")
 
 
-def term_pattern(term: str) -> str:
-    """Whole-word pattern for one term; the edge characters choose the guard."""
-    folded = fold_literal(term)
+def _guards(folded: str) -> tuple[str, str]:
+    """What may not stand left and right of a term; its edge characters decide."""
     word = re.compile("[a-z0-9]")
     left = "(?<![a-z0-9])" if word.match(folded[0]) else "(?<![^\\s(,/|])"
     right = "(?![a-z0-9])" if word.match(folded[-1]) else "(?![^\\s),./|])"
-    return left + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", folded) + right
+    return left, right
+
+
+def _escape(text: str) -> str:
+    return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", text)
+
+
+def term_pattern(term: str) -> str:
+    """Whole-word pattern for one term."""
+    folded = fold_literal(term)
+    left, right = _guards(folded)
+    return left + _escape(folded) + right
 
 
 def folded_terms(terms) -> list[str]:
@@ -120,9 +130,21 @@ def folded_terms(terms) -> list[str]:
 
 
 def terms_pattern(terms) -> str | None:
-    """One alternation over all terms, longest first; None when nothing is left."""
-    ordered = sorted(folded_terms(terms), key=len, reverse=True)
-    return "|".join(term_pattern(t) for t in ordered) or None
+    """One alternation over all terms, the longest winning at any position; None when nothing is left.
+
+    Terms are grouped by left guard and first character, so at most places in
+    a text the matcher rejects all of them with one look to the left.
+    """
+    groups: dict[str, dict[str, list[str]]] = {}
+    for term in sorted(folded_terms(terms), key=len, reverse=True):
+        left, right = _guards(term)
+        groups.setdefault(left, {}).setdefault(term[0], []).append(_escape(term[1:]) + right)
+    if not groups:
+        return None
+    return "|".join(
+        left + "(?:" + "|".join(f"{_escape(first)}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items())) + ")"
+        for left, by_first in groups.items()
+    )
 
 
 def has_term(folded: Column, term: str) -> Column:

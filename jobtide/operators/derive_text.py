@@ -62,37 +62,45 @@ def annual_salary(comp_min: Column, comp_max: Column, currency: Column, interval
     otherwise the first interval of a fixed order that makes it plausible, held
     to a lower ceiling because it is a guess.
     """
-    lo, hi = F.when(comp_min > 0, comp_min), F.when(comp_max > 0, comp_max)
-    code = F.upper(F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD")))
     stated = F.upper(F.coalesce(interval, F.lit("")))
-    rate = F.try_element_at(_map(FX_USD), code)
+    code = F.upper(F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD")))
+    read = F.struct(
+        F.when(comp_min > 0, comp_min).alias("lo"), F.when(comp_max > 0, comp_max).alias("hi"), code.alias("code"),
+        F.try_element_at(_map(FX_USD), code).alias("rate"), stated.alias("stated"),
+        F.try_element_at(_map(PERIODS_PER_YEAR), stated).alias("per_year"),
+        F.coalesce(F.nullif(stated, F.lit("")), F.lit("none")).alias("said"))
+    return let(read, _read_salary)
 
+
+def _read_salary(b: Column) -> Column:
     def attempt(name: Column, per_year: Column) -> Column:
-        low, high = lo * rate * per_year, hi * rate * per_year
-        ceiling = F.when(name == stated, SALARY_CEILING).otherwise(SALARY_GUESS_CEILING)
-        fits = (
-            F.coalesce(low.between(F.lit(SALARY_FLOOR), ceiling), F.lit(True))
-            & F.coalesce(high.between(F.lit(SALARY_FLOOR), ceiling), F.lit(True))
-            & F.coalesce((low <= high) & (high <= low * SALARY_MAX_SPREAD), F.lit(True))
-        )
-        src = F.when(name == stated, F.lit("as-stated")).otherwise(F.concat(
-            F.lit("reinterpreted:"), F.coalesce(F.nullif(stated, F.lit("")), F.lit("none")), F.lit("->"), name))
-        return F.when(fits & per_year.isNotNull(), F.struct(
-            round_half_up(low).cast("long").alias("min"), round_half_up(high).cast("long").alias("max"),
-            F.lit(True).alias("known"), src.alias("src"), code.alias("currency")))
+        ceiling = F.when(name == b["stated"], SALARY_CEILING).otherwise(SALARY_GUESS_CEILING)
+        src = F.when(name == b["stated"], F.lit("as-stated")).otherwise(F.concat(F.lit("reinterpreted:"), b["said"], F.lit("->"), name))
+
+        def judge(y: Column) -> Column:
+            fits = (
+                F.coalesce(y["lo"].between(F.lit(SALARY_FLOOR), ceiling), F.lit(True))
+                & F.coalesce(y["hi"].between(F.lit(SALARY_FLOOR), ceiling), F.lit(True))
+                & F.coalesce((y["lo"] <= y["hi"]) & (y["hi"] <= y["lo"] * SALARY_MAX_SPREAD), F.lit(True))
+            )
+            return F.when(fits, F.struct(
+                round_half_up(y["lo"]).cast("long").alias("min"), round_half_up(y["hi"]).cast("long").alias("max"),
+                F.lit(True).alias("known"), src.alias("src"), b["code"].alias("currency")))
+
+        yearly = F.struct((b["lo"] * b["rate"] * per_year).alias("lo"), (b["hi"] * b["rate"] * per_year).alias("hi"))
+        return F.when(per_year.isNotNull(), let(yearly, judge))
 
     def refused(src: Column) -> Column:
         none = F.lit(None).cast("long")
         return F.struct(none.alias("min"), none.alias("max"), F.lit(False).alias("known"), src.alias("src"),
                         F.lit(None).cast("string").alias("currency"))
 
-    tries = [attempt(stated, F.try_element_at(_map(PERIODS_PER_YEAR), stated))]
+    tries = [attempt(b["stated"], b["per_year"])]
     tries += [attempt(F.lit(name), F.lit(PERIODS_PER_YEAR[name])) for name in GUESS_ORDER]
-    stated_or_none = F.coalesce(F.nullif(stated, F.lit("")), F.lit("none"))
-    implausible = F.concat(F.lit("implausible:"), stated_or_none, F.lit(":"), number_text(F.coalesce(lo, hi)), code)
+    implausible = F.concat(F.lit("implausible:"), b["said"], F.lit(":"), number_text(F.coalesce(b["lo"], b["hi"])), b["code"])
     return (
-        F.when(lo.isNull() & hi.isNull(), refused(F.lit("no-figure")))
-        .when(rate.isNull(), refused(F.concat(F.lit("unknown-currency:"), code)))
+        F.when(b["lo"].isNull() & b["hi"].isNull(), refused(F.lit("no-figure")))
+        .when(b["rate"].isNull(), refused(F.concat(F.lit("unknown-currency:"), b["code"])))
         .otherwise(F.coalesce(*tries, refused(implausible)))
     )
 
@@ -316,7 +324,8 @@ def skills(folded_text: Column, terms=None) -> Column:
 
 def visa(folded_text: Column) -> Column:
     """False for a refusal to sponsor, true for an offer, NULL when silent."""
-    return F.when(folded_text.rlike(VISA_NO), False).when(folded_text.rlike(VISA_YES), True)
+    told = F.when(folded_text.rlike(VISA_NO), False).when(folded_text.rlike(VISA_YES), True)
+    return F.when(folded_text.contains("sponsor"), told)  # every wording has the word; most texts do not
 
 
 def clearance(folded_text: Column) -> Column:

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, fold_literal
+from ..functions.text import fold, fold_literal, let
 
 col = F.col
 NOT_WORD = "[^\\p{L}\\p{N}]+"
@@ -107,15 +107,27 @@ def missing_text(postings: DataFrame, texts: DataFrame, text: str = "text") -> D
 
 
 def phrase_pattern(term: str) -> str:
-    """Pattern for a phrase in folded text: the scan that answers without an index."""
-    return f"(^|{NOT_WORD})" + NOT_WORD.join(words_of(term)) + "($|[^\\p{L}\\p{N}])"
+    """Pattern for a phrase in folded text: the scan that answers without an index.
+
+    The first word comes before its own left guard, so places without it are passed over cheaply.
+    """
+    words = words_of(term)
+    edge = "[\\p{L}\\p{N}]"
+    rest = "".join(NOT_WORD + w for w in words[1:])
+    return f"{words[0]}(?<!{edge}{words[0]}){rest}(?!{edge})"
 
 
 def match_terms_scan(text: Column, terms: list[str], mode: str = "any") -> Column:
     """The answer of ``match_terms`` as an expression over the text itself; no shuffle."""
-    folded, out = fold(text), None
-    for term in terms:
-        if words_of(term):
-            hit = folded.rlike(phrase_pattern(term))
+    asked = [t for t in terms if words_of(t)]
+    if not asked:
+        return F.lit(False)
+
+    def answer(folded: Column) -> Column:
+        out = None
+        for term in asked:
+            hit = folded.contains(words_of(term)[-1]) & folded.rlike(phrase_pattern(term))
             out = hit if out is None else (out & hit if mode == "all" else out | hit)
-    return F.lit(False) if out is None else out
+        return out
+
+    return let(fold(text), answer)

@@ -200,7 +200,7 @@ OFFER = {
        "WITH s0 AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{e} AS {c}" for c, e in OFFER.items()) + " FROM lineitem JOIN part ON p_partkey = l_partkey), "
        + salary_sql("low", "high", "currency", "period") + " SELECT l_orderkey, l_linenumber, smin, smax, ssrc FROM s4")
 def annual_salary(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("p_partkey = l_partkey"))
+    df = spread(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "part"), F.expr("p_partkey = l_partkey"))
     df = df.select("l_orderkey", "l_linenumber", *[F.expr(e).alias(c) for c, e in OFFER.items()])
     pay = D.annual_salary(F.col("low"), F.col("high"), F.col("currency"), F.col("period"))
     return df.select("l_orderkey", "l_linenumber", pay.alias("p")).select(

@@ -16,7 +16,7 @@ from ..operators.snapshot import content_hash
 from ..session import checkpoint_root
 from ..sources import payloads, sink, slug_lists
 from . import views
-from .registry import query, table
+from .registry import query, spread, table
 
 DUCK, SPARK = views.DUCK, views.SPARK
 
@@ -27,7 +27,7 @@ def _bodies(df, struct: str, slug: str = "'b' || o_custkey"):
 
 
 def _orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders")
+    return spread(table(spark, sf_dir, "orders"))
 
 
 # -- S1 ---------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, norm_text
 from ..operators.facets import company_size_band, open_roles
-from .registry import table
+from .registry import spread, table
 
 SPARK = {"arr": "array", "none": "CAST(array() AS array<string>)", "str": "STRING"}
 DUCK = {"arr": "list_value", "none": "CAST([] AS VARCHAR[])", "str": "VARCHAR"}
@@ -80,7 +80,7 @@ def posting_sql() -> str:
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search view over documents and labels. The label table is small next to the documents; Spark decides how to join."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    base = docs.join(labels, "doc_id", "left").selectExpr(*[f"{e.format(**SPARK)} AS {c}" for c, e in POSTING.items()])
+    base = spread(docs.join(labels, "doc_id", "left").selectExpr(*[f"{e.format(**SPARK)} AS {c}" for c, e in POSTING.items()]))
     roles = open_roles(base.withColumn("is_open", F.col("listed")))
     count = F.coalesce("open_roles", F.lit(1))
     return base.join(roles, "company_slug", "left").withColumns({
