@@ -22,13 +22,14 @@ def derive(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEF
     reads each text once. All joins are on the posting id.
     """
     raw = [c for c in postings.columns if not c.startswith("d_") and c not in ("cities", "unmatched")]
-    df = postings.select(*raw).join(texts, "id", "left").join(derive_location(postings, places), "id")
+    # What a text says is read where the text is scanned; only the findings are shuffled to the join.
+    read = texts.select("id", D.signals(col("text")).alias("_signals"), D.strictest_years(D.years_claims(col("text"))).alias("_years"),
+                        F.length("text").alias("_length"))
+    df = postings.select(*raw).join(read, "id", "left").join(derive_location(postings, places), "id")
     df = df.withColumns({
-        "_signals": D.signals(col("text")), "_years": D.strictest_years(D.years_claims(col("text"))),
         "_title": fold(col("title")), "_dept": fold(F.concat_ws(" ", F.coalesce("department", F.lit("")), F.coalesce("team", F.lit("")))),
         "_pay": D.annual_salary(col("comp_min"), col("comp_max"), col("comp_currency"), col("comp_interval")),
         "_place": D.workplace(col("raw_workplace"), col("raw_remote"), col("remote_hint"), col("d_metros")),
-        "_length": F.length("text"),
     })
     years_known = col("_years").isNotNull()
     df = df.withColumn("_level", D.seniority(col("_title"), col("_years.min")))
@@ -39,7 +40,7 @@ def derive(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEF
         col("_pay.known").alias("d_salary_known"), col("_pay.src").alias("d_salary_src"), col("_years.min").alias("d_min_years"),
         col("_years.max").alias("d_max_years"), years_known.alias("d_years_known"), col("_level.level").alias("d_seniority"),
         col("_level.src").alias("d_seniority_src"), D.job_function(col("_title"), col("_dept")).alias("d_job_function"),
-        col("_signals.skills").alias("d_skills"), col("_signals.visa").alias("d_visa"), col("_signals.clearance").alias("d_clearance"),
+        F.coalesce(col("_signals.skills"), F.array().cast("array<string>")).alias("d_skills"), col("_signals.visa").alias("d_visa"), col("_signals.clearance").alias("d_clearance"),
         col("_signals.degree").alias("d_degree"),
         D.quality(col("_length"), col("_pay.known"), years_known, col("_place.value"), col("d_metros"), col("employment_type"),
                   col("department"), col("posted_at")).alias("d_quality"),
