@@ -56,8 +56,11 @@ def join_snapshot(current: DataFrame, snapshot: DataFrame, boards: DataFrame) ->
     stored = stored.join(outcomes.select("company_id", "outcome"), "company_id", "left").drop("company_id")
     fresh = snapshot.withColumn("company_id", F.concat_ws(":", "ats", "company_slug")).join(
         outcomes.where(col("outcome") == "swept").select("company_id", "board_name"), "company_id")
-    # A path listed twice on one board is one posting.
-    fresh = fresh.select("id", F.struct("company_id", "board_name", *snapshot.columns).alias("n")).dropDuplicates(["id"])
+    # The text itself stays out of the shuffle: the merge needs its length only.
+    carried = [c for c in snapshot.columns if c != "description_text"]
+    length = F.length("description_text").alias("text_length")
+    # A posting listed twice on one board is one posting.
+    fresh = fresh.select("id", F.struct("company_id", "board_name", length, *carried).alias("n")).dropDuplicates(["id"])
     return stored.join(fresh, "id", "full_outer").withColumn("swept", F.coalesce(col("outcome") == "swept", F.lit(False)))
 
 
@@ -66,7 +69,7 @@ def merged_columns(now) -> dict[str, Column]:
     now = F.lit(now).cast("timestamp")
     old, new = col("o"), col("n")
     arrived, known = new["id"].isNotNull(), old["id"].isNotNull()
-    length = F.when(new["has_text"], F.coalesce(F.length(new["description_text"]), F.lit(0))).otherwise(
+    length = F.when(new["has_text"], F.coalesce(new["text_length"], F.lit(0))).otherwise(
         F.coalesce(old["text_length"], F.lit(0)))
     place = {"location_raw", "locations_all", "country"}
 
@@ -127,8 +130,8 @@ def merge_snapshot(current: DataFrame, text: DataFrame, snapshot: DataFrame, boa
 
 def merge_text(text: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Text that was read replaces the stored one, even by nothing; unread text stays."""
-    read = snapshot.where("has_text").select("id", col("description_text").alias("_new"), F.lit(True).alias("_read")).dropDuplicates(["id"])
-    return text.join(read, "id", "full_outer").select("id", F.when(col("_read"), col("_new")).otherwise(col("text")).alias("text"))
+    read = snapshot.where("has_text").select("id", col("description_text").alias("text")).dropDuplicates(["id"])
+    return text.join(snapshot.where("has_text").select("id"), "id", "left_anti").select("id", "text").unionByName(read)
 
 
 def append_events(log: DataFrame, events: DataFrame) -> DataFrame:

@@ -131,3 +131,26 @@ def match_terms_scan(text: Column, terms: list[str], mode: str = "any") -> Colum
         return out
 
     return let(fold(text), answer)
+
+
+def text_query_scan(texts: DataFrame, text: str) -> DataFrame:
+    """The answer of ``text_query`` from the texts themselves; no shuffle."""
+    words = list(dict.fromkeys(words_of(text)))
+    if not words:
+        return texts.select("id", F.lit("body").alias("text_field")).where("false")
+    edge = "[\\p{L}\\p{N}]"
+
+    def occurs(folded: Column) -> Column:
+        """Which words some token of this field starts with."""
+        return F.array(*[
+            folded.contains(w) & folded.rlike(f"{w}(?<!{edge}{w})" + ("" if len(w) >= PREFIX_MIN else f"(?!{edge})")) for w in words])
+
+    found = texts.select("id", *[let(fold(col(f)), occurs).alias(f) for f in FIELDS])
+    somewhere = F.lit(True)
+    for i in range(len(words)):
+        somewhere = somewhere & (col("company")[i] | col("title")[i] | col("body")[i])
+
+    def whole(field: str) -> Column:
+        return F.forall(field, lambda x: x)
+
+    return found.where(somewhere).select("id", F.when(whole("company"), "company").when(whole("title"), "title").otherwise("body").alias("text_field"))

@@ -53,7 +53,7 @@ def search_view(postings: DataFrame, companies: DataFrame | None = None, as_of=N
 class Search:
     """One profile over one view. Each frame is built when asked for, from the view down.
 
-    ``texts`` has id, title, company, body; ``index`` is its token table;
+    ``texts`` has id, title, company, body; ``index`` is its token table, optional;
     ``restrict_to``, ``hidden`` and ``applied`` have id.
     """
 
@@ -70,12 +70,16 @@ class Search:
             lost = [t for t in p["description_keywords"] if t not in self.keywords]
             self.warnings.append(f"description keywords: nothing to search for in {', '.join(lost)}; ignored")
         asks_text = p["text"] or self.keywords or p["exclude_description_keywords"]
-        if asks_text and index is None:
-            if texts is None:
-                raise ValueError("this profile searches text: pass texts or index")
-            index = textindex.build_token_index(texts)
+        if asks_text and index is None and texts is None:
+            raise ValueError("this profile searches text: pass texts or index")
         self.index = index
 
+    def _matching(self, terms: list[str], mode: str) -> DataFrame:
+        """Ids whose body holds the terms: from the index when there is one, else by a narrow scan of the texts."""
+        if self.index is not None:
+            return textindex.match_terms(self.index, terms, mode)
+        return self.texts.where(textindex.match_terms_scan(col("body"), terms, mode)).select("id")
+
     @staticmethod
     def _flag(df: DataFrame, ids: DataFrame | None, name: str) -> DataFrame:
         if ids is None:
@@ -88,7 +92,8 @@ class Search:
         """(id, text_field, text_spec) of the free-text search; its rarity comes from two one-row counts."""
         if not self.profile["text"]:
             return None
-        hits = textindex.text_query(self.index, self.profile["text"])
+        words = self.profile["text"]
+        hits = textindex.text_query(self.index, words) if self.index is not None else textindex.text_query_scan(self.texts, words)
         corpus = self.view.agg(F.count(F.lit(1)).alias("corpus")).withColumn("_one", F.lit(1))
         matches = hits.agg(F.count(F.lit(1)).alias("matches")).withColumn("_one", F.lit(1))
         spec = corpus.join(F.broadcast(matches), "_one").select(
@@ -98,12 +103,12 @@ class Search:
     @cached_property
     def _excluded(self) -> DataFrame | None:
         terms = self.profile["exclude_description_keywords"]
-        return textindex.match_terms(self.index, terms, "any") if terms else None
+        return self._matching(terms, "any") if terms else None
 
     def _keyword_flags(self, df: DataFrame) -> DataFrame:
         if not self.keywords:
             return df
-        gate = textindex.match_terms(self.index, self.keywords, self.profile["description_match"])
+        gate = self._matching(self.keywords, self.profile["description_match"])
         missing = textindex.missing_text(self.view, self.texts, "body") if self.texts is not None else None
         return self._flag(self._flag(df, gate, "text_hit"), missing, "text_missing")
 

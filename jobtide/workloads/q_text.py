@@ -208,6 +208,21 @@ def text_field(spark, sf_dir):
     return textindex.text_query(_index(spark, sf_dir), "the an")
 
 
+@query("text_query_scan", f"{T_CTE} SELECT id, CASE WHEN {_every(QUERY2, ['company'])} THEN 'company' WHEN {_every(QUERY2, ['title'])} THEN 'title' ELSE 'body' END AS text_field "
+       f"FROM t WHERE {_every(QUERY2, ALL_FIELDS)}")
+def text_query_scan(spark, sf_dir):
+    """The same answer without an index."""
+    return textindex.text_query_scan(spread(views.texts(spark, sf_dir)), "the an")
+
+
+@query("search_text_index", f"{T_CTE} SELECT id FROM t WHERE {_every(QUERY2, ALL_FIELDS)} AND NOT {WORD.format(f=BODY, t='hathre')}")
+def search_text_index(spark, sf_dir):
+    """Free text and an exclusion through the token index."""
+    view = views.postings(spark, sf_dir)
+    p = {"text": "the an", "exclude_description_keywords": ["hathre"], "include_unlisted": True}
+    return search(view, p, index=_index(spark, sf_dir)).visible.select("id")
+
+
 @query("text_exclude", f"{P}, {views.TEXTS_SQL} SELECT id FROM p WHERE id NOT IN (SELECT id FROM t WHERE {WORD.format(f=BODY, t='the')} OR {WORD.format(f=BODY, t='est')})")
 def text_exclude(spark, sf_dir):
     return textindex.exclude_text(views.postings(spark, sf_dir), _index(spark, sf_dir), ["the", "est"]).select("id")
