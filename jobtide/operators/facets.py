@@ -9,6 +9,7 @@ from ..constants import (
     AGE_BANDS, ATS_KEYS, COMPANY_SIZE_BANDS, DEGREES, FACET_CAP, FACET_CAPS, LADDER_MIN_FIGURES, LADDER_QUANTILES,
     PAY_PERIODS, REMOTE_SCOPES, SALARY_BANDS, SECTORS,
 )
+from ..session import materialize
 from .derive_text import round_half_up
 from .rank import money, salary_top
 
@@ -216,8 +217,12 @@ def finish_facets(counts: DataFrame, p: dict, labels: DataFrame | None = None) -
 
 
 def facets(screened: DataFrame, p: dict, labels: DataFrame | None = None) -> DataFrame:
-    """All finished facets of one screened search in one frame."""
-    counts = facet_counts(screened, p)
+    """All finished facets of one screened search in one frame.
+
+    The counts are stored once: finishing reads them several times with
+    different filters, and each of those would otherwise be its own scan.
+    """
+    counts = materialize(facet_counts(screened, p), "facet_counts")
     done = finish_facets(counts, p, labels)
     return done.unionByName(salary_facet(counts).withColumn("truncated", F.lit(0).cast("long")))
 

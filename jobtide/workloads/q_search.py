@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import criteria, facets, rank
 from ..plans.profile import normalize_profile
 from ..plans.search import search
+from ..session import materialize
 from . import views
 from .q_criteria import FEW, FEW_SQL, MANY, MANY_SQL, NO_SONT, SEPARATE, SHOW, screen_sql  # noqa: F401
 from .registry import query
@@ -27,6 +28,11 @@ def _screened(spark, sf_dir, raw):
     return criteria.screen(views.postings(spark, sf_dir), p), p
 
 
+def _stored_counts(spark, sf_dir):
+    screened, p = _screened(spark, sf_dir, FACETED)
+    return materialize(facets.facet_counts(screened, p), "facet_counts"), p
+
+
 def _dims_sql(days: int) -> str:
     """(dim, criterion, value) rows per posting, from ``s``."""
     top = "CASE WHEN salary_known THEN coalesce(salary_max, salary_min) END"
@@ -65,12 +71,19 @@ def facets_leave_one_out(spark, sf_dir):
     return facets.facet_counts(*_screened(spark, sf_dir, FACETED))
 
 
+@query("facets_whole",
+       f"{COUNTS}, x AS (SELECT dim, CAST(sum(n) AS BIGINT) AS total FROM c WHERE dim NOT IN ('company', 'salary_value') GROUP BY dim) SELECT * FROM x UNION ALL SELECT 'salary_band', CAST(sum(n) AS BIGINT) FROM c WHERE dim = 'salary_value'")
+def facets_whole(spark, sf_dir):
+    """All facets of a search at once: what each dimension adds up to."""
+    found = search(views.postings(spark, sf_dir), FACETED)
+    return found.facets.where("dim <> 'company'").groupBy("dim").agg(F.sum("count").alias("total"))
+
+
 @query("facet_age_cumulative",
        f"{COUNTS}, bands AS (SELECT unnest(['≤7 days','≤30 days','≤90 days','≤180 days','any age','≤200 days','unknown']) AS value) "
        "SELECT value, coalesce(n, 0) AS n FROM bands LEFT JOIN (SELECT * FROM c WHERE dim = 'age_band') USING (value) WHERE value <> 'unknown' OR n IS NOT NULL")
 def facet_age_cumulative(spark, sf_dir):
-    screened, p = _screened(spark, sf_dir, FACETED)
-    done = facets.finish_facets(facets.facet_counts(screened, p), p)
+    done = facets.finish_facets(*_stored_counts(spark, sf_dir))
     return done.where("dim = 'age_band'").select("value", F.col("count").alias("n"))
 
 
@@ -103,8 +116,7 @@ def ladder_sql(values: str) -> str:
        "every AS (SELECT 0 AS pos, 'unknown' AS value UNION ALL SELECT pos, label FROM ladder) "
        "SELECT pos + 1 AS position, every.value, count(banded.value) AS n FROM every LEFT JOIN banded ON every.value = banded.value GROUP BY ALL")
 def facet_salary_ladder(spark, sf_dir):
-    screened, p = _screened(spark, sf_dir, FACETED)
-    return facets.salary_facet(facets.facet_counts(screened, p)).select("position", "value", F.col("count").alias("n"))
+    return facets.salary_facet(_stored_counts(spark, sf_dir)[0]).select("position", "value", F.col("count").alias("n"))
 
 
 OFFER_TOP = "CAST(floor(l_extendedprice * 3 + 20000) AS BIGINT)"
@@ -136,8 +148,7 @@ ZEROES = "SELECT 'age_band' AS dim, unnest(['≤7 days','≤30 days','≤90 days
        "OR dim = 'visa' AND value = 'sponsors' THEN 1 ELSE 0 END AS selected FROM r "
        "WHERE position <= CASE dim WHEN 'metro' THEN 250 WHEN 'country' THEN 250 WHEN 'company' THEN 60 WHEN 'skill' THEN 60 ELSE 40 END")
 def facets_finished(spark, sf_dir):
-    screened, p = _screened(spark, sf_dir, FACETED)
-    done = facets.finish_facets(facets.facet_counts(screened, p), p)
+    done = facets.finish_facets(*_stored_counts(spark, sf_dir))
     return done.select("dim", "position", "value", F.col("count").alias("n"), "truncated", F.col("selected").cast("int").alias("selected"))
 
 
@@ -154,7 +165,7 @@ def facet_capped(spark, sf_dir):
     p, _ = normalize_profile({"companies": CAP_SELECTED})
     c = views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "orders"), F.expr("o_custkey = c_custkey"))
     counts = c.groupBy(F.lit("company").alias("dim"), F.col("c_name").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return facets.finish_facets(counts, p).where("dim = 'company'").select("dim", "value", F.col("count").alias("n"), "position", "truncated")
+    return facets.finish_facets(materialize(counts, "facet_counts"), p).where("dim = 'company'").select("dim", "value", F.col("count").alias("n"), "position", "truncated")
 
 
 def _flagged(spark, sf_dir, raw):
