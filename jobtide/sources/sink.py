@@ -21,8 +21,9 @@ def write_corpus(tables: dict[str, DataFrame], root: str, version: str | None =
     for name, df in tables.items():
         spark = df.sparkSession
         by = [c for c in PARTITIONS.get(name, []) if c in df.columns]
-        # One shuffle by the partition columns plus a spread keeps files few without one task per value.
-        out = df.repartition(*by, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(16))) if by else df
+        # Rebalancing groups rows by partition value and lets AQE split a value that holds
+        # most of the table and merge small ones, so files come out even.
+        out = df.hint("rebalance", *by) if by else df
         writer = out.write.mode("error")
         (writer.partitionBy(*by) if by else writer).parquet(f"{root}/v={version}/{name}")
     pointer = spark.createDataFrame([(int(version),)], "version long")
