@@ -12,7 +12,9 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -47,6 +49,11 @@ class Vocabulary:
             if splits:
                 self.parts[i] = splits[0]
                 self.joined[splits[0]] = i
+        # Finds all tokens that end at each byte, longest first; bytes stand as the characters of the same number.
+        self.ending = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), (i, len(token)))
+        self.ending.make_automaton()
 
     def _border(self, a: int, b: int) -> bool:
         """Undo the latest merge beside the border again and again; the border falls if a merge over it would have come earlier."""
@@ -86,15 +93,14 @@ class PrefixEncoder:
         return self
 
     def _extend(self, end: int) -> None:
-        ranks, longest, holds, last, data = self.vocabulary.ranks, self.vocabulary.longest, self.vocabulary.holds, self.last, self.data
-        for i in range(len(last), end + 1):
-            for start in range(max(0, i - longest), i):
-                token = ranks.get(data[start:i])
-                if token is not None and (start == 0 or holds(last[start], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("no token ends here; the vocabulary lacks a byte")
+        holds, last, begin = self.vocabulary.holds, self.last, len(self.last)
+        back = max(0, begin - self.vocabulary.longest)
+        for at, (token, size) in self.vocabulary.ending.iter(self.data[back:end].decode("latin-1")):
+            i = back + at + 1
+            if i == len(last) and (i == size or holds(last[i - size], token)):
+                last.append(token)
+        if len(last) <= end:
+            raise ValueError("no token ends here; the vocabulary lacks a byte")
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixEncoder:
         """Bytes [start, end) become ``new``. Only the edit and what follows it up to agreement is worked out again."""
@@ -130,14 +136,23 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pieces = vocabulary, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8")
-        whole = self.vocabulary.ranks.get(data)
-        return [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).ids()
+        ids = self.known_pieces.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            whole = self.vocabulary.ranks.get(data)
+            ids = [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).ids()
+            if len(piece) <= LONGEST_KEPT:
+                if len(self.known_pieces) >= KEPT:
+                    self.known_pieces.clear()
+                self.known_pieces[piece] = ids
+        return ids
 
     def _stretch(self, stretch: str) -> bytes:
-        out = np.array([i for p in self.pieces.findall(stretch) for i in self.piece(p)], "<u4").tobytes()
+        ids = [i for p in self.pieces.findall(stretch) for i in self.piece(p)]
+        out = pack(f"<{len(ids)}I", *ids)
         if len(stretch) <= LONGEST_KEPT:
             if len(self.known) >= KEPT:
                 self.known.clear()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+from . import byte_bpe
 from .exact_dedup import exact_dedup
+from .token_output import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +32,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+
+
+@query("op3_token_output")
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_root(spark).rstrip('/')}/jobtide/tokens-{uuid.uuid4().hex}"
+    write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path(WORD_TOKENIZER))
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    decoded = byte_bpe.decode(encoded, path, pattern)
+    return decoded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
