@@ -21,12 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import strings
+from .common import slices, strings
 
 BYTES = 256
 # A space next to more white space: there a piece may reach over the space.
 WIDE_SPACE = re.compile(r" \s|\s ")
-KEPT, LONGEST_KEPT = 1 << 20, 128
+# Bounds of a worker's memory: entries of each table, characters of a key, rows worked on at once.
+KEPT, LONGEST_KEPT, ROWS = 1 << 18, 64, 512
 
 
 class Vocabulary:
@@ -125,9 +126,24 @@ class PrefixEncoder:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> Vocabulary:
+def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def load(path: str) -> Vocabulary:
+    return Vocabulary(ranks_of(path))
+
+
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    ranks = ranks_of(path)
+    return [t for t, _ in sorted(ranks.items(), key=lambda r: r[1])]
+
+
+def decode_ids(tokens: list[bytes], ids: bytes) -> bytes:
+    """The bytes that little-endian unsigned 32-bit ids stand for."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class Codec:
@@ -173,9 +189,6 @@ class Codec:
             parts = [first, *[" " + r for r in rest]]
         return b"".join([known.get(p) or stretch(p) for p in parts])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
@@ -195,20 +208,20 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = pa.array([own.encode(s) for s in strings(batch, text_col)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
 
     return df.mapInArrow(run, _with(df, out_col, T.BinaryType()))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``: the bytes that the ids stand for; null ids decode to nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            data = pa.array([own.decode(i or b"") for i in batch.column(ids_col).to_pylist()], pa.binary())
+        tokens = token_bytes(path)
+        for batch in slices(batches, ROWS):
+            data = pa.array([decode_ids(tokens, i or b"") for i in batch.column(ids_col).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, data], names=[*batch.schema.names, out_col])
 
     return df.mapInArrow(run, _with(df, out_col, T.BinaryType()))

@@ -19,6 +19,13 @@ def strings(batch, name: str) -> list[str]:
     return ["" if s is None else s for s in batch.column(name).to_pylist()]
 
 
+def slices(batches, rows: int):
+    """Arrow batches of at most so many rows, so that a worker holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hash_bucket(key: Column, buckets: int) -> Column:
     """Order-preserving bucket of a uniform 64-bit key: equal shares, ascending with the key. ``buckets`` is a power of two."""
     bits = buckets.bit_length() - 1
