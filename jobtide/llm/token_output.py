@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import struct
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -23,12 +24,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, strings
+from .common import shuffle_partitions, slices, strings
 
 MAGIC = b"IDSZSTD1"
 HEADER = struct.Struct("<8s32sQB7x")
 NO_ID = -(1 << 63)
-KEPT, LONGEST_KEPT = 1 << 20, 64
+# Bounds of a worker's memory: stretches remembered, characters of one, rows worked on at once.
+KEPT, LONGEST_KEPT, ROWS = 1 << 18, 64, 256
 
 
 # --- the file format -------------------------------------------------------------------------------------------------
@@ -96,6 +98,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -137,7 +140,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text
         return b""
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = [np.frombuffer(i, "<u4") for i in word_encoder(tokenizer_path).encode(strings(batch, text_col))]
             yield pa.RecordBatch.from_arrays([pa.array([serialise(a, width_of([a]))[:sample_bytes] for a in ids], pa.binary())], names=["ids"])
 
@@ -177,18 +180,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 pa.array([at], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()),
                 pa.array([pack_file(ids, keys, dictionary)], pa.binary())], names=["part", "before", "docs", "ids", "file"])
 
-        for batch in batches:
-            texts = strings(batch, text_col)
-            for lo in range(0, len(texts), 256):
-                encoded = encoder.encode(texts[lo:lo + 256])
-                for p, k, e in zip(batch.column("part").to_pylist()[lo:lo + 256], batch.column(id_col).to_pylist()[lo:lo + 256], encoded, strict=True):
-                    if ids and (p != at or held >= file_ids):
-                        yield closed()
-                        before, ids, keys, held = before + held if p == at else 0, [], [], 0
-                    at = p
-                    ids.append(np.frombuffer(e + end, "<u4"))
-                    keys.append(k)
-                    held += len(ids[-1])
+        for batch in slices(batches, ROWS):
+            encoded = encoder.encode(strings(batch, text_col))
+            for p, k, e in zip(batch.column("part").to_pylist(), batch.column(id_col).to_pylist(), encoded, strict=True):
+                if ids and (p != at or held >= file_ids):
+                    yield closed()
+                    before, ids, keys, held = before + held if p == at else 0, [], [], 0
+                at = p
+                ids.append(np.frombuffer(e + end, "<u4"))
+                keys.append(k)
+                held += len(ids[-1])
         if ids:
             yield closed()
 
