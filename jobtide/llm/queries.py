@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_root
 from . import byte_bpe
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .sharding import kd_shards
 from .token_output import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +49,34 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    decoded = byte_bpe.decode(encoded, path, pattern)
+    decoded = byte_bpe.decode(encoded, path)
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op7_mixing", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY source),
+r AS (SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - 3.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER (ORDER BY ratio, source IS NULL, source) AS place FROM r),
+t AS (SELECT source, source_size, CASE WHEN water IS NULL OR ratio <= water THEN 3.0::DOUBLE * source_size ELSE w * water END AS target
+  FROM (SELECT *, (SELECT level FROM l WHERE ratio >= level ORDER BY place LIMIT 1) AS water FROM l)),
+b AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE floor(target / source_size) * size
+  + least(size, greatest(floor(target) - floor(target / source_size) * source_size - before, 0)) END AS BIGINT) AS taken
+FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source""")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards(documents(spark, sf_dir), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
