@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_root
 from . import byte_bpe
 from .exact_dedup import exact_dedup
+from .language_id import identify, train
 from .mixing import mix
 from .sharding import kd_shards
 from .token_output import read_tokens, write_tokens
@@ -45,6 +46,14 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    model = train(docs.where(~held_out))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
