@@ -14,6 +14,7 @@ from . import byte_bpe
 from .exact_dedup import exact_dedup
 from .language_id import identify, train
 from .mixing import mix
+from .neighbours import nearest
 from .sharding import kd_shards
 from .simhash import hex_fingerprint, simhash_groups
 from .token_output import read_tokens, write_tokens
@@ -40,6 +41,12 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 @query("op3_token_output")
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_root(spark).rstrip('/')}/jobtide/tokens-{uuid.uuid4().hex}"
