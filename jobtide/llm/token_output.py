@@ -13,6 +13,7 @@ import hashlib
 import math
 import os
 import struct
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,8 @@ HEADER = struct.Struct("<8s32sQB7x")
 NO_ID = -(1 << 63)
 # Bounds of a worker's memory: stretches remembered, characters of one, rows worked on at once.
 KEPT, LONGEST_KEPT, ROWS = 1 << 18, 64, 256
+MARKS = ",.;:!?"
+DOTTED = "\u0130"  # the one letter that lower-cases to a letter and a mark
 
 
 # --- the file format -------------------------------------------------------------------------------------------------
@@ -104,18 +107,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _ask(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words not known yet. One mark of punctuation after letters or digits is a piece of its own, so it is cut off first."""
+        known, older = self.known, self.older
+        seen = {w: i for w in new if (i := older.get(w)) is not None}
+        known.update(seen)
+        new = new - seen.keys()
+        ends = {w: w[:-1] for w in new if w[-1] in MARKS and w[:-1].isalnum() and DOTTED not in w}
+        ask = [w for w in {*(new - ends.keys()), *ends.values(), *{w[-1] for w in ends}} if w not in known]
+        fresh = dict(zip(ask, self._ask(ask), strict=True))
+        known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_KEPT)
+        for w, stem in ends.items():
+            fresh[w] = (fresh.get(stem) or known[stem]) + (fresh.get(w[-1]) or known[w[-1]])
+            if len(w) <= LONGEST_KEPT:
+                known[w] = fresh[w]
+        return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT:
-            self.known = {"": b""}
+            # Words in use come back from the older table; the rest is forgotten with it.
+            self.known, self.older = {"": b""}, self.known
         known = self.known
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        fresh = dict(zip(new, self._ask(new), strict=True))
-        known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_KEPT)
+        # A-Z would be lower-cased by the tokenizer anyway.
+        plain = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
+        fresh = self._learn({w for ws in words for w in ws if w not in known})
         return [b"".join([i if (i := known.get(w)) is not None else fresh[w] for w in ws]) for ws in words]
 
 
