@@ -42,7 +42,9 @@ def fit(vectors: DataFrame, trees: int, seed: int, sample: int) -> Hasher | None
     rows = vectors.select(F.xxhash64("id").alias("k"), "id", "vec").orderBy("k", "id").limit(sample).collect()
     if not rows:
         return None
-    some = np.stack([np.frombuffer(r["vec"], np.float64) for r in rows])
+    lengths = [len(r["vec"]) for r in rows]
+    common = max(sorted(set(lengths)), key=lengths.count)
+    some = np.stack([np.frombuffer(r["vec"], np.float64) for r in rows if len(r["vec"]) == common])
     return Hasher(some.mean(0), np.random.default_rng(seed).standard_normal((trees, some.shape[1], BITS)))
 
 
@@ -119,7 +121,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     climbing, and ``floor`` their least number: they set recall, the same at every
     size, since shards do not grow.
     Vectors that are null, empty, zero, or hold a null or non-finite component
-    take no part, nor do vectors whose length differs from the sample's. Equal
+    take no part, nor do vectors whose length is not the sample's commonest. Equal
     vectors are indexed once per shard and all found. An empty table gives an
     empty result.
     """
