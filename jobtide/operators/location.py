@@ -485,7 +485,8 @@ def derive_location(df: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     # The title is read only where the location fields named no country.
     silent = F.coalesce(F.size("countries"), F.lit(0)) <= 0
     titles = out.where(silent & F.col("title").isNotNull()).select("title").distinct()
-    out = out.withColumn("_title", F.when(silent, F.col("title"))).join(
+    # A posting that needs no title joins on a key of its own that no title has, so such rows are spread evenly.
+    out = out.withColumn("_title", F.when(silent, F.col("title")).otherwise(F.concat(F.lit("\0"), F.col("id")))).join(
         title_places(titles, places).select(F.col("title").alias("_title"), F.col("place").alias("_t")), "_title", "left")
 
     def both(name: str) -> Column:

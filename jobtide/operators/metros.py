@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.gazetteer import DEFAULT, Gazetteer
 from ..functions.scalar import country_names
 from ..functions.text import title_case
-from ..session import small
 
 col = F.col
 
@@ -88,7 +87,7 @@ def resolve_places(names: DataFrame, countries: DataFrame, metros: DataFrame) ->
     by_metro = ids.union(labels).groupBy("key").agg(F.min_by("metro", "o").alias("metro"))
 
     def lookup(df: DataFrame, table: DataFrame, value: str, key: str) -> DataFrame:
-        return df.join(small(table.select(col("key").alias(key), col(value).alias(f"{value}{key}"))), key, "left")
+        return df.join(table.select(col("key").alias(key), col(value).alias(f"{value}{key}")), key, "left")
 
     for key in ("_a", "_b"):
         n = lookup(lookup(n, by_country, "country", key), by_metro, "metro", key)

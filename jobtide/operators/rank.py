@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .derive_text import round_half_up
 
 col = F.col
@@ -191,7 +192,8 @@ def sample_evenly(df: DataFrame, order, n: int, buckets: int | None = None) -> D
 
 def _numbered(df: DataFrame, order, buckets: int | None) -> DataFrame:
     parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    # Sizes and row numbers must rest on the same ranges, and a ranged plan run twice samples its bounds twice; so it is stored.
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
     before = sizes.select(
         "_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),

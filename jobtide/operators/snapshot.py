@@ -49,18 +49,29 @@ class Merged:
     events: DataFrame
 
 
+def swept_listings(snapshot: DataFrame, boards: DataFrame) -> DataFrame:
+    """Delivered rows of the boards swept today, with ``company_id``, ``board_name`` and ``_order``.
+
+    Of a posting listed twice the last listing counts: the largest ``_order``,
+    which is the ``position`` column where there is one, then the row's hash, so
+    that its row and its text are taken from the same listing.
+    """
+    swept = boards.where(col("outcome") == "swept").select(F.concat_ws(":", "ats", "slug").alias("company_id"), col("name").alias("board_name"))
+    place = col("position").cast("long") if "position" in snapshot.columns else F.lit(0).cast("long")
+    keyed = snapshot.withColumn("company_id", F.concat_ws(":", "ats", "company_slug")).withColumn("_order", F.struct(place.alias("place"), F.xxhash64(*snapshot.columns).alias("hash")))
+    return keyed.join(swept, "company_id")
+
+
 def join_snapshot(current: DataFrame, snapshot: DataFrame, boards: DataFrame) -> DataFrame:
     """Stored and new row side by side (structs ``o`` and ``n``) with the board's outcome today."""
     outcomes = boards.select(F.concat_ws(":", "ats", "slug").alias("company_id"), "outcome", col("name").alias("board_name"))
     stored = current.select("id", "company_id", F.struct(*[col(c) for c in columns(POSTINGS_RAW)]).alias("o"))
     stored = stored.join(outcomes.select("company_id", "outcome"), "company_id", "left").drop("company_id")
-    fresh = snapshot.withColumn("company_id", F.concat_ws(":", "ats", "company_slug")).join(
-        outcomes.where(col("outcome") == "swept").select("company_id", "board_name"), "company_id")
-    # The text itself stays out of the shuffle: the merge needs its length only.
+    fresh = swept_listings(snapshot, boards)
+    # The text itself stays out of this shuffle: the row needs its length only.
     carried = [c for c in snapshot.columns if c != "description_text"]
     length = F.length("description_text").alias("text_length")
-    # A posting listed twice on one board is one posting.
-    fresh = fresh.select("id", F.struct("company_id", "board_name", length, *carried).alias("n")).dropDuplicates(["id"])
+    fresh = fresh.select("id", "_order", F.struct("company_id", "board_name", length, *carried).alias("n")).groupBy("id").agg(F.max_by("n", "_order").alias("n"))
     return stored.join(fresh, "id", "full_outer").withColumn("swept", F.coalesce(col("outcome") == "swept", F.lit(False)))
 
 
@@ -125,13 +136,14 @@ def merge_snapshot(current: DataFrame, text: DataFrame, snapshot: DataFrame, boa
         ), lambda e: e.isNotNull()),
     })
     events = rows.select("id", F.lit(day).cast("date").alias("day"), F.explode("_events").alias("event"))
-    return Merged(joined, rows.select(*columns(POSTINGS_RAW)), merge_text(text, snapshot), events)
+    return Merged(joined, rows.select(*columns(POSTINGS_RAW)), merge_text(text, snapshot, boards), events)
 
 
-def merge_text(text: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Text that was read replaces the stored one, even by nothing; unread text stays."""
-    read = snapshot.where("has_text").select("id", col("description_text").alias("text")).dropDuplicates(["id"])
-    return text.join(snapshot.where("has_text").select("id"), "id", "left_anti").select("id", "text").unionByName(read)
+def merge_text(text: DataFrame, snapshot: DataFrame, boards: DataFrame) -> DataFrame:
+    """Text that was read on a board swept today replaces the stored one, even by nothing; other text stays."""
+    listings = swept_listings(snapshot, boards)
+    last = listings.groupBy("id").agg(F.max_by(F.struct("has_text", col("description_text").alias("text")), "_order").alias("n")).where("n.has_text")
+    return text.join(last.select("id"), "id", "left_anti").select("id", "text").unionByName(last.select("id", "n.text"))
 
 
 def append_events(log: DataFrame, events: DataFrame) -> DataFrame:

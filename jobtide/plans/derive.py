@@ -54,7 +54,7 @@ def derive_incremental(postings: DataFrame, texts: DataFrame, as_of, places: Gaz
     ``postings`` holds the earlier derived columns.
     """
     stale = postings.where(col("d_derived_at").isNull())
-    stale = stale.limit(limit) if limit else stale
+    stale = stale.orderBy("id").limit(limit) if limit else stale
     fresh = derive(materialize(stale, "stale") if limit else stale, texts, as_of, places)
     kept = postings.where(col("d_derived_at").isNotNull())
     if limit:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,12 +105,29 @@ class Search:
         terms = self.profile["exclude_description_keywords"]
         return self._matching(terms, "any") if terms else None
 
+    @property
+    def _missing(self) -> DataFrame:
+        """Ids of postings without text: by the texts, else by the stored length, else those with no word of a body in the index."""
+        if self.texts is not None:
+            return textindex.missing_text(self.view, self.texts, "body")
+        if "text_length" in self.view.columns:
+            return self.view.where(F.coalesce("text_length", F.lit(0)) == 0).select("id")
+        return self.view.select("id").join(self.index.where(col("field") == "body").select("id"), "id", "left_anti")
+
+    def _keyword_hits(self, terms: list[str]) -> DataFrame:
+        """(id, _hits): the keywords found in a posting's body, in the profile's order. Only findings leave the scan."""
+        if self.texts is not None:
+            found = self.texts.select("id", term_hits(fold(col("body")), terms).alias("_hits"))
+            return found.where(F.size("_hits") > 0)
+        each = [textindex.match_terms(self.index, [t], "any").withColumn("_t", F.lit(t)) for t in terms]
+        found = reduce(DataFrame.unionByName, each).groupBy("id").agg(F.collect_set("_t").alias("_found"))
+        return found.select("id", F.array_intersect(F.array(*[F.lit(t) for t in terms]), "_found").alias("_hits"))
+
     def _keyword_flags(self, df: DataFrame) -> DataFrame:
         if not self.keywords:
             return df
         gate = self._matching(self.keywords, self.profile["description_match"])
-        missing = textindex.missing_text(self.view, self.texts, "body") if self.texts is not None else None
-        return self._flag(self._flag(df, gate, "text_hit"), missing, "text_missing")
+        return self._flag(self._flag(df, gate, "text_hit"), self._missing, "text_missing")
 
     @cached_property
     def gated(self) -> DataFrame:
@@ -136,12 +153,10 @@ class Search:
     def _ranked(self, bucket: str, k: int, offset: int) -> DataFrame:
         p = self.profile
         kept = criteria.keep_bucket(self.visible, p, bucket)
-        if self.keywords and self.texts is not None:
-            # Text is joined after filtering, and only here.
-            body = self.texts.select("id", fold(col("body")).alias("_body"))
+        if self.keywords:
             none = F.array().cast("array<string>")
-            kept = kept.join(body, "id", "left").withColumn(
-                "description_hits", F.coalesce(term_hits(col("_body"), p["description_keywords"]), none)).drop("_body")
+            kept = kept.join(self._keyword_hits(p["description_keywords"] if self.texts is not None else self.keywords), "id", "left").withColumn(
+                "description_hits", F.coalesce("_hits", none)).drop("_hits")
         scored = rank.score(kept, p)
         if p["collapse_duplicates"]:
             scored = rank.collapse_duplicates(scored, p["sort"])

@@ -1,4 +1,4 @@
-"""Session set-up, durable cut points and size-checked broadcasts."""
+"""Session set-up and durable cut points."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "jobtide", cores: str | int = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -24,7 +23,8 @@ def get_spark(app: str = "jobtide", cores: str | int = "*", shuffle_partitions:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small single-file tables are dealt over as many tasks before heavy row-local work.
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.jobtide.inputPartitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -52,13 +52,3 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/jobtide/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it small.
-
-    ``limit`` stops the count one row past the bound. Beyond it the frame is
-    returned unhinted and Spark picks a shuffled join.
-    """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df

@@ -74,24 +74,27 @@ def hidden_ids(spark, sf_dir):
     return marks.hidden_ids(_by_status(spark, sf_dir), "7")
 
 
-def _lists(spark, sf_dir):
+def _lists(spark, sf_dir, listed="o_orderkey % 4 <> 1"):
     o = table(spark, sf_dir, "orders")
     lists = o.selectExpr("'l' || o_custkey || '-' || (o_orderkey % 3) AS list_id", "CAST(o_custkey AS STRING) AS user_id", "'name' AS name", "TIMESTAMP'2026-01-01' AS created_at").distinct()
-    items = o.where("o_orderkey % 4 <> 1").selectExpr("'l' || o_custkey || '-' || (o_orderkey % 3) AS list_id", "'x:' || o_orderkey AS id", "o_orderdate AS added_at")
+    items = o.where(listed).selectExpr("'l' || o_custkey || '-' || (o_orderkey % 3) AS list_id", "'x:' || o_orderkey AS id", "o_orderdate AS added_at")
     return lists, items
 
 
 ITEMS = "i AS (SELECT 'l' || o_custkey || '-' || (o_orderkey % 3) AS list_id, CAST(o_custkey AS VARCHAR) AS user_id, 'x:' || o_orderkey AS id, o_orderkey FROM orders WHERE o_orderkey % 4 <> 1)"
 
 
-@query("saved_in_list", f"WITH {ITEMS} SELECT list_id, id FROM i WHERE o_orderkey % 3 <> 0")
+ALL_ITEMS = ITEMS.replace("WHERE o_orderkey % 4 <> 1", "")
+
+
+@query("saved_in_list", f"WITH {ALL_ITEMS} SELECT list_id, id FROM i WHERE o_orderkey % 3 <> 0")
 def saved_in_list(spark, sf_dir):
-    return marks.saved_in_list(_saved(spark, sf_dir), *_lists(spark, sf_dir)).select("list_id", "id")
+    return marks.saved_in_list(_saved(spark, sf_dir), *_lists(spark, sf_dir, "true")).select("list_id", "id")
 
 
-@query("list_membership", f"WITH {ITEMS} SELECT user_id, id, string_agg(list_id, ',' ORDER BY list_id) AS list_ids FROM i GROUP BY 1, 2")
+@query("list_membership", f"WITH {ALL_ITEMS} SELECT user_id, id, string_agg(list_id, ',' ORDER BY list_id) AS list_ids FROM i GROUP BY 1, 2")
 def list_membership(spark, sf_dir):
-    return marks.list_membership(*_lists(spark, sf_dir)).select("user_id", "id", F.array_join("list_ids", ",").alias("list_ids"))
+    return marks.list_membership(*_lists(spark, sf_dir, "true")).select("user_id", "id", F.array_join("list_ids", ",").alias("list_ids"))
 
 
 @query("lists_with_counts", f"WITH {ITEMS}, l AS (SELECT DISTINCT 'l' || o_custkey || '-' || (o_orderkey % 3) AS list_id FROM orders) SELECT l.list_id, count(i.id) AS n FROM l LEFT JOIN i USING (list_id) GROUP BY 1")
@@ -143,9 +146,9 @@ def _company_postings(spark, sf_dir):
 
 @query("companies_to_read",
        "WITH r AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT 'ashby:b' || c_custkey AS id, n AS open_roles FROM customer JOIN r ON o_custkey = c_custkey "
-       "WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 ORDER BY n DESC, id LIMIT 50")
+       "WHERE c_custkey % 7 <> 0 ORDER BY n DESC, id LIMIT 50")
 def companies_to_read(spark, sf_dir):
-    c = companies(spark, sf_dir).withColumn("sector_at", F.when(F.expr("CAST(substring(slug, 2) AS BIGINT) % 7 = 0"), F.lit(NOW).cast("timestamp")))
+    c = companies(spark, sf_dir, "true").withColumn("sector_at", F.when(F.expr("CAST(substring(slug, 2) AS BIGINT) % 7 = 0"), F.lit(NOW).cast("timestamp")))
     return dossier.companies_to_read(c, _company_postings(spark, sf_dir), limit=50).select("id", "open_roles")
 
 

@@ -294,8 +294,8 @@ def salary_label(spark, sf_dir):
        "picks AS (SELECT DISTINCT CAST(i * n // 97 AS BIGINT) AS rn FROM (SELECT unnest(range(97)) AS i), (SELECT max(n) AS n FROM o)) "
        "SELECT o_orderkey FROM o JOIN picks USING (rn)")
 def sample_evenly(spark, sf_dir):
-    orders = views.table(spark, sf_dir, "orders").select("o_orderkey")
-    return rank.sample_evenly(orders, [F.col("o_orderkey")], 97)
+    orders = views.table(spark, sf_dir, "orders")
+    return rank.sample_evenly(orders, [F.col("o_orderkey")], 97).select("o_orderkey")
 
 
 @query("top_n_per_company",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import changes, snapshot
@@ -122,8 +123,7 @@ def merge_events(spark, sf_dir):
 @query("merge_text", f"{MERGE} SELECT id, CASE WHEN arrived AND has_text THEN new_text WHEN stored THEN old_text END AS text FROM m WHERE stored OR has_text")
 def merge_text(spark, sf_dir):
     """Text of boards swept today; unread text stays."""
-    swept = boards(spark, sf_dir).where("outcome = 'swept'").select(F.col("slug").alias("company_slug"))
-    return snapshot.merge_text(stored_text(spark, sf_dir), delivered(spark, sf_dir).join(swept, "company_slug", "left_semi"))
+    return _merged(spark, sf_dir).text
 
 
 @query("append_events", f"{MERGE}, old AS (SELECT id, '{DAY}' AS day, event FROM e WHERE event = 'changed' UNION SELECT id, '2026-01-01', 'appeared' FROM m WHERE stored) "
@@ -147,8 +147,9 @@ def sweep_totals(spark, sf_dir):
     return snapshot.sweep_totals(m.joined, m.events, boards(spark, sf_dir))
 
 
-def companies(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+def companies(spark, sf_dir, known="c_custkey % 3 <> 0"):
+    """Stored companies; by default a slice, so that boards without a company row are met too."""
+    c = table(spark, sf_dir, "customer").where(known)
     return fill(c, COMPANIES, id="'ashby:b' || c_custkey", ats="'ashby'", slug="'b' || c_custkey", name="CASE WHEN c_custkey % 5 <> 0 THEN c_name END", name_source="CASE WHEN c_custkey % 5 <> 0 THEN 'api' END",
                 job_count="1L", first_seen=f"TIMESTAMP'{BEFORE}'", last_seen=f"TIMESTAMP'{BEFORE}'", status="'live'", discovery="CASE WHEN c_custkey % 2 = 0 THEN 'list' END")
 
@@ -190,9 +191,9 @@ def repair_links(spark, sf_dir):
 
 @query("repair_companies",
        "WITH g AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 4 <> 3) SELECT 'b' || c_custkey AS slug, "
-       f"coalesce(CASE WHEN g.o_custkey IS NOT NULL THEN {RESOLVED_NAME} END, CASE WHEN c_custkey % 5 <> 0 THEN c_name END) AS name FROM customer LEFT JOIN g ON g.o_custkey = c_custkey WHERE c_custkey % 3 <> 0")
+       f"coalesce(CASE WHEN g.o_custkey IS NOT NULL THEN {RESOLVED_NAME} END, CASE WHEN c_custkey % 5 <> 0 THEN c_name END) AS name FROM customer LEFT JOIN g ON g.o_custkey = c_custkey")
 def repair_companies(spark, sf_dir):
-    return snapshot.repair_companies(companies(spark, sf_dir), _orgs(spark, sf_dir)).select("slug", "name")
+    return snapshot.repair_companies(companies(spark, sf_dir, "true"), _orgs(spark, sf_dir)).select("slug", "name")
 
 
 @query("needs_detail",
@@ -203,12 +204,12 @@ def needs_detail(spark, sf_dir):
     return snapshot.needs_detail(listing, stored)
 
 
-def _attempts(spark, sf_dir):
+def _attempts(spark, sf_dir, stored="k % 3 <> 0"):
     p = table(spark, sf_dir, "part")
     base = p.selectExpr("CASE p_partkey % 2 WHEN 0 THEN 'lever' ELSE 'ashby' END AS ats", "'s' || p_partkey AS slug", "200 AS status", "'live' AS verdict", "'old' AS strategy",
                         "CAST(NULL AS STRING) AS seed", "1 AS rank", f"TIMESTAMP'{BEFORE}' AS tried_at", "p_partkey AS k")
     tried = base.where("k % 4 < 2").withColumns({"status": F.lit(404), "verdict": F.lit("dead"), "strategy": F.lit("new"), "tried_at": F.lit(NOW).cast("timestamp")})
-    return base.where("k % 3 <> 0").drop("k"), tried.drop("k")
+    return base.where(stored).drop("k"), tried.drop("k")
 
 
 @query("record_attempts",
@@ -218,18 +219,18 @@ def record_attempts(spark, sf_dir):
     return snapshot.record_attempts(*_attempts(spark, sf_dir)).select("ats", "slug", "verdict", "strategy")
 
 
-@query("known_slugs", "SELECT 's' || p_partkey AS slug FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 0")
+@query("known_slugs", "SELECT 's' || p_partkey AS slug FROM part WHERE p_partkey % 2 = 0")
 def known_slugs(spark, sf_dir):
-    return snapshot.known_slugs(_attempts(spark, sf_dir)[0], "lever")
+    return snapshot.known_slugs(_attempts(spark, sf_dir, "true")[0], "lever")
 
 
 @query("record_sectors",
        "SELECT 'ashby:b' || c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'ai' END AS sector, CASE WHEN c_custkey % 2 = 0 THEN 'Does ' || c_mktsegment END AS blurb, "
-       f"CASE WHEN c_custkey % 2 = 0 THEN '{DAY}' END AS sector_at FROM customer WHERE c_custkey % 3 <> 0")
+       f"CASE WHEN c_custkey % 2 = 0 THEN '{DAY}' END AS sector_at FROM customer")
 def record_sectors(spark, sf_dir):
     read = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr(
         "'ashby:b' || c_custkey AS id", "CASE WHEN c_custkey % 4 = 0 THEN 'ai' ELSE 'unheard-of' END AS sector", "' Does ' || c_mktsegment AS blurb", "'m' AS src", f"TIMESTAMP'{NOW}' AS at")
-    out = snapshot.record_sectors(companies(spark, sf_dir), read)
+    out = snapshot.record_sectors(companies(spark, sf_dir, "true"), read)
     return out.select("id", "sector", "blurb", F.date_format("sector_at", "yyyy-MM-dd").alias("sector_at"))
 
 
@@ -260,9 +261,8 @@ def observed(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type <> 'error'")
     seen = e.groupBy(F.col("user_id").cast("string").alias("id"), F.to_date("ts").alias("day")).agg(F.floor(F.max("value") / 8).cast("string").alias("hash"))
     days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
-    first = days.agg(F.min("day").alias("first")).withColumn("_one", F.lit(1))
-    numbered = days.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").select("day", F.datediff("day", "first").alias("n"))
-    return seen, numbered
+    # Swept days are numbered one after the other, so a day without a sweep is no gap; one row per day.
+    return seen, days.select("day", F.row_number().over(Window.orderBy("day")).alias("n"))
 
 
 DAILY = (

@@ -105,7 +105,7 @@ PATH = "'/job/x/Role%20' || o_orderkey"
 
 def _workday(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("page")).where("page <= 2")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("page"))
     row = f"named_struct('title', 'Role ' || o_orderpriority || CASE WHEN page = 2 THEN ' again' ELSE '' END, 'externalPath', {PATH}, 'locationsText', CASE WHEN o_orderkey % 3 = 0 THEN '3 Locations' ELSE 'Oslo' END)"
     pages = o.join(lines, "o_orderkey").select(F.expr(SLUG).alias("slug"), "page", F.expr(f"to_json(named_struct('total', 1, 'jobPostings', array({row})))").alias("body"))
     info = ("named_struct('jobPostingInfo', named_struct('title', 'Full ' || o_orderpriority, 'jobDescription', '<p>Text</p>', 'location', CASE WHEN o_orderkey % 4 = 0 THEN '2 Locations' ELSE 'Bergen' END, "
@@ -115,8 +115,8 @@ def _workday(spark, sf_dir):
     return pages, details
 
 
-LISTED = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 2)"
-FIRST = "(SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 2)"
+LISTED = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"
+FIRST = "(SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey)"
 
 
 @query("workday_postings",

@@ -12,7 +12,7 @@ from .registry import query, spread, table
 
 P = views.posting_sql()
 FOLD = views.FOLD_SQL.format
-T_CTE = f"WITH {views.TEXTS_SQL}"
+T_CTE = f"WITH {views.WHOLE_SQL}"
 
 
 def docs(spark, sf_dir):
@@ -148,7 +148,7 @@ TOKENS = "unnest(list_filter(regexp_split_to_array({f}, '[^\\p{{L}}\\p{{N}}]+'),
        f"{T_CTE}, k AS (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, {TOKENS.format(f=FOLD(c=f))} AS token FROM t" for f in ("title", "company", "body"))
        + ") SELECT field, token, count(*) AS n, count(DISTINCT id) AS postings FROM k GROUP BY field, token")
 def token_index(spark, sf_dir):
-    index = textindex.build_token_index(spread(views.texts(spark, sf_dir)))
+    index = textindex.build_token_index(spread(views.whole_texts(spark, sf_dir)))
     # Occurrences per posting first, so a word everywhere does not gather its postings in one task.
     per_posting = index.groupBy("field", "token", "id").agg(F.count(F.lit(1)).alias("n"))
     return per_posting.groupBy("field", "token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("postings"))
@@ -160,7 +160,7 @@ BODY = FOLD(c="body")
 
 
 def _index(spark, sf_dir):
-    return textindex.build_token_index(spread(views.texts(spark, sf_dir)))
+    return textindex.build_token_index(spread(views.whole_texts(spark, sf_dir)))
 
 
 @query("text_any", f"{T_CTE} SELECT id FROM t WHERE {WORD.format(f=BODY, t='hathre')} OR {WORD.format(f=BODY, t='leaux')} OR {WORD.format(f=BODY, t='worthless')}")
@@ -183,7 +183,7 @@ def text_phrase(spark, sf_dir):
        f"OR {WORD.format(f=BODY, t='hathre')}")
 def text_scan(spark, sf_dir):
     """The same phrases without an index: one narrow scan of the text."""
-    return spread(views.texts(spark, sf_dir)).where(textindex.match_terms_scan(F.col("body"), ["of the", "hathre"])).select("id")
+    return spread(views.whole_texts(spark, sf_dir)).where(textindex.match_terms_scan(F.col("body"), ["of the", "hathre"])).select("id")
 
 
 ALL_FIELDS = ["title", "company", "body"]
@@ -212,7 +212,7 @@ def text_field(spark, sf_dir):
        f"FROM t WHERE {_every(QUERY2, ALL_FIELDS)}")
 def text_query_scan(spark, sf_dir):
     """The same answer without an index."""
-    return textindex.text_query_scan(spread(views.texts(spark, sf_dir)), "the an")
+    return textindex.text_query_scan(spread(views.whole_texts(spark, sf_dir)), "the an")
 
 
 @query("search_text_index", f"{T_CTE} SELECT id FROM t WHERE {_every(QUERY2, ALL_FIELDS)} AND NOT {WORD.format(f=BODY, t='hathre')}")
@@ -223,7 +223,7 @@ def search_text_index(spark, sf_dir):
     return search(view, p, index=_index(spark, sf_dir)).visible.select("id")
 
 
-@query("text_exclude", f"{P}, {views.TEXTS_SQL} SELECT id FROM p WHERE id NOT IN (SELECT id FROM t WHERE {WORD.format(f=BODY, t='the')} OR {WORD.format(f=BODY, t='est')})")
+@query("text_exclude", f"{P}, {views.WHOLE_SQL} SELECT id FROM p WHERE id NOT IN (SELECT id FROM t WHERE {WORD.format(f=BODY, t='the')} OR {WORD.format(f=BODY, t='est')})")
 def text_exclude(spark, sf_dir):
     return textindex.exclude_text(views.postings(spark, sf_dir), _index(spark, sf_dir), ["the", "est"]).select("id")
 
@@ -274,7 +274,7 @@ def text_specificity(spark, sf_dir):
 
 
 @query("search_text",
-       f"{P}, {views.TEXTS_SQL}, h AS (SELECT id, CASE WHEN {_every(QUERY2, ['title'])} THEN 0.6 ELSE 0.05 END AS factor FROM t WHERE {_every(QUERY2, ALL_FIELDS)}), "
+       f"{P}, {views.WHOLE_SQL}, h AS (SELECT id, CASE WHEN {_every(QUERY2, ['title'])} THEN 0.6 ELSE 0.05 END AS factor FROM t WHERE {_every(QUERY2, ALL_FIELDS)}), "
        "z AS (SELECT (SELECT count(*) FROM p)::DOUBLE AS n, (SELECT count(*) FROM h)::DOUBLE AS m), "
        "sp AS (SELECT CASE WHEN m = 0 OR m >= n THEN 0.0 WHEN NOT ln(n / 100.0) > 0 THEN 1.0 ELSE greatest(0.0, least(1.0, ln(n / m) / ln(n / 100.0))) END AS spec FROM z), "
        "k AS (SELECT id, age_days, floor((factor * spec * 30.0 + 0.0 + coalesce(exp(-age_days / 90.0), 0.3) * 8.0 + "
@@ -282,4 +282,4 @@ def text_specificity(spark, sf_dir):
        "FROM p JOIN h USING (id), sp WHERE listed) SELECT id, score FROM k ORDER BY score DESC, coalesce(age_days, 9999), id LIMIT 50")
 def search_text(spark, sf_dir):
     """Free text gates and ranks: field of the hit times rarity of the words."""
-    return search(views.postings(spark, sf_dir), {"text": "the an", "limit": 50}, texts=spread(views.texts(spark, sf_dir))).results.select("id", "score")
+    return search(views.postings(spark, sf_dir), {"text": "the an", "limit": 50}, texts=spread(views.whole_texts(spark, sf_dir))).results.select("id", "score")

@@ -27,11 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a single small file over all cores before heavy per-row work.
-
-    A table of many files or row groups already has enough splits and is left alone.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * (8 << 20) else df
+    """Rows dealt over the partitions that ``spark.jobtide.inputPartitions`` names, for tables of one small file; unset, the scan's own splits stay."""
+    parts = df.sparkSession.conf.get("spark.jobtide.inputPartitions", None)
+    return df.repartition(int(parts)) if parts else df

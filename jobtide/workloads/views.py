@@ -103,6 +103,14 @@ TEXTS_SQL = (
 )
 
 
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, title, company, body) of every document."""
+    return table(spark, sf_dir, "documents").selectExpr(f"{POSTING['id'].format(**SPARK)} AS id", "split_part(text, chr(10), 1) AS title", "'Company ' || source AS company", "text AS body")
+
+
+WHOLE_SQL = f"t AS (SELECT {POSTING['id'].format(**DUCK)} AS id, split_part(text, chr(10), 1) AS title, 'Company ' || source AS company, text AS body FROM documents)"
+
+
 def joined(c: str) -> str:
     """Array column as text, the same in both engines."""
     return f"array_to_string({c}, ',')"

@@ -1,6 +1,7 @@
 """Run registered queries beside their SQL in DuckDB and compare values."""
 
 import math
+import os
 import sys
 import time
 
@@ -57,7 +58,8 @@ if __name__ == "__main__":
 
     sf = sys.argv[1]
     only = sys.argv[2:]
-    spark, con = get_spark("compare", cores=8, shuffle_partitions=8), connect(sf)
+    cores = os.environ.get("BENCH_CPUS", "8")
+    spark, con = get_spark("compare", cores=cores, shuffle_partitions=int(cores)), connect(sf)
     q, o = E.queries(), E.oracle_sql()
     bad = 0
     for name in q:

@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 from jobtide.operators.location import derive_location, parse_fragments, title_places, remote_scope
 
 METROS = [
+    ("Daly City, CA", ["sf-bay"]), ("Milpitas", ["sf-bay"]), ("Walnut Creek, CA", ["sf-bay"]), ("Manhattan Beach", ["la"]), ("Carrollton, TX", ["dallas"]),
+    ("Denton", ["dallas"]), ("Doral, FL", ["miami"]), ("Etobicoke", ["toronto"]), ("North York, ON", ["toronto"]), ("Laval", ["montreal"]),
+    ("Amstelveen", ["amsterdam"]), ("Haarlem, Netherlands", ["amsterdam"]), ("Saint-Denis", ["paris"]), ("Kowloon", ["hong-kong"]), ("Shibuya", ["tokyo"]),
+    ("Gangnam", ["seoul"]), ("Pasig", ["manila"]), ("Del Mar, CA", ["san-diego"]), ("Hackney", ["london"]), ("Thane", ["mumbai"]), ("Koeln", ["cologne"]),
     ("New York City", ["nyc"]), ("New York, NY", ["nyc"]), ("Brooklyn, NY", ["nyc"]),
     ("NYC | SF", ["nyc", "sf-bay"]), ("San Francisco Office", ["sf-bay"]),
     ("In person in New York City", ["nyc"]), ("Metzingen / Riederich", ["stuttgart"]),
@@ -102,3 +106,11 @@ def test_remote_scope(spark):
     df = spark.createDataFrame(rows, "i int, c array<string>, s array<string>")
     got = {r.i: r.v for r in df.select("i", remote_scope(F.col("c"), F.col("s")).alias("v")).collect()}
     assert got == {1: "country", 2: "region", 3: "region", 4: "worldwide", 5: None}
+
+
+def test_place_tables_are_whole():
+    """Every metro is listed with all its spellings, and none twice."""
+    from jobtide.functions.gazetteer import DEFAULT, METROS as TABLE
+
+    spellings = [c for *_, cities in TABLE for c in cities]
+    assert len(TABLE) == 65 and len(spellings) == len(set(spellings)) == len(DEFAULT.cities) == 336

@@ -140,3 +140,21 @@ def test_sample_is_even(spark):
     got = sorted(r.i for r in rank.sample_evenly(spark.range(103).select(F.col("id").alias("i")), [F.col("i")], 10, buckets=3).collect())
     assert got == [int(k * 10.3) for k in range(10)]
     assert rank.sample_evenly(spark.range(5), [F.col("id")], 10).count() == 5
+
+
+def test_sample_evenly_of_a_wide_frame(spark):
+    wide = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("i"), F.md5(F.col("id").cast("string")).alias("a"), F.lit("x").alias("b"), F.rand(1).alias("c"), (F.col("id") % 3).alias("d"))
+    got = sorted(r.i for r in rank.sample_evenly(wide.repartition(6), [F.col("i")], 97, buckets=5).collect())
+    assert got == [k * 20_000 // 97 for k in range(97)]
+    assert rank.sample_evenly(wide, [F.col("d")], 97, buckets=5).count() == 97
+
+
+def test_index_alone_leaves_absent_text_unknown(spark, sf_dir):
+    from jobtide.operators.textindex import build_token_index
+
+    texts, postings = views.texts(spark, sf_dir), views.postings(spark, sf_dir)
+    profile = {"description_keywords": ["the", "hathre"], "limit": 5000}
+    index = build_token_index(texts)
+    rows = [search(postings, profile, **options).results.select("id", "score", "description_hits").collect() for options in ({"texts": texts}, {"texts": texts, "index": index}, {"index": index})]
+    by_id = [{r.id: (r.score, sorted(r.description_hits)) for r in found} for found in rows]
+    assert by_id[0] and by_id[0] == by_id[1] == by_id[2]

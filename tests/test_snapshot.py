@@ -125,3 +125,26 @@ def test_bad_csv_column(spark, tmp_path):
         raise AssertionError("an unknown column must be refused")
     except ValueError:
         pass
+
+
+def test_last_listing_gives_row_and_text(spark):
+    """A posting listed twice takes row and text from the same, last listing, whatever the partitions."""
+    jobs = [job(id=f"ashby:acme:{i}", native_id=str(i), title=f"T{k}", description_text="x" * (10 + 7 * k + i % 3)) for i in range(60) for k in (0, 1)]
+    current, text = rows(spark, POSTINGS_RAW), rows(spark, POSTING_TEXT)
+    boards = rows(spark, BOARDS, {"ats": "ashby", "slug": "acme", "outcome": "swept"})
+    frame = rows(spark, SNAPSHOT, *jobs)
+    m = snapshot.merge_snapshot(current, text, frame.repartition(5), boards, "2026-01-01 06:00:00", "2026-01-01")
+    both = m.postings.select("id", "text_length").join(m.text, "id", "full_outer").collect()
+    assert len(both) == 60 and all(r.text_length == len(r.text) for r in both)
+    placed = frame.withColumn("position", F.when(F.col("title") == "T0", 2).otherwise(1))
+    m = snapshot.merge_snapshot(current, text, placed, boards, "2026-01-01 06:00:00", "2026-01-01")
+    assert {r.title for r in m.postings.collect()} == {"T0"} and {len(r.text) for r in m.text.collect()} == {10, 11, 12}
+
+
+def test_text_of_failed_boards_stays(spark):
+    _, text, _ = run(spark, [[job()]])
+    current, _, _ = run(spark, [[job()]])
+    boards = rows(spark, BOARDS, {"ats": "ashby", "slug": "acme", "outcome": "error"})
+    late = rows(spark, SNAPSHOT, job(description_text="partial"), job(id="ashby:acme:2", native_id="2"))
+    m = snapshot.merge_snapshot(current, text, late, boards, "2026-01-02 06:00:00", "2026-01-02")
+    assert [tuple(r) for r in m.text.collect()] == [("ashby:acme:1", "hello")] and m.postings.count() == 1
