@@ -32,6 +32,7 @@ HEADER = struct.Struct("<8s32sQB7x")
 NO_ID = -(1 << 63)
 # Bounds of a worker's memory: stretches remembered, characters of one, rows worked on at once.
 KEPT, LONGEST_KEPT, ROWS = 1 << 18, 64, 256
+LATIN_END = "\u0250"  # letters below it are composed already
 MARKS = ",.;:!?"
 DOTTED = "\u0130"  # the one letter that lower-cases to a letter and a mark
 
@@ -95,22 +96,29 @@ def _dictionary(data: bytes):
 # --- ids of a text ---------------------------------------------------------------------------------------------------
 
 class WordEncoder:
-    """A tokenizer whose pre-tokenizer drops white space, asked once per distinct stretch between plain spaces and line ends.
+    """A byte-level tokenizer that lower-cases and drops white space, asked once per distinct stretch between plain spaces and line ends.
 
     Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def _ask(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ask(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words. What normalising and splitting leave as it is, a run of small Latin letters, goes to the library's model at once."""
+        latin = {w for w in words if w.isalpha() and max(w) < LATIN_END and w == w.lower()}
+        tokenize, as_bytes = self.tokenizer.model.tokenize, self.bytes.pre_tokenize_str
+        out = {w: array("I", [t.id for t in tokenize(w if w.isascii() else as_bytes(w)[0][0])]).tobytes() for w in latin}
+        rest = [w for w in words if w not in latin]
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return out
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of words not known yet. One mark of punctuation after letters or digits is a piece of its own, so it is cut off first."""
@@ -120,7 +128,7 @@ class WordEncoder:
         new = new - seen.keys()
         ends = {w: w[:-1] for w in new if w[-1] in MARKS and w[:-1].isalnum() and DOTTED not in w}
         ask = [w for w in {*(new - ends.keys()), *ends.values(), *{w[-1] for w in ends}} if w not in known]
-        fresh = dict(zip(ask, self._ask(ask), strict=True))
+        fresh = self._ask(ask)
         known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_KEPT)
         for w, stem in ends.items():
             fresh[w] = (fresh.get(stem) or known[stem]) + (fresh.get(w[-1]) or known[w[-1]])
