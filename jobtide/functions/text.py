@@ -28,6 +28,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running_sums(numbers: Column, block: int = 64) -> Column:
+    """For each number of an array the sum of those before it. Blocks are summed first, so long arrays stay cheap."""
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0), lambda a, x: a + x)
+
+    def sums(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / block).cast("int")), lambda b: total(F.slice(n, b * block + 1, F.lit(block))))
+        bases = F.aggregate(blocks, F.array(F.lit(0)), lambda a, s: F.array_append(a, F.element_at(a, -1) + s))
+
+        def at(base: Column) -> Column:
+            def before(_, i: Column) -> Column:
+                b = F.floor(i / block).cast("int")
+                return F.get(base, b) + total(F.slice(n, b * block + 1, i - b * block))
+
+            return F.transform(n, before)
+
+        return let(bases, at)
+
+    return let(numbers, sums)
+
+
 def _strip_marks(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not "̀" <= c <= "ͯ")
 

@@ -13,7 +13,7 @@ from ..constants import (
     FX_USD, GUESS_ORDER, GUESSED_ONSITE, NUMBER_WORDS, PERIODS_PER_YEAR, SALARY_CEILING, SALARY_FLOOR,
     SALARY_GUESS_CEILING, SALARY_MAX_SPREAD,
 )
-from ..functions.text import any_term, fold, fold_lines, let, parse_number_word, terms_pattern
+from ..functions.text import any_term, fold, fold_lines, let, parse_number_word, running_sums, terms_pattern
 
 # What a source's own workplace word means.
 WORKPLACE_WORDS = {
@@ -141,16 +141,14 @@ def years_claims(description: Column) -> Column:
     each match's offset, and each claim is judged on the text just around it.
     """
     def matches(text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(YEARS), F.lit(0))
-        placed = F.aggregate(
-            F.zip_with(F.split(text, YEARS, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m"))),
-            F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,m:string>>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["next"] + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("next"),
-                F.concat(acc["out"], F.array(F.struct((acc["next"] + x["gap"]).alias("at"), x["m"].alias("m")))).alias("out"),
-            ),
-        )
-        return F.filter(placed["out"], lambda x: x["m"].isNotNull())
+        cuts = F.zip_with(F.split(text, YEARS, -1), F.regexp_extract_all(text, F.lit(YEARS), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+
+        def placed(pairs: Column) -> Column:
+            lengths = F.transform(pairs, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+            return let(running_sums(lengths), lambda before: F.filter(F.transform(pairs, lambda x, i: F.struct(
+                (F.get(before, i) + F.length(x["gap"]) + 1).alias("at"), x["m"].alias("m"), x["gap"].alias("gap"), (i == 0).alias("first"))), lambda x: x["m"].isNotNull()))
+
+        return let(cuts, placed)
 
     def window(text: Column, x: Column) -> Column:
         start = F.greatest(x["at"] - 60, F.lit(1))
@@ -158,12 +156,16 @@ def years_claims(description: Column) -> Column:
             F.substring(text, start, x["at"] - start).alias("before"),
             F.substring(text, x["at"] + F.length(x["m"]), F.lit(70)).alias("behind"),
             x["m"].alias("m"),
-            # The current line up to the number.
-            F.substring_index(F.substring(text, F.lit(1), F.greatest(x["at"] - F.when(x["at"] == 1, 1).otherwise(0), F.lit(0))), "\n", -1).alias("line"),
+            line(x).alias("line"),
             parse_number_word(F.regexp_extract(x["m"], YEARS, 1)).alias("min"),
             parse_number_word(F.nullif(F.regexp_extract(x["m"], YEARS, 2), F.lit(""))).alias("max"),
         )
 
+    def line(x: Column) -> Column:
+        """The current line up to the number. A line that holds an earlier match is no bullet, whatever follows."""
+        lead = F.concat(x["gap"], F.when(x["at"] > 1, F.left(x["m"], F.lit(1))).otherwise(""))
+        return F.when(x["first"] | lead.contains("\n"), F.substring_index(lead, "\n", -1)).otherwise(F.concat(F.lit("x"), lead))
+
     def is_claim(w: Column) -> Column:
         qualified = w["m"].rlike("(?:^|[^a-z])(?:over|more than|upwards of)\\s")
         lead = F.concat(F.regexp_replace(w["before"], "\\s+$", ""), F.when(qualified, " over").otherwise(""))

@@ -17,6 +17,7 @@ from ..constants import SECTORS
 from ..functions.scalar import external_job_url
 from ..functions.text import title_case
 from ..schemas import COMPANIES, POSTINGS_RAW, columns
+from ..session import materialize
 
 col = F.col
 # Kept from the stored row when the new one does not say.
@@ -113,13 +114,15 @@ def merged_columns(now) -> dict[str, Column]:
     return out
 
 
-def merge_snapshot(current: DataFrame, text: DataFrame, snapshot: DataFrame, boards: DataFrame, now, day) -> Merged:
+def merge_snapshot(current: DataFrame, text: DataFrame, snapshot: DataFrame, boards: DataFrame, now, day, store: bool = False) -> Merged:
     """Merge today's boards. Boards not read today, or read as an error, keep their rows untouched.
 
     A dead board closes its postings without an event; an unchanged one only
     renews ``last_seen``. Unread text keeps the stored text and its length.
+    ``store`` writes the joined rows once for all outputs that hang off them.
     """
     joined = join_snapshot(current, snapshot, boards)
+    joined = materialize(joined, "joined") if store else joined
     rows = joined.select("o", "n", "outcome", *[c.alias(k) for k, c in merged_columns(now).items()])
     new_hash = content_hash(col("_length"), "_hashed.")
     rows = rows.withColumn("_new_hash", F.when(col("_arrived"), new_hash))

@@ -13,8 +13,8 @@ col = F.col
 
 
 def sweep(current: DataFrame, text: DataFrame, events: DataFrame, companies: DataFrame, snap: DataFrame, boards: DataFrame, now, day) -> dict[str, DataFrame]:
-    """One day's snapshot into all tables. The merged rows are written once and read back by every output."""
-    merged = snapshot.merge_snapshot(current, text, snap, boards, now, day)
+    """One day's snapshot into all tables. The joined rows are written once and read back by every output."""
+    merged = snapshot.merge_snapshot(current, text, snap, boards, now, day, store=True)
     moves = materialize(merged.events, "events")
     counts = snap.groupBy(F.concat_ws(":", "ats", "company_slug").alias("company_id")).agg(F.count(F.lit(1)).alias("jobs"))
     return {

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.gazetteer import DEFAULT
 from ..operators import derive_text as D, location, metros
 from ..plans import derive as plan
+from ..session import materialize
 from . import views
 from .registry import query, spread, table
 
@@ -290,13 +291,13 @@ KNOWN = "(VALUES " + ", ".join(f"({_q(m)}, {_q(v[0])}, {_q(v[1]) if v[1] else 'N
 @query("metro_registry", f"{LOCATED}, n AS (SELECT m AS id, count(*) AS job_count FROM (SELECT unnest(metros) AS m FROM l) GROUP BY 1) "
        f"SELECT n.id, coalesce(label, upper(n.id[1]) || n.id[2:]) AS label, country, job_count FROM n LEFT JOIN {KNOWN} ON k.id = n.id")
 def metro_registry(spark, sf_dir):
-    located = location.derive_location(_customers(spark, sf_dir))
+    located = materialize(location.derive_location(_customers(spark, sf_dir)), "located")  # counted and voted on
     return metros.metro_registry(located, located).select("id", "label", "country", "job_count")
 
 
 @query("metro_aliases")
 def metro_aliases(spark, sf_dir):
-    located = location.derive_location(_customers(spark, sf_dir))
+    located = materialize(location.derive_location(_customers(spark, sf_dir)), "located")
     return metros.metro_aliases(metros.metro_registry(located, located), located)
 
 
@@ -401,8 +402,6 @@ def derive_incremental(spark, sf_dir):
        f"UNION ALL SELECT 'unmatched:829 boston post road', count(*) FROM q WHERE i = 10 OR j = 10 UNION ALL SELECT 'unmatched:building b', count(*) FROM q WHERE i = 9 OR j = 9) SELECT * FROM c")
 def derive_coverage(spark, sf_dir):
     """The derivation report. The derived rows feed four reports, so they are stored once."""
-    from ..session import materialize
-
     parts = plan.derive_coverage(materialize(_derived(spark, sf_dir).drop("text"), "derived"))
     cov = parts["coverage"]
     out = cov.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 6).alias("n")) for c in cov.columns])).alias("x")).select("x.*")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S, text as T
 from ..operators import rank, textindex
 from ..plans.search import search
+from ..session import checkpoint_root
 from . import views
 from .registry import query, spread, table
 
@@ -159,8 +162,18 @@ START = "regexp_matches({f}, '(^|[^\\p{{L}}\\p{{N}}]){t}')"
 BODY = FOLD(c="body")
 
 
+INDEXES: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, sf_dir):
-    return textindex.build_token_index(spread(views.whole_texts(spark, sf_dir)))
+    """The written index of the documents: made on first use in a session, read back by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        path = f"{checkpoint_root(spark).rstrip('/')}/jobtide/token-index-{uuid.uuid4().hex}"
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        textindex.write_token_index(textindex.build_token_index(spread(views.whole_texts(spark, sf_dir))), path, files)
+        INDEXES[key] = path
+    return spark.read.parquet(INDEXES[key])
 
 
 @query("text_any", f"{T_CTE} SELECT id FROM t WHERE {WORD.format(f=BODY, t='hathre')} OR {WORD.format(f=BODY, t='leaux')} OR {WORD.format(f=BODY, t='worthless')}")
