@@ -29,10 +29,10 @@ TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 NONE = -(1 << 63)
 
 
-def squeeze(*arrays: np.ndarray | bytes) -> bytes:
+def squeeze(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
     """Arrays in one compressed frame, each after its length."""
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
 
 
 def unsqueeze(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -142,7 +142,7 @@ def _batches(text_col: str, id_col: str, batch_bytes: int):
             lengths = np.array([len(t) for t in texts], np.int64)
             return pa.RecordBatch.from_arrays([
                 pa.array([(part << 32) | seq], pa.int64()),
-                pa.array([squeeze(np.array([NONE if i is None else i for i in ids], np.int64), lengths, b"".join(texts))], pa.binary())], names=["batch", "data"])
+                pa.array([squeeze(np.array([NONE if i is None else i for i in ids], np.int64), lengths, b"".join(texts), level=6)], pa.binary())], names=["batch", "data"])
 
         for batch in slices(batches, 256):
             for i, t in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
