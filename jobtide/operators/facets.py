@@ -279,7 +279,8 @@ def vocabulary(postings: DataFrame, metros: DataFrame, limit: int = 200) -> dict
     }
 
 
-def corpus_meta(postings: DataFrame, companies: DataFrame, metros: DataFrame, events: DataFrame, run_meta: DataFrame) -> dict[str, DataFrame]:
+def corpus_meta(postings: DataFrame, companies: DataFrame, metros: DataFrame, events: DataFrame, run_meta: DataFrame,
+                top_metros: int = 250, top_skills: int = 200, last_days: int = 60) -> dict[str, DataFrame]:
     """The corpus at a glance, one small frame per heading."""
     totals = postings.agg(
         F.count(F.lit(1)).alias("jobs"), F.count_if("is_open").alias("open"), F.count_if(col("d_derived_at").isNotNull()).alias("derived"))
@@ -295,12 +296,12 @@ def corpus_meta(postings: DataFrame, companies: DataFrame, metros: DataFrame, ev
         F.max_by(F.expr("try_cast(value AS bigint)"), "at").alias("at"))
     return {
         "totals": totals, "boards": boards, "jobs_with_sector": with_sector,
-        "metros": metros.orderBy(col("job_count").desc(), "id").limit(250),
-        "skills": top_counts(postings.select(F.explode("d_skills").alias("s")), "s", 200),
+        "metros": metros.orderBy(col("job_count").desc(), "id").limit(top_metros),
+        "skills": top_counts(postings.select(F.explode("d_skills").alias("s")), "s", top_skills),
         "ats": vocabulary(postings, metros)["ats"],
         "last_sweep_by_ats": sweeps.select(F.substring("key", len("last_sweep_") + 1, 100).alias("ats"), "at"),
         "last_sweep": sweeps.agg(F.min("at").alias("at")),
-        "days": events.groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(col("day").desc()).limit(60),
+        "days": events.groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(col("day").desc()).limit(last_days),
     }
 
 

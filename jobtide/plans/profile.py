@@ -101,6 +101,8 @@ def normalize_profile(raw: dict | None = None) -> tuple[dict, list[str]]:
         warnings.append(f'sort: "{raw["sort"]}" is not one of {" / ".join(SORTS)}; using {p["sort"]}')
     limit = _number(raw.get("limit"))
     p["limit"] = int(max(1, min(DEFAULT_LIMIT if limit is None else limit, MAX_LIMIT)))
+    if limit is not None and limit > MAX_LIMIT:
+        warnings.append(f"limit: a page holds at most {MAX_LIMIT} rows; use offset for the rest")
     extra = {k: v for k, v in raw.items() if k not in p and k not in RENAMED.values() and k != "exclude_companies"}
     if extra:
         p["extra"] = extra

@@ -76,8 +76,11 @@ def parse_slug_list(bodies: DataFrame, spec: dict) -> DataFrame:
 
 
 def read_csv_slugs(spark: SparkSession, path: str, spec: dict) -> DataFrame:
-    """``candidate`` rows of a CSV list with a header; ``column`` is a name or an index."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """``candidate`` rows of a CSV list with a header; ``column`` is a name or an index.
+
+    Quoted fields may hold line ends; ``multiLine: False`` says that none do, so that large files are read in splits.
+    """
+    df = spark.read.csv(path, header=True, multiLine=spec.get("multiLine", True), escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     column = spec["column"]
     name = df.columns[column] if isinstance(column, int) else column
     missing = [c for c in [name, *(spec.get("where") or {})] if c not in df.columns]
