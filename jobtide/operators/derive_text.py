@@ -208,11 +208,12 @@ TITLE_RULES = [
     ("senior", "\\b(?:senior|snr|sr\\.?|lead|experienced|expert)\\b"),
     ("entry", "\\b(?:junior|jr\\.?|entry[- ]level|new grad(?:uate)?|graduate|associate|assistant)\\b"),
 ]
-FALSE_MANAGER = (
-    "\\b(?:account|customer success|product|program|project|partner|community|social media|content|"
-    "category|brand|marketing|campaign|portfolio|relationship|success|engagement|implementation|"
-    "deployment|office|case|asset|fund) manager\\b"
-)
+# Kinds of manager that manage no people.
+FALSE_MANAGERS = [
+    "account", "customer success", "product", "program", "project", "partner", "community", "social media", "content", "category", "brand",
+    "marketing", "campaign", "portfolio", "relationship", "success", "engagement", "implementation", "deployment", "office", "case", "asset", "fund",
+]
+FALSE_MANAGER = "\\b(?:" + "|".join(FALSE_MANAGERS) + ") manager\\b"
 RANK_SUFFIX = "\\b(?:level\\s*)?(i{1,3}|iv|v|[1-5])\\b\\s*$"
 RANK_LEVELS = {"i": "entry", "1": "entry", "ii": "entry", "2": "entry", "iii": "senior", "3": "senior",
                "iv": "senior", "4": "senior", "v": "staff", "5": "staff"}
@@ -249,29 +250,66 @@ def seniority(folded_title: Column, min_years: Column) -> Column:
 
 # Function rules in the order they are tried, on the title and then on department and team.
 FUNCTION_RULES = {
-    "customer-success": "customer success|customer experience|account management|account manager|client services|client success|implementation|deployment|onboarding|solutions consultant|solutions architect|solutions engineer|sales engineer|technical account|support engineer|customer support|technical support|renewals|customer operations",
-    "sales": "sales|account executive|business development|bdr|sdr|revenue|partnerships|channel|go to market|gtm|commercial|inside sales|field sales|enterprise sales",
-    "marketing": "marketing|growth|demand generation|brand|content|seo|communications|pr|social media|copywriter|campaign|community",
-    "data": "data scientist|data science|data engineer|data analyst|analytics|machine learning|ml engineer|ai engineer|business intelligence|bi|data platform|analytics engineer|statistician",
-    "research": "research scientist|research engineer|researcher|research associate|scientist|r&d",
-    "security": "security|appsec|infosec|soc analyst|penetration|threat|trust and safety|trust & safety|grc|compliance engineer",
-    "it": "it|information technology|helpdesk|help desk|system administrator|sysadmin|network engineer|desktop support",
-    "engineering": "engineer|engineering|developer|programmer|sre|devops|architect|qa|quality assurance|test engineer|mobile|frontend|front end|backend|back end|full stack|fullstack|platform|infrastructure|firmware|embedded",
-    "design": "designer|design|ux|ui|user experience|user research|creative|illustrator|motion",
-    "product": "product manager|product management|product owner|product lead|technical product|product operations|product marketing",
-    "finance": "finance|financial|accountant|accounting|controller|fp&a|treasury|audit|tax|payroll|bookkeep|investment|underwrit",
-    "legal": "legal|counsel|attorney|lawyer|paralegal|contracts|privacy",
-    "people": "recruiter|recruiting|talent|people operations|people ops|human resources|hr|hrbp|compensation|benefits|learning and development",
-    "healthcare": "nurse|rn|physician|clinical|medical|therapist|pharmacist|behavior analyst|bcba|caregiver|dental|veterinar|patient",
-    "education": "teacher|tutor|instructor|professor|curriculum|education|academic|school",
-    "science": "biolog|chemist|physicist|laborator|lab technician|bioinformatic|genomic",
-    "manufacturing": "manufacturing|production|assembler|machinist|fabrication|welder|industrial|mechanical engineer|electrical engineer|process engineer|quality inspector|maintenance technician",
-    "construction": "construction|foreman|estimator|superintendent|electrician|plumber|hvac|installer|carpenter|roofer",
-    "logistics": "logistics|supply chain|warehouse|driver|dispatcher|fleet|procurement|inventory|shipping|fulfillment",
-    "hospitality": "chef|cook|server|bartender|barista|housekeep|hotel|restaurant|concierge|front desk",
-    "retail": "retail|store manager|sales associate|cashier|merchandis|stylist",
-    "media": "journalist|editor|producer|video|photographer|podcast|broadcast",
-    "operations": "operations|ops|program manager|project manager|chief of staff|strategy|business operations|bizops|strategist|analyst|consultant|coordinator|administrator|executive assistant|office manager",
+    "customer-success": [
+        "customer success", "customer experience", "account management", "account manager", "client services", "client success", "implementation",
+        "deployment", "onboarding", "solutions consultant", "solutions architect", "solutions engineer", "sales engineer", "technical account",
+        "support engineer", "customer support", "technical support", "renewals", "customer operations",
+    ],
+    "sales": [
+        "sales", "account executive", "business development", "bdr", "sdr", "revenue", "partnerships", "channel", "go to market", "gtm",
+        "commercial", "inside sales", "field sales", "enterprise sales",
+    ],
+    "marketing": [
+        "marketing", "growth", "demand generation", "brand", "content", "seo", "communications", "pr", "social media", "copywriter", "campaign",
+        "community",
+    ],
+    "data": [
+        "data scientist", "data science", "data engineer", "data analyst", "analytics", "machine learning", "ml engineer", "ai engineer",
+        "business intelligence", "bi", "data platform", "analytics engineer", "statistician",
+    ],
+    "research": ["research scientist", "research engineer", "researcher", "research associate", "scientist", "r&d"],
+    "security": [
+        "security", "appsec", "infosec", "soc analyst", "penetration", "threat", "trust and safety", "trust & safety", "grc", "compliance engineer",
+    ],
+    "it": [
+        "it", "information technology", "helpdesk", "help desk", "system administrator", "sysadmin", "network engineer", "desktop support",
+    ],
+    "engineering": [
+        "engineer", "engineering", "developer", "programmer", "sre", "devops", "architect", "qa", "quality assurance", "test engineer", "mobile",
+        "frontend", "front end", "backend", "back end", "full stack", "fullstack", "platform", "infrastructure", "firmware", "embedded",
+    ],
+    "design": ["designer", "design", "ux", "ui", "user experience", "user research", "creative", "illustrator", "motion"],
+    "product": [
+        "product manager", "product management", "product owner", "product lead", "technical product", "product operations", "product marketing",
+    ],
+    "finance": [
+        "finance", "financial", "accountant", "accounting", "controller", "fp&a", "treasury", "audit", "tax", "payroll", "bookkeep", "investment",
+        "underwrit",
+    ],
+    "legal": ["legal", "counsel", "attorney", "lawyer", "paralegal", "contracts", "privacy"],
+    "people": [
+        "recruiter", "recruiting", "talent", "people operations", "people ops", "human resources", "hr", "hrbp", "compensation", "benefits",
+        "learning and development",
+    ],
+    "healthcare": [
+        "nurse", "rn", "physician", "clinical", "medical", "therapist", "pharmacist", "behavior analyst", "bcba", "caregiver", "dental", "veterinar",
+        "patient",
+    ],
+    "education": ["teacher", "tutor", "instructor", "professor", "curriculum", "education", "academic", "school"],
+    "science": ["biolog", "chemist", "physicist", "laborator", "lab technician", "bioinformatic", "genomic"],
+    "manufacturing": [
+        "manufacturing", "production", "assembler", "machinist", "fabrication", "welder", "industrial", "mechanical engineer", "electrical engineer",
+        "process engineer", "quality inspector", "maintenance technician",
+    ],
+    "construction": ["construction", "foreman", "estimator", "superintendent", "electrician", "plumber", "hvac", "installer", "carpenter", "roofer"],
+    "logistics": ["logistics", "supply chain", "warehouse", "driver", "dispatcher", "fleet", "procurement", "inventory", "shipping", "fulfillment"],
+    "hospitality": ["chef", "cook", "server", "bartender", "barista", "housekeep", "hotel", "restaurant", "concierge", "front desk"],
+    "retail": ["retail", "store manager", "sales associate", "cashier", "merchandis", "stylist"],
+    "media": ["journalist", "editor", "producer", "video", "photographer", "podcast", "broadcast"],
+    "operations": [
+        "operations", "ops", "program manager", "project manager", "chief of staff", "strategy", "business operations", "bizops", "strategist",
+        "analyst", "consultant", "coordinator", "administrator", "executive assistant", "office manager",
+    ],
 }
 
 
@@ -279,26 +317,33 @@ def job_function(folded_title: Column, folded_department: Column) -> Column:
     out = None
     for text in (folded_title, folded_department):
         for name, terms in FUNCTION_RULES.items():
-            hit = any_term(text, terms.split("|"))
+            hit = any_term(text, terms)
             out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
 
 
 # Skills looked for, visa, clearance and degree wording.
-SKILL_TERMS = (
-    "python|javascript|typescript|java|kotlin|swift|ruby|rails|php|scala|rust|golang|c++|c#|.net|objective-c|perl|elixir|"
-    "react|react native|angular|vue|svelte|next.js|node.js|django|flask|fastapi|spring boot|graphql|rest api|grpc|"
-    "aws|azure|gcp|google cloud|kubernetes|docker|terraform|ansible|jenkins|ci/cd|linux|serverless|microservices|"
-    "sql|postgresql|mysql|mongodb|redis|elasticsearch|snowflake|databricks|bigquery|redshift|spark|hadoop|kafka|airflow|dbt|etl|"
-    "machine learning|deep learning|nlp|computer vision|pytorch|tensorflow|scikit-learn|pandas|numpy|llm|large language models|"
-    "generative ai|rag|prompt engineering|langchain|hugging face|mlops|"
-    "tableau|power bi|looker|excel|google sheets|sigma|mode|"
-    "salesforce|hubspot|marketo|outreach|salesloft|gong|zendesk|servicenow|jira|confluence|asana|notion|airtable|zapier|"
-    "netsuite|workday|sap|oracle|quickbooks|stripe|segment|amplitude|mixpanel|google analytics|braze|iterable|intercom|twilio|"
-    "figma|sketch|adobe|photoshop|illustrator|after effects|canva|webflow|wordpress|shopify|contentful|"
-    "agile|scrum|kanban|six sigma|lean|pmp|prince2|itil|soc 2|hipaa|gdpr|pci|iso 27001|sox|"
-    "cpa|cfa|series 7|bcba|rn|cissp|ccna|aws certified|autocad|solidworks|revit|matlab|labview|plc"
-).split("|")
+SKILL_TERMS = [
+    "python", "javascript", "typescript", "java", "kotlin", "swift", "ruby", "rails", "php", "scala", "rust", "golang", "c++", "c#", ".net",
+    "objective-c", "perl", "elixir",
+    "react", "react native", "angular", "vue", "svelte", "next.js", "node.js", "django", "flask", "fastapi", "spring boot", "graphql", "rest api",
+    "grpc",
+    "aws", "azure", "gcp", "google cloud", "kubernetes", "docker", "terraform", "ansible", "jenkins", "ci/cd", "linux", "serverless",
+    "microservices",
+    "sql", "postgresql", "mysql", "mongodb", "redis", "elasticsearch", "snowflake", "databricks", "bigquery", "redshift", "spark", "hadoop", "kafka",
+    "airflow", "dbt", "etl",
+    "machine learning", "deep learning", "nlp", "computer vision", "pytorch", "tensorflow", "scikit-learn", "pandas", "numpy", "llm",
+    "large language models",
+    "generative ai", "rag", "prompt engineering", "langchain", "hugging face", "mlops",
+    "tableau", "power bi", "looker", "excel", "google sheets", "sigma", "mode",
+    "salesforce", "hubspot", "marketo", "outreach", "salesloft", "gong", "zendesk", "servicenow", "jira", "confluence", "asana", "notion",
+    "airtable", "zapier",
+    "netsuite", "workday", "sap", "oracle", "quickbooks", "stripe", "segment", "amplitude", "mixpanel", "google analytics", "braze", "iterable",
+    "intercom", "twilio",
+    "figma", "sketch", "adobe", "photoshop", "illustrator", "after effects", "canva", "webflow", "wordpress", "shopify", "contentful",
+    "agile", "scrum", "kanban", "six sigma", "lean", "pmp", "prince2", "itil", "soc 2", "hipaa", "gdpr", "pci", "iso 27001", "sox",
+    "cpa", "cfa", "series 7", "bcba", "rn", "cissp", "ccna", "aws certified", "autocad", "solidworks", "revit", "matlab", "labview", "plc",
+]
 VISA_NO = (
     "\\b(?:not|no|cannot|can not|can't|unable|do(?:es)? not|will not|won't|without|ineligible)\\b[^.]{0,40}?\\bsponsor"
 )

@@ -123,7 +123,7 @@ TITLE_CASE = "CASE " + " ".join(
 RANK = f"nullif(regexp_extract(t, {_q(D.RANK_SUFFIX)}, 1), '')"
 RANK_LEVEL = "CASE rank " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.RANK_LEVELS.items()) + " END"
 FUNCTION_CASE = "CASE " + " ".join(
-    f"WHEN {' OR '.join(_edge(c, t) for t in terms.split('|'))} THEN '{name}'" for c in ("t", "dept") for name, terms in D.FUNCTION_RULES.items()) + " ELSE 'other' END"
+    f"WHEN {' OR '.join(_edge(c, t) for t in terms)} THEN '{name}'" for c in ("t", "dept") for name, terms in D.FUNCTION_RULES.items()) + " ELSE 'other' END"
 
 
 @query("seniority_from_title",
