@@ -11,6 +11,7 @@ from ..constants import GUESSED_ONSITE
 from ..functions.scalar import age_days
 from ..functions.text import fold, term_hits
 from ..operators import criteria, facets as facet_ops, rank, textindex
+from ..session import materialize
 from .profile import normalize_profile
 
 col = F.col
@@ -94,6 +95,7 @@ class Search:
             return None
         words = self.profile["text"]
         hits = textindex.text_query(self.index, words) if self.index is not None else textindex.text_query_scan(self.texts, words)
+        hits = materialize(hits, "hits")  # narrow; counted here and joined later
         corpus = self.view.agg(F.count(F.lit(1)).alias("corpus")).withColumn("_one", F.lit(1))
         matches = hits.agg(F.count(F.lit(1)).alias("matches")).withColumn("_one", F.lit(1))
         spec = corpus.join(F.broadcast(matches), "_one").select(
@@ -114,7 +116,7 @@ class Search:
             return self.view.where(F.coalesce("text_length", F.lit(0)) == 0).select("id")
         return self.view.select("id").join(self.index.where(col("field") == "body").select("id"), "id", "left_anti")
 
-    def _keyword_hits(self, terms: list[str]) -> DataFrame:
+    def keyword_hits(self, terms: list[str]) -> DataFrame:
         """(id, _hits): the keywords found in a posting's body, in the profile's order. Only findings leave the scan."""
         if self.texts is not None:
             found = self.texts.select("id", term_hits(fold(col("body")), terms).alias("_hits"))
@@ -126,6 +128,11 @@ class Search:
     def _keyword_flags(self, df: DataFrame) -> DataFrame:
         if not self.keywords:
             return df
+        if self.index is None:
+            # One narrow scan says of each text whether it is there and whether it holds the keywords.
+            body = col("body")
+            found = self.texts.select("id", (F.coalesce(body, F.lit("")) != "").alias("_has"), textindex.match_terms_scan(body, self.keywords, self.profile["description_match"]).alias("_hit"))
+            return df.join(found, "id", "left").withColumns({"text_hit": F.coalesce("_hit", F.lit(False)), "text_missing": ~F.coalesce("_has", F.lit(False))}).drop("_has", "_hit")
         gate = self._matching(self.keywords, self.profile["description_match"])
         return self._flag(self._flag(df, gate, "text_hit"), self._missing, "text_missing")
 
@@ -155,7 +162,7 @@ class Search:
         kept = criteria.keep_bucket(self.visible, p, bucket)
         if self.keywords:
             none = F.array().cast("array<string>")
-            kept = kept.join(self._keyword_hits(p["description_keywords"] if self.texts is not None else self.keywords), "id", "left").withColumn(
+            kept = kept.join(self.keyword_hits(p["description_keywords"] if self.texts is not None else self.keywords), "id", "left").withColumn(
                 "description_hits", F.coalesce("_hits", none)).drop("_hits")
         scored = rank.score(kept, p)
         if p["collapse_duplicates"]:

@@ -267,8 +267,7 @@ def description_hits(spark, sf_dir):
     """Whole-word keyword hits of surviving rows, however many there are."""
     found = search(views.postings(spark, sf_dir), {"description_keywords": KEYWORDS}, texts=views.texts(spark, sf_dir))
     kept = found.visible.where("listed AND (text_missing OR text_hit)").select("id")
-    body = views.texts(spark, sf_dir).select("id", T.fold(F.col("body")).alias("b"))
-    rows = kept.join(body, "id", "left").select("id", T.term_hits(F.coalesce("b", F.lit("")), KEYWORDS).alias("h"))
+    rows = kept.join(found.keyword_hits(KEYWORDS), "id", "left").select("id", F.coalesce("_hits", F.array().cast("array<string>")).alias("h"))
     return rows.select("id", F.array_join("h", ",").alias("hits"), rank.explain(F.col("h")).alias("why"))
 
 

@@ -73,7 +73,7 @@ def test_profile_checks():
         "weights": {"recency": 2, "other": 1}, "families": ["data"], "new_field": 1, "exclude_companies": ["x"]})
     assert p["ats"] == ["lever"] and p["currencies"] == ["USD"] and p["sort"] == "relevance" and p["limit"] == 5000
     assert p["weights"] == {**DEFAULT_WEIGHTS, "recency": 2.0} and p["job_functions"] == ["data"] and p["extra"] == {"new_field": 1}
-    assert len(warnings) == 6
+    assert len(warnings) == 7
 
 
 def test_hidden_and_applied_count_once(spark):
