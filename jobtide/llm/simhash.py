@@ -4,7 +4,9 @@ Candidates meet in buckets. In a bucket the fingerprints' bits are stored as
 planes, 64 fingerprints to a word; a fingerprint is compared with 64 others by
 one XOR per plane, the differing bits are summed by carry-save counters, and a
 block of 64 is abandoned once all of its sums exceed the radius. A bucket returns
-a forest that joins what it found, not all pairs.
+a forest that joins what it found, not all pairs. Where links are to hold a least
+similarity, the groups so found are only gathered: inside each, the exact sets of
+shingles are compared, every set going to its group once.
 """
 
 from __future__ import annotations
@@ -57,14 +59,26 @@ def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int, minima: int, text_col: str, id_col: str) -> DataFrame:
-    """(id, fp array<long>, keys array<long>); ``keys`` are the least of ``minima`` further hashes of the shingles."""
+def whole_hash(shingles: np.ndarray) -> int:
+    """One signed hash of an ascending set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
+def fingerprints(docs: DataFrame, shingle: int, words: int, minima: int, text_col: str, id_col: str, as_sets: bool = False) -> DataFrame:
+    """(id, fp array<long>, keys array<long>); ``keys`` are the least of ``minima`` further hashes of the shingles.
+
+    ``as_sets`` counts a repeated shingle once and ends ``keys`` with a hash of the whole set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             hashes = [shingle_hashes(t, shingle) for t in strings(batch, text_col)]
+            if as_sets:
+                hashes = [np.unique(h) for h in hashes]
             prints = [fingerprint(h, words).view(np.int64) for h in hashes]
             keys = [np.array([remix(h, words + k).min() if len(h) else 0 for k in range(minima)], np.uint64).view(np.int64) for h in hashes]
+            if as_sets:
+                keys = [np.append(k, whole_hash(h)) for k, h in zip(keys, hashes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "keys"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "id long, fp array<long>, keys array<long>")
@@ -227,6 +241,137 @@ def _compare(radius: int, words: int):
     return run
 
 
+# --- exact similarity ------------------------------------------------------------------------------------------------
+
+class Sets:
+    """Sets of shingle hashes laid end to end, each shingle as its place among all."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        names, self.flat = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.marked = np.zeros(len(names), bool)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] - self.sizes[i]:self.ends[i]]
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, their shingles, running ends) to ask ``alike`` about."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[rows] - ends, sizes)
+        return rows, self.flat[at], ends
+
+    def alike(self, i: int, taken: tuple[np.ndarray, np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+        """Which of the taken rows have that Jaccard similarity to row i; two empty sets are equal."""
+        rows, flat, ends = taken
+        own = self.of(i)
+        self.marked[own] = True
+        sums = np.concatenate(([0], np.cumsum(self.marked[flat])))
+        self.marked[own] = False
+        both = sums[ends] - sums[ends - self.sizes[rows]]
+        union = len(own) + self.sizes[rows] - both
+        return (both >= similarity * union - 1e-9) | (union == 0)
+
+
+def similar_groups(sets: Sets, n: int, similarity: float) -> np.ndarray:
+    """The first row of each row's component. Rows that are joined already are not compared again."""
+    label, free = np.full(n, -1, np.int64), np.arange(n)
+    while len(free):
+        label[free[0]] = free[0]
+        queue, free = [free[0]], free[1:]
+        taken = sets.take(free)
+        while queue and len(free):
+            i = queue.pop()
+            hit = sets.alike(i, taken, similarity)
+            new = taken[0][hit]
+            new = new[label[new] < 0]
+            if len(new):
+                label[new] = label[i]
+                queue.extend(new.tolist())
+                free = free[label[free] < 0]
+                if len(free) < 0.7 * len(taken[0]):
+                    taken = sets.take(free)
+    return label
+
+
+EDGE = "a long, b long, whole long, rooted long"
+
+
+def _refine(similarity: float, across: bool):
+    """Within a piece: the root of every row. Across two pieces: one edge from each row of side 1 to each root of side 2 that it is like."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        at = None
+
+        def done() -> pa.RecordBatch:
+            sets = Sets([np.frombuffer(r["shingles"], np.uint64) for r in held])
+            if not across:
+                root = similar_groups(sets, len(held), similarity)
+                a, b, w, rw = [r["id"] for r in held], [held[k]["id"] for k in root], [r["whole"] for r in held], [held[k]["whole"] for k in root]
+            else:
+                first = [k for k, r in enumerate(held) if r["side"] == 1]
+                second = sets.take(np.array([k for k, r in enumerate(held) if r["side"] == 2], np.int64))
+                a, b = [], []
+                for k in first:
+                    roots = {held[j]["root"] for j in second[0][sets.alike(k, second, similarity)]}
+                    a += [held[k]["id"]] * len(roots)
+                    b += roots
+                w = rw = [None] * len(a)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, w, rw)], names=["a", "b", "whole", "rooted"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (key := (r["component"], r["one"], r["two"])) != at:
+                    if held:
+                        yield done()
+                    at, held = key, []
+                held.append(r)
+        if held:
+            yield done()
+
+    return run
+
+
+def similar_edges(docs: DataFrame, coarse: DataFrame, similarity: float, shingle: int, tile: int, text_col: str, id_col: str) -> DataFrame:
+    """(a, b): edges that join exactly what a Jaccard similarity of ``similarity`` or more of the sets of shingles links, inside each component of ``coarse`` (node, component).
+
+    A component is cut into pieces of about ``tile`` rows, each grouped with the
+    component's least row in it. Only rows that did not come to that one's group
+    are then compared with the other pieces: all pairs that could join anything.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in strings(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("component"), pa.array([whole_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["id", "component", "whole", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(coarse, F.col("id") == F.col("node")).select("id", "component", "text")
+    # Equal sets of one component are one row; they and the texts of one id are joined without being compared.
+    every = materialize(texts.mapInArrow(run, "id long, component long, whole long, shingles binary"), "sets")
+    first = every.groupBy("component", "whole").agg(F.min("id").alias("first"))
+    known = every.select("id", "component", "whole").join(first, ["component", "whole"])
+    sets = every.join(first, ["component", "whole"]).where("id = first").drop("first").dropDuplicates(["component", "whole"])
+    sizes = first.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("pieces"), F.min(F.struct("first", "whole")).alias("least"))
+    cut = materialize(sets.join(sizes, "component").withColumn("is_least", F.col("least.whole") == F.col("whole")).withColumn("one", F.pmod(F.xxhash64("whole"), F.col("pieces")).cast("int")).drop("least"), "pieces")
+    order = ["component", "one", "two"]
+    dealt = cut.where("not is_least").unionByName(cut.where("is_least").withColumn("one", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))).withColumn("two", F.lit(0))
+    columns = ["id", "whole", *order, "shingles"]
+    inside = materialize(dealt.repartition(*order).sortWithinPartitions(*order, F.col("is_least").desc()).select(*columns).mapInArrow(_refine(similarity, False), EDGE), "inside")
+    roots = inside.select(F.col("a").alias("id"), "whole", F.col("b").alias("root"), "rooted").distinct()
+    least = cut.where("is_least").select("component", F.col("whole").alias("least"))
+    many = materialize(cut.where("pieces > 1").join(roots, ["id", "whole"]).join(least, "component").withColumn("loose", F.col("rooted") != F.col("least")), "loose")
+    asking = many.where("loose").withColumn("two", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("two <> one")
+    wanted = many.where("loose").select("component", F.col("one").alias("asker")).distinct()
+    # Two loose rows meet once, in the lower piece of the two as the one that asks.
+    answering = many.join(wanted, "component").where("asker <> one and (not loose or asker < one)").withColumn("two", F.col("one")).withColumn("one", F.col("asker"))
+    both = asking.withColumn("side", F.lit(1)).select(*columns, "side", "root").unionByName(answering.withColumn("side", F.lit(2)).select(*columns, "side", "root"))
+    across = both.repartition(*order).sortWithinPartitions(*order).mapInArrow(_refine(similarity, True), EDGE)
+    return known.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(inside.select("a", "b")).unionByName(across.select("a", "b"))
+
+
 # --- Spark -----------------------------------------------------------------------------------------------------------
 
 def pigeonhole(word: Column, radius: int, blocks: int) -> Column:
@@ -243,7 +388,7 @@ def pigeonhole(word: Column, radius: int, blocks: int) -> Column:
 
 
 def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, words: int = 1, radius: int = 3,
-                   blocks: int = 5, minima: int = 0, tile: int = 4096) -> DataFrame:
+                   blocks: int = 5, minima: int = 0, tile: int = 4096, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id) per row: the fingerprint and the smallest id reachable over links of at most ``radius`` bits.
 
     With ``minima`` = 0 candidates meet by the pigeonhole rule, which misses no
@@ -252,6 +397,11 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     bucket of more than ``tile`` rows is cut into pieces, and each pair of
     pieces is compared by a task of its own.
 
+    With ``similarity`` a link within the radius counts only if the exact Jaccard
+    similarity of the two sets of shingles reaches it; fingerprints are then of
+    sets, so a repeated shingle counts once, and links inside a group hold
+    whatever their distance.
+
     A text without words (null, empty, blank) has fingerprint zero and links
     like any other. Rows that share an id are one document. A row with a null id
     gets its fingerprint but joins no group: its ``component_id`` is null. An
@@ -259,9 +409,9 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     if not minima and words > 1:
         raise ValueError("the pigeonhole rule is for 64-bit fingerprints")
-    prints = materialize(fingerprints(docs, shingle, words, minima, text_col, id_col), "prints")
+    prints = materialize(fingerprints(docs, shingle, words, minima, text_col, id_col, similarity is not None), "prints")
     classes = materialize(prints.where("id is not null").groupBy("fp", "keys").agg(F.min("id").alias("id")), "classes")
-    keys = pigeonhole(F.col("fp")[0], radius, blocks) if not minima else F.transform("keys", lambda k, t: F.struct(t.alias("table"), k.alias("key")))
+    keys = pigeonhole(F.col("fp")[0], radius, blocks) if not minima else F.transform(F.slice("keys", 1, minima), lambda k, t: F.struct(t.alias("table"), k.alias("key")))
     met = classes.select("id", "fp", F.explode(keys).alias("_k")).select("id", "fp", "_k.table", "_k.key")
     sizes = met.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     cut = met.join(sizes, ["table", "key"]).withColumn("pieces", F.ceil(F.col("n") / tile).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
@@ -272,6 +422,8 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     edges = dealt.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_compare(radius, words), "a long, b long")
     # Classes that share an id (rows of one id with several texts) meet in that id.
     joined = components(edges)
+    if similarity is not None:
+        joined = components(similar_edges(docs, joined, similarity, shingle, tile, text_col, id_col))
     named = classes.join(joined, classes["id"] == joined["node"], "left").select("fp", "keys", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, ["fp", "keys"], "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -287,6 +439,7 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp[0]), 16, "0"))
 
 
-#: Options for links of a similarity of 0.8 or more over five words. Two texts of that similarity differ in about
-#: 155 of 1024 bits (standard deviation 11), at 0.7 in 198; the radius leaves room for the spread.
-NEAR_COPIES = {"shingle": 5, "words": 16, "radius": 164, "minima": 6}
+#: Options for links of a similarity of 0.8 or more over five words. Two sets of that similarity differ in about 155
+#: of 1024 bits (standard deviation 11), at most in 192 (12.5) where four shingles meet five; the radius lies five
+#: deviations above, and the exact similarity decides. All eight min-hashes differ for 3 in a million such pairs.
+NEAR_COPIES = {"shingle": 5, "words": 16, "radius": 256, "minima": 8, "similarity": 0.8}
