@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
 import struct
 from array import array
 from bisect import bisect_left
@@ -98,15 +99,24 @@ def _dictionary(data: bytes):
 class WordEncoder:
     """A byte-level tokenizer that lower-cases and drops white space, asked once per distinct stretch between plain spaces and line ends.
 
-    Special tokens' strings in a text are ordinary text.
+    With ``special`` the strings of special tokens, as they are written, become their ids, as the library does by
+    default; otherwise they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Special tokens are cut out of the raw text before; what lower-casing makes look like one is ordinary text.
         self.tokenizer.encode_special_tokens = True
+        self.marks: dict[str, bytes] = {}
+        for i, t in self.tokenizer.get_added_tokens_decoder().items() if special else ():
+            if not t.special or t.normalized or t.single_word:
+                raise ValueError(f"added token {t.content!r} is not matched in the raw text")
+            self.marks[t.content] = array("I", [i]).tobytes()
+        # The library takes the leftmost, and of those at one place the longest.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -137,6 +147,20 @@ class WordEncoder:
         return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        held = [k for k, t in enumerate(texts) if self.cut and self.cut.search(t)]
+        if not held:
+            return self._encode_plain(texts)
+        pieces = {k: self.cut.split(texts[k]) for k in held}  # every second piece is a special token
+        flat = [[t] if k not in pieces else pieces[k][::2] for k, t in enumerate(texts)]
+        ids = iter(self._encode_plain([t for ts in flat for t in ts]))
+        out = []
+        for k, ts in enumerate(flat):
+            own = [next(ids) for _ in ts]
+            marks = [self.marks[m] for m in pieces[k][1::2]] if k in pieces else []
+            out.append(b"".join(x for pair in zip(own, [*marks, b""], strict=True) for x in pair))
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT:
             # Words in use come back from the older table; the rest is forgotten with it.
             self.known, self.older = {"": b""}, self.known
@@ -150,7 +174,7 @@ class WordEncoder:
 
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return WordEncoder(path, special=True)
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------------

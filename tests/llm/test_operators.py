@@ -166,6 +166,17 @@ def test_word_encoder_equals_library():
     assert got == plain_ids(texts)
 
 
+def test_special_tokens_in_a_text_equal_the_library(spark, tmp_path):
+    plain = Tokenizer.from_file(WORDS)
+    random.seed(4)
+    parts = ["the", " ", "\n", "mark", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "É", "́", ".", "İ", "<"]
+    texts = ["the <|endoftext|> mark", *("".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(2000))]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    token_output.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "a"), WORDS)
+    rows = token_output.read_tokens(spark, str(tmp_path / "a")).orderBy("doc_id").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in rows] == want
+
+
 # 4 — language
 
 def test_language_query(spark, sf_dir):
