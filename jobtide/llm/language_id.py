@@ -95,12 +95,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     to all shorter lengths too, in its class of length.
     """
     rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    # What ``letters_of`` leaves something of.
+    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"[\p{L}\p{Nl}\p{No}]"))
     # Ids are hashed evenly, so a cut at a few times the wanted share leaves a bounded number of rows to rank, however common a language is.
-    sizes = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows"))
+    sizes = docs.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows"))
     place = F.xxhash64(id_col).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     # One row per language, as many as the model holds centroids for.
     few = docs.join(F.broadcast(sizes), docs[lang_col] == F.col("_lang")).where(place * F.col("_rows") <= 4 * per_language)
-    usable = few.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    usable = few.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = materialize(usable.withColumn("_n", F.row_number().over(rank.partitionBy("lang"))).where(F.col("_n") <= per_language).select("lang", "text"), "languages")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

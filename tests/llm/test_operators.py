@@ -179,6 +179,13 @@ def test_special_tokens_in_a_text_equal_the_library(spark, tmp_path):
 
 # 4 — language
 
+def test_language_learns_from_the_rows_that_have_letters(spark):
+    english, spanish = "the quick brown fox jumps over the lazy dog and runs home", "el perro corre por la calle y la casa es muy grande"
+    rows = [(i, (english if i % 2 else spanish) if i % 200 < 2 else None if i % 3 else "12 34 !!", "en" if i % 2 else "es") for i in range(4000)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5)
+    assert set(model.languages) == {"en", "es"} and model.predict([english, spanish])[0] == ["en", "es"]
+
+
 def test_language_query(spark, sf_dir):
     found = QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").collect()
     held = [r for r in found if r["held_out"]]
