@@ -126,6 +126,13 @@ def test_encoding(stages):
     assert all(np.frombuffer(r["ids"], "<u4").tolist() == plain.encode_ordinary(texts[r["doc_id"]] or "") for r in stages[5][:200])
 
 
+def test_encoding_of_all_rows(stages):
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(public_tokenizers.path(C.BYTE_RANKS)), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in stages[4]}
+    assert Counter(r["doc_id"] for r in stages[5]) == Counter(r["doc_id"] for r in stages[4])
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == plain.encode_ordinary(texts[r["doc_id"]] or "") for r in stages[5])
+
+
 def test_odd_and_empty_tables(spark):
     for df in (odd_rows(spark), spark.createDataFrame([], SCHEMA)):
         docs = df
