@@ -13,6 +13,7 @@ from ..session import checkpoint_root
 from . import byte_bpe, pii
 from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
+from .jaccard_join import jaccard_groups
 from .language_id import identify, train
 from .lexical_scan import rank_documents
 from .mixing import mix
@@ -148,6 +149,12 @@ def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
+@query("op12_jaccard_join")
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_groups(documents(spark, sf_dir).select("doc_id", "text"), shingle=3, percent=90)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query("op13_hard_negatives", """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
