@@ -149,7 +149,15 @@ def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
-@query("op12_jaccard_join")
+@query("op12_jaccard_join", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k:k + 2], ' ')) END) AS gram FROM w),
+n AS (SELECT doc_id, count(gram) AS n_shingles FROM w LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * met >= 90 * (x.n_shingles + y.n_shingles - met)),
+r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT n.doc_id, n_shingles, min(seen) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY ALL""")
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_groups(documents(spark, sf_dir).select("doc_id", "text"), shingle=3, percent=90)
     return found.withColumnRenamed("id", "doc_id")
