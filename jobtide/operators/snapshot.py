@@ -46,7 +46,7 @@ class Merged:
 
     joined: DataFrame
     postings: DataFrame
-    text: DataFrame
+    text: DataFrame | None
     events: DataFrame
 
 
@@ -64,16 +64,23 @@ def swept_listings(snapshot: DataFrame, boards: DataFrame) -> DataFrame:
 
 
 def join_snapshot(current: DataFrame, snapshot: DataFrame, boards: DataFrame) -> DataFrame:
-    """Stored and new row side by side (structs ``o`` and ``n``) with the board's outcome today."""
-    outcomes = boards.select(F.concat_ws(":", "ats", "slug").alias("company_id"), "outcome", col("name").alias("board_name"))
-    stored = current.select("id", "company_id", F.struct(*[col(c) for c in columns(POSTINGS_RAW)]).alias("o"))
-    stored = stored.join(outcomes.select("company_id", "outcome"), "company_id", "left").drop("company_id")
+    """Stored and new row side by side (structs ``o`` and ``n``) with the board's outcome today.
+
+    Only rows of boards swept today can meet a new row, so only they are shuffled
+    for the outer join; all other rows pass beside it.
+    """
+    outcomes = boards.select(F.concat_ws(":", "ats", "slug").alias("company_id"), "outcome")
+    every = current.select("id", "company_id", F.struct(*[col(c) for c in columns(POSTINGS_RAW)]).alias("o")).join(outcomes, "company_id", "left").drop("company_id")
+    swept = F.coalesce(col("outcome") == "swept", F.lit(False))
+    stored = every.where(swept)
     fresh = swept_listings(snapshot, boards)
     # The text itself stays out of this shuffle: the row needs its length only.
     carried = [c for c in snapshot.columns if c != "description_text"]
     length = F.length("description_text").alias("text_length")
     fresh = fresh.select("id", "_order", F.struct("company_id", "board_name", length, *carried).alias("n")).groupBy("id").agg(F.max_by("n", "_order").alias("n"))
-    return stored.join(fresh, "id", "full_outer").withColumn("swept", F.coalesce(col("outcome") == "swept", F.lit(False)))
+    met = stored.join(fresh, "id", "full_outer")
+    beside = every.where(~swept).withColumn("n", F.lit(None).cast(fresh.schema["n"].dataType))
+    return met.unionByName(beside).withColumn("swept", swept)
 
 
 def merged_columns(now) -> dict[str, Column]:
@@ -114,12 +121,13 @@ def merged_columns(now) -> dict[str, Column]:
     return out
 
 
-def merge_snapshot(current: DataFrame, text: DataFrame, snapshot: DataFrame, boards: DataFrame, now, day, store: bool = False) -> Merged:
+def merge_snapshot(current: DataFrame, text: DataFrame | None, snapshot: DataFrame, boards: DataFrame, now, day, store: bool = False) -> Merged:
     """Merge today's boards. Boards not read today, or read as an error, keep their rows untouched.
 
     A dead board closes its postings without an event; an unchanged one only
     renews ``last_seen``. Unread text keeps the stored text and its length.
     ``store`` writes the joined rows once for all outputs that hang off them.
+    Without ``text`` no text is merged.
     """
     joined = join_snapshot(current, snapshot, boards)
     joined = materialize(joined, "joined") if store else joined
@@ -139,14 +147,29 @@ def merge_snapshot(current: DataFrame, text: DataFrame, snapshot: DataFrame, boa
         ), lambda e: e.isNotNull()),
     })
     events = rows.select("id", F.lit(day).cast("date").alias("day"), F.explode("_events").alias("event"))
-    return Merged(joined, rows.select(*columns(POSTINGS_RAW)), merge_text(text, snapshot, boards), events)
+    texts = None if text is None else merge_text(text, snapshot, boards)
+    return Merged(joined, rows.select(*columns(POSTINGS_RAW)), texts, events)
+
+
+def read_texts(snapshot: DataFrame, boards: DataFrame) -> DataFrame:
+    """(id, company_id, text) of postings whose text was read on a board swept today; the text may be null."""
+    listings = swept_listings(snapshot, boards)
+    last = listings.groupBy("id").agg(F.max_by(F.struct("has_text", "company_id", col("description_text").alias("text")), "_order").alias("n"))
+    return last.where("n.has_text").select("id", "n.company_id", "n.text")
 
 
 def merge_text(text: DataFrame, snapshot: DataFrame, boards: DataFrame) -> DataFrame:
     """Text that was read on a board swept today replaces the stored one, even by nothing; other text stays."""
-    listings = swept_listings(snapshot, boards)
-    last = listings.groupBy("id").agg(F.max_by(F.struct("has_text", col("description_text").alias("text")), "_order").alias("n")).where("n.has_text")
-    return text.join(last.select("id"), "id", "left_anti").select("id", "text").unionByName(last.select("id", "n.text"))
+    return latest_text(text.select("id", "text"), read_texts(snapshot, boards).select("id", "text", F.lit(0).alias("sweep")))
+
+
+def latest_text(base: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(id, text): the newest text of every posting. ``deltas`` has a ``sweep`` and outranks ``base``, which has one row an id.
+
+    Base rows stay where they are when the ids of the deltas are few enough to be broadcast.
+    """
+    newest = deltas.groupBy("id").agg(F.max_by("text", "sweep").alias("text"))
+    return base.join(deltas.select("id").distinct(), "id", "left_anti").select("id", "text").unionByName(newest.select("id", "text"))
 
 
 def append_events(log: DataFrame, events: DataFrame) -> DataFrame:

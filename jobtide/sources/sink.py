@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +27,23 @@ def write_corpus(tables: dict[str, DataFrame], root: str, version: str | None =
         out = df.hint("rebalance", *by) if by else df
         writer = out.write.mode("error")
         (writer.partitionBy(*by) if by else writer).parquet(f"{root}/v={version}/{name}")
-    pointer = spark.createDataFrame([(int(version),)], "version long")
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/_published")
+    publish(spark, root, int(version))
     return version
 
 
+def publish(spark: SparkSession, root: str, version: int) -> None:
+    """The last step of a version: from now on readers follow it."""
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{root}/_published")
+
+
 def published_version(spark: SparkSession, root: str) -> int:
-    return spark.read.parquet(f"{root}/_published").agg(F.max("version")).first()[0]
+    """The newest published version; 0 where nothing is published."""
+    try:
+        return spark.read.schema("version long").parquet(f"{root}/_published").agg(F.max("version")).first()[0] or 0
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
 
 
 def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_criteria", "q_search", "q_text", "q_derive", "q_snapshot", "q_marks", "q_sources"]
+MODULES = ["q_criteria", "q_search", "q_text", "q_derive", "q_snapshot", "q_marks", "q_sources", "q_corpus"]
 for _module in MODULES:
     importlib.import_module(f"{__name__}.{_module}")
 
