@@ -13,8 +13,8 @@ from . import q_snapshot as day
 from . import views
 from .registry import query
 
-PARTS = 256
-FEW = "CASE o_custkey % 100 WHEN 0 THEN 'dead' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'error' WHEN 3 THEN 'swept' WHEN 4 THEN 'swept' END"
+PARTS = 32
+FEW = "CASE o_custkey % 400 WHEN 0 THEN 'dead' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'error' WHEN 3 THEN 'swept' WHEN 4 THEN 'swept' END"
 PART_SQL = f"CAST('0x' || substr(md5({{c}}), 1, 7) AS BIGINT) % {PARTS}"
 MERGE = day.MERGE.replace(day.OUTCOME, FEW)
 HERE = f"h AS MATERIALIZED (SELECT *, {PART_SQL.format(c=day.BOARD.format(**views.DUCK))} AS part FROM m), t AS (SELECT DISTINCT {PART_SQL.format(c=day.BOARD.format(**views.DUCK))} AS part FROM orders WHERE {FEW} IN ('swept', 'unchanged', 'dead'))".replace("h AS", "k AS")
