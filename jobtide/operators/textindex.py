@@ -117,20 +117,25 @@ def phrase_pattern(term: str) -> str:
     return f"{words[0]}(?<!{edge}{words[0]}){rest}(?!{edge})"
 
 
-def match_terms_scan(text: Column, terms: list[str], mode: str = "any") -> Column:
-    """The answer of ``match_terms`` as an expression over the text itself; no shuffle."""
+def holds_phrases(folded: Column, terms: list[str], mode: str = "any") -> Column:
+    """Whether folded text holds any (or all) of the phrases."""
     asked = [t for t in terms if words_of(t)]
-    if not asked:
-        return F.lit(False)
+    out = None
+    for term in asked:
+        hit = folded.contains(words_of(term)[-1]) & folded.rlike(phrase_pattern(term))
+        out = hit if out is None else (out & hit if mode == "all" else out | hit)
+    return F.lit(False) if out is None else out
+
+
+def starts_words(folded: Column, words: list[str]) -> Column:
+    """Array of booleans: which words some token of folded text starts with."""
+    edge = "[\\p{L}\\p{N}]"
+    return F.array(*[folded.contains(w) & folded.rlike(f"{w}(?<!{edge}{w})" + ("" if len(w) >= PREFIX_MIN else f"(?!{edge})")) for w in words])
 
-    def answer(folded: Column) -> Column:
-        out = None
-        for term in asked:
-            hit = folded.contains(words_of(term)[-1]) & folded.rlike(phrase_pattern(term))
-            out = hit if out is None else (out & hit if mode == "all" else out | hit)
-        return out
 
-    return let(fold(text), answer)
+def match_terms_scan(text: Column, terms: list[str], mode: str = "any") -> Column:
+    """The answer of ``match_terms`` as an expression over the text itself; no shuffle."""
+    return let(fold(text), lambda folded: holds_phrases(folded, terms, mode)) if any(words_of(t) for t in terms) else F.lit(False)
 
 
 def text_query_scan(texts: DataFrame, text: str) -> DataFrame:
@@ -138,14 +143,7 @@ def text_query_scan(texts: DataFrame, text: str) -> DataFrame:
     words = list(dict.fromkeys(words_of(text)))
     if not words:
         return texts.select("id", F.lit("body").alias("text_field")).where("false")
-    edge = "[\\p{L}\\p{N}]"
-
-    def occurs(folded: Column) -> Column:
-        """Which words some token of this field starts with."""
-        return F.array(*[
-            folded.contains(w) & folded.rlike(f"{w}(?<!{edge}{w})" + ("" if len(w) >= PREFIX_MIN else f"(?!{edge})")) for w in words])
-
-    found = texts.select("id", *[let(fold(col(f)), occurs).alias(f) for f in FIELDS])
+    found = texts.select("id", *[let(fold(col(f)), lambda folded: starts_words(folded, words)).alias(f) for f in FIELDS])
     somewhere = F.lit(True)
     for i in range(len(words)):
         somewhere = somewhere & (col("company")[i] | col("title")[i] | col("body")[i])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes, snapshot
 from ..session import materialize
+from . import many
 from .search import search
 
 col = F.col
@@ -29,20 +30,18 @@ def daily_report(view: DataFrame, postings: DataFrame, events: DataFrame, profil
                  texts: DataFrame | None = None, index: DataFrame | None = None, limit: int = 100) -> dict:
     """Per profile: matches among what is new, and standing totals; plus the latest moves.
 
-    All profiles read one stored view, so the corpus is scanned from the source once.
+    Totals of all profiles come from one scan of the view. Pages of what is new
+    are searches over the new rows, which are stored once; a profile with a free
+    text searches the view, as the rarity of its words is that of the corpus.
     """
     start, latest = changes.resolve_since(events, since)
-    view = materialize(view, "view")
-    fresh = changes.new_since(events, start)
-    reports, totals = {}, None
+    fresh = materialize(changes.new_since(events, start), "fresh")
+    recent = materialize(view.join(fresh.select("id"), "id", "left_semi"), "recent")
+    reports = {}
     for name, raw in profiles.items():
-        found = search(view, raw, texts=texts, index=index, restrict_to=fresh, limit=limit)
-        standing = search(view, raw, texts=texts, index=index)
-        row = standing.funnel.select(F.lit(name).alias("profile"), col("matched").alias("standing"), col("set_aside").alias("standing_aside")).withColumn("_k", F.lit(1))
-        new = found.funnel.select(col("matched").alias("new"), col("set_aside").alias("new_aside")).withColumn("_k", F.lit(1))
-        row = row.join(F.broadcast(new), "_k").drop("_k")
-        totals = row if totals is None else totals.unionByName(row)
-        reports[name] = found
+        options = {"texts": texts, "index": index, "limit": limit}
+        reports[name] = search(view, raw, restrict_to=fresh, **options) if raw.get("text") else search(recent, raw, **options)
+    totals = many.totals(view, profiles, texts, index, fresh)
     gone = changes.gone_since(events, postings, start)
     moves = events.where(col("day") >= F.lit(start).cast("date")).groupBy("event").agg(F.countDistinct("id").alias("postings"))
     return {"from": start, "latest": latest, "profiles": reports, "totals": totals, "gone": gone, "moves": moves,

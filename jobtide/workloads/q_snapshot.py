@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import changes, snapshot
-from ..plans import daily
+from ..plans import daily, many
+from ..plans.textstore import TokenStore
 from ..schemas import BOARDS, COMPANIES, POSTINGS_RAW, SNAPSHOT, columns
-from ..session import materialize
+from ..session import checkpoint_root, materialize
 from . import views
-from .registry import query, table
+from .registry import query, spread, table
 
 NOW, DAY, BEFORE = "2026-02-02 06:00:00", "2026-02-02", "2026-02-01 06:00:00"
 
@@ -355,3 +357,51 @@ def daily_report(spark, sf_dir):
     events = view.where("age_days IS NOT NULL").select("id", F.expr("date_sub(DATE'2026-02-02', CAST(age_days AS INT))").alias("day"), F.lit("appeared").alias("event"))
     posts = view.select("id", "title", "company_name", F.col("listed").alias("is_open"))
     return daily.daily_report(view, posts, events, REPORT, since="2025-12-04")["totals"].select("profile", "standing", "new")
+
+
+# Ten profiles: one criterion after another, as conditions on the view with the policy for silence they have.
+TEN = {
+    "visa": ({"requires_visa_sponsorship": True}, "coalesce(visa, true)"),
+    "hybrid": ({"workplace": ["hybrid"], "employment_type": ["FullTime"]}, "(workplace = 'hybrid' OR workplace = 'unknown' OR workplace_guessed) AND coalesce(employment_type = 'FullTime', true)"),
+    "recent": ({"posted_within_days": 30, "unknowns": {"posted": "exclude"}}, "coalesce(age_days <= 30, false)"),
+    "lever": ({"ats": ["lever"]}, "ats = 'lever'"),
+    "titled": ({"title_keywords": ["the"], "title_match": "any"}, "regexp_matches(title_folded, '(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])')"),
+    "data": ({"job_functions": ["data"], "unknowns": {"job_function": "exclude"}}, "job_function = 'data'"),
+    "words": ({"description_keywords": ["of the"]}, "(body = '' OR body IS NULL OR {the})"),
+    "free": ({"text": "the an"}, "{free}"),
+    "without": ({"exclude_description_keywords": ["the"]}, "NOT coalesce({any}, false)"),
+    "all": ({}, "true"),
+}
+
+
+def _ten_sql() -> str:
+    folded = {f: views.FOLD_SQL.format(c=f"coalesce({f}, '')") for f in ("title", "company", "body")}
+    word = "regexp_matches({f}, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])')".format
+    start = "regexp_matches({f}, '(^|[^\\p{{L}}\\p{{N}}]){t}')".format
+    free = " AND ".join("(" + " OR ".join(how(f=f, t=t) for f in folded.values()) + ")" for t, how in (("the", start), ("an", word)))
+    texts = views.TEXTS_SQL.replace("t AS (", "tt AS (", 1)
+    marks = f"{texts}, x AS (SELECT id AS tid, body, {word(f=folded['body'], t='of[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+the')} AS m_the, {word(f=folded['body'], t='the')} AS m_any, ({free}) AS m_free FROM tt)"
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS profile, count(*) FILTER (WHERE fits) AS standing, count(*) FILTER (WHERE fits AND {FRESH}) AS new FROM (SELECT *, listed AND ("
+        + sql.replace("{the}", "coalesce(m_the, false)").replace("{any}", "m_any").replace("{free}", "coalesce(m_free, false)") + ") AS fits FROM v)" for name, (_, sql) in TEN.items())
+    return f"{P}, {marks}, v AS (SELECT * FROM p LEFT JOIN x ON tid = id) {rows}"
+
+
+def _ten(spark, sf_dir, **how):
+    view = views.postings(spark, sf_dir)
+    fresh = view.where("age_days IS NOT NULL AND age_days <= 60").select("id")
+    return many.totals(view, {name: profile for name, (profile, _) in TEN.items()}, fresh=fresh, **how).select("profile", "standing", "new")
+
+
+@query("daily_totals", _ten_sql())
+def daily_totals(spark, sf_dir):
+    """Standing and new matches of ten profiles from one scan of the view and one of the texts."""
+    return _ten(spark, sf_dir, texts=views.texts(spark, sf_dir))
+
+
+@query("daily_totals_index", _ten_sql())
+def daily_totals_index(spark, sf_dir):
+    """The same from a token index."""
+    store = TokenStore(spark, f"{checkpoint_root(spark).rstrip('/')}/jobtide/tokens-{uuid.uuid4().hex}")
+    store.add(spread(views.texts(spark, sf_dir)))
+    return _ten(spark, sf_dir, index=store.index())

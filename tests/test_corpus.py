@@ -161,3 +161,29 @@ def test_empty_token_store(spark, tmp_path):
     assert store.match(["x"]).isEmpty() and store.query("some text").isEmpty() and store.terms(["some"]).isEmpty()
     store.add(bodies(spark, []))
     assert store.match(["x"]).isEmpty() and textindex.match_terms(store.index(), ["x"]).isEmpty()
+
+
+# -- many profiles ------------------------------------------------------------------------------------
+
+def test_many_profiles_are_one_scan(spark, sf_dir):
+    from jobtide.plans import many
+    from jobtide.plans.search import search
+    from jobtide.workloads import views
+    from jobtide.workloads.q_snapshot import TEN
+
+    view, texts = views.postings(spark, sf_dir), views.texts(spark, sf_dir)
+    profiles = {name: profile for name, (profile, _) in TEN.items()}
+    plain = many.totals(view, {n: p for n, p in profiles.items() if n not in ("words", "free", "without")})
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") <= 3  # documents for the view and for its open roles, labels: not once a profile
+    stored = view.cache()
+    assert many.totals(stored, profiles, texts)._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1
+    found = {r["profile"]: (r["standing"], r["standing_aside"]) for r in many.totals(stored, profiles, texts).collect()}
+    for name, p in profiles.items():
+        row = search(stored, p, texts=texts).funnel.first()
+        assert found[name] == (row["matched"], row["set_aside"]), name
+    many_more = {f"p{i}": {"posted_within_days": i} for i in range(70)}
+    assert many.totals(stored, many_more).count() == 70 and many.totals(stored, {}).count() == 0
+    with pytest.raises(ValueError):
+        many.totals(stored, {"x": {"text": "the"}})
+    stored.unpersist()
