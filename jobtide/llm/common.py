@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ def slices(batches, rows: int):
             yield batch.slice(at, rows)
 
 
+def byte_slices(batches, name: str, most: int):
+    """Arrow batches cut where the texts of a column pass so many bytes; a row is never split."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def hash_bucket(key: Column, buckets: int) -> Column:
     """Order-preserving bucket of a uniform 64-bit key: equal shares, ascending with the key. ``buckets`` is a power of two."""
     bits = buckets.bit_length() - 1

@@ -63,7 +63,7 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_output")
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_root(spark).rstrip('/')}/jobtide/tokens-{uuid.uuid4().hex}"
-    write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path(WORD_TOKENIZER))
+    write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path(WORD_TOKENIZER), source_col="source")
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

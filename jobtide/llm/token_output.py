@@ -13,28 +13,31 @@ import hashlib
 import math
 import os
 import re
+import string
 import struct
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, strings
+from .common import byte_slices, shuffle_partitions
 
 MAGIC = b"IDSZSTD1"
 HEADER = struct.Struct("<8s32sQB7x")
 NO_ID = -(1 << 63)
 # Bounds of a worker's memory: stretches remembered, characters of one, rows worked on at once.
-KEPT, LONGEST_KEPT, ROWS = 1 << 18, 64, 256
+KEPT, BYTES = 1 << 19, 4 << 20  # words remembered; text encoded at once
 LATIN_END = "\u0250"  # letters below it are composed already
-MARKS = ",.;:!?"
+MARKS = string.punctuation
 DOTTED = "\u0130"  # the one letter that lower-cases to a letter and a mark
 
 
@@ -110,66 +113,88 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Special tokens are cut out of the raw text before; what lower-casing makes look like one is ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.marks: dict[str, bytes] = {}
+        self.marks: dict[str, np.ndarray] = {}
         for i, t in self.tokenizer.get_added_tokens_decoder().items() if special else ():
             if not t.special or t.normalized or t.single_word:
                 raise ValueError(f"added token {t.content!r} is not matched in the raw text")
-            self.marks[t.content] = array("I", [i]).tobytes()
+            self.marks[t.content] = np.array([i], np.uint32)
         # The library takes the leftmost, and of those at one place the longest.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self._forget()
 
-    def _ask(self, words: list[str]) -> dict[str, bytes]:
+    def _forget(self) -> None:
+        """Empties the table: a word's place, and there the start and length of its ids in one pool."""
+        self.known, self.pool, self.starts, self.lengths = {"": 0}, array("I"), array("q", [0]), array("q", [0])
+
+    def _ask(self, words: list[str]) -> list:
         """Ids of words. What normalising and splitting leave as it is, a run of small Latin letters, goes to the library's model at once."""
-        latin = {w for w in words if w.isalpha() and max(w) < LATIN_END and w == w.lower()}
         tokenize, as_bytes = self.tokenizer.model.tokenize, self.bytes.pre_tokenize_str
-        out = {w: array("I", [t.id for t in tokenize(w if w.isascii() else as_bytes(w)[0][0])]).tobytes() for w in latin}
-        rest = [w for w in words if w not in latin]
-        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return out
+        as_is = [None if not w.isalpha() else w if w.isascii() else as_bytes(w)[0][0] if max(w) < LATIN_END and w == w.lower() else None for w in words]
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, a in zip(words, as_is, strict=True) if a is None], add_special_tokens=False))
+        return [next(rest).ids if a is None else [t.id for t in tokenize(a)] for a in as_is]
+
+    def _keep(self, words: list[str], ids: list) -> None:
+        at, sizes = len(self.starts), array("q", map(len, ids))
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+        self.starts.extend(accumulate(sizes[:-1], initial=len(self.pool)) if words else ())
+        self.lengths.extend(sizes)
+        self.pool.extend(chain.from_iterable(ids))
+
+    def _learn(self, new: list[str]) -> None:
+        """Marks of ASCII punctuation after letters or digits are a piece of their own, so they are cut off first."""
+        ends = {}
+        for w in new:
+            if w[-1] in MARKS and (stem := w.rstrip(MARKS)).isalnum() and DOTTED not in stem:
+                ends[w] = stem, w[len(stem):]
+        known = self.known
+        asked = [x for x in dict.fromkeys(chain((w for w in new if w not in ends), chain.from_iterable(ends.values()))) if x not in known]
+        self._keep(asked, self._ask(asked))
+        pool, starts, lengths = self.pool, self.starts, self.lengths
+
+        def own(word: str) -> array:
+            at = known[word]
+            return pool[starts[at]:starts[at] + lengths[at]]
+
+        self._keep(list(ends), [own(stem) + own(tail) for stem, tail in ends.values()])
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of words not known yet. One mark of punctuation after letters or digits is a piece of its own, so it is cut off first."""
-        known, older = self.known, self.older
-        seen = {w: i for w in new if (i := older.get(w)) is not None}
-        known.update(seen)
-        new = new - seen.keys()
-        ends = {w: w[:-1] for w in new if w[-1] in MARKS and w[:-1].isalnum() and DOTTED not in w}
-        ask = [w for w in {*(new - ends.keys()), *ends.values(), *{w[-1] for w in ends}} if w not in known]
-        fresh = self._ask(ask)
-        known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_KEPT)
-        for w, stem in ends.items():
-            fresh[w] = (fresh.get(stem) or known[stem]) + (fresh.get(w[-1]) or known[w[-1]])
-            if len(w) <= LONGEST_KEPT:
-                known[w] = fresh[w]
-        return fresh
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        held = [k for k, t in enumerate(texts) if self.cut and self.cut.search(t)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        held = np.flatnonzero(pc.match_substring_regex(texts, self.cut.pattern).to_numpy(zero_copy_only=False)).tolist() if self.cut else []
         if not held:
             return self._encode_plain(texts)
-        pieces = {k: self.cut.split(texts[k]) for k in held}  # every second piece is a special token
-        flat = [[t] if k not in pieces else pieces[k][::2] for k, t in enumerate(texts)]
-        ids = iter(self._encode_plain([t for ts in flat for t in ts]))
+        pieces = {k: self.cut.split(texts[k].as_py()) for k in held}  # every second piece is a special token
+        flat = [[t] if k not in pieces else pieces[k][::2] for k, t in enumerate(texts.to_pylist())]
+        ids = iter(self._encode_plain(pa.array([t for ts in flat for t in ts], pa.large_string())))
         out = []
         for k, ts in enumerate(flat):
             own = [next(ids) for _ in ts]
             marks = [self.marks[m] for m in pieces[k][1::2]] if k in pieces else []
-            out.append(b"".join(x for pair in zip(own, [*marks, b""], strict=True) for x in pair))
+            out.append(np.concatenate([x for pair in zip(own, [*marks, np.zeros(0, np.uint32)], strict=True) for x in pair]))
         return out
 
-    def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT:
-            # Words in use come back from the older table; the rest is forgotten with it.
-            self.known, self.older = {"": b""}, self.known
+    def _encode_plain(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.known) > KEPT or len(self.pool) > 16 * KEPT:
+            self._forget()
+        spaced = texts
+        for c in "\n\t\r":
+            spaced = pc.replace_substring(spaced, c, " ")
+        # A-Z would be lower-cased by the tokenizer anyway. (ascii_lower is wrong on slices; the replacing has made whole arrays.)
+        stretches = pc.split_pattern(pc.ascii_lower(spaced), " ")
+        coded = stretches.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.known])
         known = self.known
-        # A-Z would be lower-cased by the tokenizer anyway.
-        plain = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
-        fresh = self._learn({w for ws in words for w in ws if w not in known})
-        return [b"".join([i if (i := known.get(w)) is not None else fresh[w] for w in ws]) for ws in words]
+        place = np.array([known[w] for w in words], np.int64)
+        starts, lengths, pool = np.frombuffer(self.starts, np.int64)[place], np.frombuffer(self.lengths, np.int64)[place], np.frombuffer(self.pool, np.uint32)
+        at = coded.indices.to_numpy()
+        sizes = lengths[at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = pool[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], sizes)] if len(pool) else np.zeros(0, np.uint32)
+        offsets = stretches.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]]
+        return [ids[low:high] for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -179,25 +204,30 @@ def word_encoder(path: str) -> WordEncoder:
 
 # --- Spark -----------------------------------------------------------------------------------------------------------
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 512,
-                     sample_bytes: int = 16 << 10, dictionary_bytes: int = 64 << 10) -> bytes:
-    """The shared dictionary, from the serialised ids of at most ``sample_docs`` documents, ``sample_bytes`` of each.
+def train_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", source_col: str | None = None,
+                     sample_docs: int = 512, sample_ids: int = 8 << 10, dictionary_bytes: int = 64 << 10) -> bytes:
+    """The shared dictionary, from one stretch of ``sample_ids`` ids of each of at most ``sample_docs`` documents.
 
-    The sample holds the documents of the smallest id hashes, so reruns agree.
-    Only the dictionary rests on it: every document is written whole. Too few
-    documents to train on give an empty dictionary.
+    Documents are taken by the smallest id hashes, from every source of
+    ``source_col`` in turn, and a stretch begins where the hash says, so reruns
+    agree. Only the dictionary rests on the sample: every document is written
+    whole. Too few documents to train on give an empty dictionary.
     """
     key = F.xxhash64(id_col)
-    lowest = [r[0] for r in docs.select(key.alias("k")).orderBy("k").limit(sample_docs).collect()]
-    if not lowest:
+    source = F.col(source_col) if source_col else F.lit(0)
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("k"))
+    ranked = docs.select(key.alias("k"), source.alias("source")).withColumn("turn", turn).where(F.col("turn") <= sample_docs)
+    keys = [r["k"] for r in ranked.orderBy("turn", "k").limit(sample_docs).collect()]
+    if not keys:
         return b""
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ROWS):
-            ids = [np.frombuffer(i, "<u4") for i in word_encoder(tokenizer_path).encode(strings(batch, text_col))]
-            yield pa.RecordBatch.from_arrays([pa.array([serialise(a, width_of([a]))[:sample_bytes] for a in ids], pa.binary())], names=["ids"])
+        for batch in byte_slices(batches, text_col, BYTES):
+            ids = word_encoder(tokenizer_path).encode(batch.column(text_col))
+            begins = [k % max(1, len(i) - sample_ids + 1) for k, i in zip(batch.column("k").to_pylist(), ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([serialise(i[b:b + sample_ids], width_of([i])) for b, i in zip(begins, ids, strict=True)], pa.binary())], names=["ids"])
 
-    chosen = docs.where(key <= lowest[-1]).select(text_col).limit(2 * sample_docs)
+    chosen = docs.select(key.alias("k"), text_col).where(F.col("k").isin(keys)).limit(2 * sample_docs)
     samples = sorted(r[0] for r in chosen.mapInArrow(serialised, "ids binary").collect() if r[0])
     try:
         return zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
@@ -206,17 +236,18 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id",
-                 file_ids: int = 1 << 20, dictionary: bytes | None = None) -> None:
+                 file_ids: int = 1 << 20, dictionary: bytes | None = None, source_col: str | None = None) -> None:
     """Encodes every whole text, appends ``end_id`` and writes files in ascending order of ``id_col``.
 
     Null text is empty (its file entry holds the end id alone); null ids come
     first; rows that repeat an id are all written, in the order of their texts'
     hashes. Documents are cut into id ranges at approximate quantiles, so each
     task writes one stretch of the order. A file closes after ``file_ids`` ids;
-    one document is never split.
+    one document is never split. ``source_col`` spreads the dictionary's sample
+    over sources. An empty table gives no file, and reading it no rows.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer_path, text_col, id_col) if dictionary is None else dictionary
+    dictionary = train_dictionary(docs, tokenizer_path, text_col, id_col, source_col) if dictionary is None else dictionary
     parts = 4 * shuffle_partitions(spark)
     cuts = docs.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or [0]
     splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
@@ -225,7 +256,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     ordered = ranged.repartition("part").sortWithinPartitions("part", F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder = word_encoder(tokenizer_path)
         at, before, ids, keys, held = None, 0, [], [], 0
 
         def closed():
@@ -233,14 +264,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 pa.array([at], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()),
                 pa.array([pack_file(ids, keys, dictionary)], pa.binary())], names=["part", "before", "docs", "ids", "file"])
 
-        for batch in slices(batches, ROWS):
-            encoded = encoder.encode(strings(batch, text_col))
+        for batch in byte_slices(batches, text_col, BYTES):
+            encoded = encoder.encode(batch.column(text_col))
             for p, k, e in zip(batch.column("part").to_pylist(), batch.column(id_col).to_pylist(), encoded, strict=True):
                 if ids and (p != at or held >= file_ids):
                     yield closed()
                     before, ids, keys, held = before + held if p == at else 0, [], [], 0
                 at = p
-                ids.append(np.frombuffer(e + end, "<u4"))
+                ids.append(np.append(e, np.uint32(end_id)))
                 keys.append(k)
                 held += len(ids[-1])
         if ids:
