@@ -3,14 +3,16 @@
 Every byte string of ``length`` bytes holds an anchor: the leftmost least hash of
 its inner ``GRAM``-byte strings, the same wherever the string occurs. Anchors that
 occur in one document only are dropped first, by short hashes. The text around
-the others goes to the bucket of its anchor, where new batches get suffix arrays
-and equal-sized arrays merge, and one scan of the merged order finds, for every
-suffix, the smallest document that has it too.
+the others goes to the bucket of its anchor. There each new batch gets a suffix
+array, which is scanned against the arrays of all levels for strings that stand
+in both; the smaller document is noted on either side, and arrays of one size
+merge.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,34 +103,62 @@ def anchors(data: np.ndarray, begins: np.ndarray, open_docs: np.ndarray) -> tupl
     return gram[place[np.concatenate(([0], cut + 1))]], first, last, doc[first].astype(np.int64)
 
 
+@dataclass
+class Level:
+    """One suffix array: ascending different suffixes, the least worth of each anywhere in the family, and which suffix each owner has."""
+
+    keys: np.ndarray
+    least: np.ndarray
+    owner: np.ndarray
+    of: np.ndarray
+
+
 class SuffixFamily:
-    """Suffix arrays of up to ``LENGTH`` bytes, in levels of growing size; each level is one sorted array with what it belongs to."""
+    """Suffix arrays of up to ``LENGTH`` bytes in levels of growing size.
+
+    The array of a new batch is scanned against every level when it comes; both
+    sides of an equal suffix then know the least worth of the two. Afterwards it
+    merges with the levels of about its size.
+    """
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[Level] = []
+        self.owners = self.found = 0
 
-    def add(self, suffixes: np.ndarray, owner: np.ndarray) -> None:
+    def add(self, suffixes: np.ndarray, worth: np.ndarray) -> None:
+        """``suffixes`` of the owners that follow those added before, each with its ``worth``."""
         order = np.argsort(suffixes, kind="stable")
-        new = suffixes[order], owner[order]
-        while self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
-            new = self._merged(self.levels.pop(), new)
-        self.levels.append(new)
+        new = np.flatnonzero(np.concatenate(([True], suffixes[order[1:]] != suffixes[order[:-1]]))) if len(order) else order
+        level = Level(suffixes[order[new]], np.minimum.reduceat(worth[order], new) if len(new) else worth, order + self.owners, np.repeat(np.arange(len(new)), np.diff(new, append=len(order))))
+        self.owners += len(order)
+        met = []
+        for old in self.levels:
+            at = np.minimum(np.searchsorted(old.keys, level.keys), len(old.keys) - 1)
+            hit = np.flatnonzero(old.keys[at] == level.keys)
+            level.least[hit] = np.minimum(level.least[hit], old.least[at[hit]])
+            met.append((old, at[hit], hit))
+            self.found += len(hit)
+        for old, at, hit in met:
+            old.least[at] = level.least[hit]
+        while self.levels and len(self.levels[-1].keys) < 2 * len(level.keys):
+            level = self._merged(self.levels.pop(), level)
+        if len(level.keys):
+            self.levels.append(level)
 
     @staticmethod
-    def _merged(a, b):
-        keys, owner = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    def _merged(a: Level, b: Level) -> Level:
+        keys, least = np.concatenate((a.keys, b.keys)), np.concatenate((a.least, b.least))
         order = np.argsort(keys, kind="stable")  # two sorted runs: one merge
-        return keys[order], owner[order]
-
-    def least(self, worth: np.ndarray, n: int) -> np.ndarray:
-        """For each of ``n`` owners, the least ``worth`` among the owners of an equal suffix."""
-        while len(self.levels) > 1:
-            self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
-        out = np.zeros(n, np.int64)
-        for keys, owner in self.levels:
-            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            low = np.minimum.reduceat(worth[owner], begin)
-            out[owner] = np.repeat(low, np.diff(np.concatenate((begin, [len(keys)]))))
+        first = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(first) - 1
+        return Level(keys[order[first]], least[order[first]], np.concatenate((a.owner, b.owner)), place[np.concatenate((a.of, b.of + len(a.keys)))])
+
+    def least(self) -> np.ndarray:
+        """For each owner, the least worth among the owners of an equal suffix."""
+        out = np.zeros(self.owners, np.int64)
+        for level in self.levels:
+            out[level.owner] = level.least[level.of]
         return out
 
 
@@ -290,9 +320,9 @@ def _answer(batch_suffixes: int):
                 text = np.frombuffer(b"".join(contexts[begin:stop]), np.uint8)
                 shift = np.repeat(np.arange(stop - begin) * (LENGTH - 1), count[begin:stop])
                 where = np.arange(base[stop] - base[begin]) + shift
-                family.add(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[where]).view(f"S{LENGTH}").ravel(), np.arange(base[begin], base[stop]))
+                family.add(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[where]).view(f"S{LENGTH}").ravel(), owner_doc[base[begin]:base[stop]])
                 begin = stop
-            repeated = family.least(owner_doc, int(base[-1])) < owner_doc if len(contexts) else np.zeros(0, bool)
+            repeated = family.least() < owner_doc if len(contexts) else np.zeros(0, bool)
             bits = np.where(repeated, 1 << (np.arange(len(repeated)) - np.repeat(base[:-1], count)), 0)
             mask = np.add.reduceat(bits, base[:-1]).astype(np.uint32) if len(contexts) else np.zeros(0, np.uint32)
             full = ((1 << count) - 1).astype(np.uint32)
