@@ -88,22 +88,23 @@ class LanguageModel:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000, clusters: int = 4,
           quantile: float = 0.001, slack: float = 0.7) -> LanguageModel:
-    """Fits on at most ``per_language`` labelled rows of each language, those of the smallest id hashes.
+    """Fits on at most ``per_language`` labelled rows of each language, those of the smallest hashes of id and text.
 
-    Rows without label, text or letter teach nothing. A text is rejected when its
+    Rows without label, text or letter teach nothing; null and repeated ids are
+    told apart by their texts. A text is rejected when its
     cosine lies below ``slack`` times the ``quantile`` of the sample's texts, cut
     to all shorter lengths too, in its class of length.
     """
-    rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    mixed = F.xxhash64(id_col, text_col)
     # What ``letters_of`` leaves something of.
     docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"[\p{L}\p{Nl}\p{No}]"))
-    # Ids are hashed evenly, so a cut at a few times the wanted share leaves a bounded number of rows to rank, however common a language is.
-    sizes = docs.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows"))
-    place = F.xxhash64(id_col).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    # Rows are hashed evenly, so a cut at a few times the wanted share of different ones leaves a bounded number to rank, however common a language is.
+    sizes = docs.groupBy(F.col(lang_col).alias("_lang")).agg(F.approx_count_distinct(mixed).alias("_rows"))
+    place = mixed.cast("double") / F.lit(2.0**64) + F.lit(0.5)
     # One row per language, as many as the model holds centroids for.
     few = docs.join(F.broadcast(sizes), docs[lang_col] == F.col("_lang")).where(place * F.col("_rows") <= 4 * per_language)
-    usable = few.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = materialize(usable.withColumn("_n", F.row_number().over(rank.partitionBy("lang"))).where(F.col("_n") <= per_language).select("lang", "text"), "languages")
+    usable = few.select(F.col(id_col).alias("id"), mixed.alias("mixed"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = materialize(usable.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("mixed", "id"))).where(F.col("_n") <= per_language).select("lang", "text"), "languages")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(DIMENSIONS, np.int64), 0

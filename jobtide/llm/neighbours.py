@@ -95,7 +95,7 @@ class PrefixForest:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): finite non-zero vectors as little-endian doubles; others, and null ids, take no part."""
+    """(id, vec): finite non-zero vectors as little-endian doubles, one an id, the least of its bytes; others, and null ids, take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +109,8 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                     vecs.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], names=["id", "vec"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(run, "id long, vec binary")
+    found = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(run, "id long, vec binary")
+    return found.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, trees: int = 24,
@@ -121,8 +122,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     climbing, and ``floor`` their least number: they set recall, the same at every
     size, since shards do not grow.
     Vectors that are null, empty, zero, or hold a null or non-finite component
-    take no part, nor do vectors whose length is not the sample's commonest. Equal
-    vectors are indexed once per shard and all found. An empty table gives an
+    take no part, nor do vectors whose length is not the sample's commonest. Rows
+    that share an id are one vector, the least by its bytes, as query and as
+    candidate. Equal vectors are indexed once per shard and all found. An empty table gives an
     empty result.
     """
     base = materialize(usable(vectors, id_col, vec_col), "vectors")

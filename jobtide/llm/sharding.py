@@ -85,7 +85,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, text_col: str = "text", id_col:
               group_share: float = 0.005, tolerance: float = 0.0005) -> DataFrame:
     """(id, size, text_crc32, shard, slot) for each row; the shards' sizes are near equal.
 
-    ``shards`` is a power of two. Size is the UTF-8 bytes of the text (null:
+    ``shards`` is a power of two, or a ValueError is raised. Size is the UTF-8 bytes of the text (null:
     none) plus 1, so a null text ranks with an empty one. The dimensions are the
     logarithm of the size, the id and the hashed source, each taken once for a
     group of equal texts (largest size, smallest id and source); nulls take the
@@ -95,6 +95,8 @@ def kd_shards(docs: DataFrame, shards: int = 16, text_col: str = "text", id_col:
     shard's rows from 0 without gaps. Repeated rows each get a slot; an empty
     table gives an empty result.
     """
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError(f"the number of shards is a power of two, not {shards}")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = F.coalesce(F.crc32(F.col(source_col).cast("string")), F.lit(0)) if source_col else F.lit(0).cast("long")

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -148,11 +149,21 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    least = {i: min((np.array(v).tobytes(), v) for j, v in rows if j == i)[1] for i in (0, 1, 2)}
+    want = sorted((float(np.linalg.norm(np.subtract(least[0], least[i]))), i) for i in (1, 2))
+    out = [tuple(r) for r in neighbours.nearest(df, df.where("vec_id = 0"), k=10, sample=100).orderBy("query_id", "rank").collect()]
+    assert out == [(0, k + 1, i, d) for k, (d, i) in enumerate(want)]
+
+
 # 3 — token files
 
-def plain_ids(texts):
+def plain_ids(texts, special=True):
+    """The library as it comes; without ``special`` it takes special tokens' strings as ordinary text."""
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
@@ -186,8 +197,8 @@ def test_word_encoder_equals_library():
     random.seed(3)
     parts = ["a", "A", " ", "\n", "\t", "́", "é", "'s", "..", ".", ",", "?!", "1", "23", "½", "_", "İ", "Σ", "日", "😀", " ", "\x1c", "<|endoftext|>", "don't", "\r", "--"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 25))) for _ in range(4000)]
-    got = [[*np.frombuffer(i, "<u4").tolist(), 1] for i in token_output.WordEncoder(WORDS).encode(texts)]
-    assert got == plain_ids(texts)
+    got = [[*i.tolist(), 1] for i in token_output.WordEncoder(WORDS).encode(pa.array(texts))]
+    assert got == plain_ids(texts, special=False)
 
 
 def test_special_tokens_in_a_text_equal_the_library(spark, tmp_path):
@@ -210,6 +221,44 @@ def test_language_learns_from_the_rows_that_have_letters(spark):
     assert set(model.languages) == {"en", "es"} and model.predict([english, spanish])[0] == ["en", "es"]
 
 
+@pytest.mark.parametrize("ids", ["cast(null as bigint)", "7L", "id"])
+def test_language_learns_whatever_the_ids(spark, ids):
+    english, spanish = "the quick brown fox jumps over the lazy dog and runs home", "el perro corre por la calle y la casa es muy grande"
+    rows = spark.range(20_000).selectExpr(f"{ids} as doc_id", f"if(id % 2 = 0, '{english}', '{spanish}') || if(id % 3 = 0, ' ' || id, '') as text", "if(id % 2 = 0, 'en', 'es') as lang")
+    assert set(language_id.train(rows, per_language=50).languages) == {"en", "es"}
+    same = spark.range(20_000).selectExpr(f"{ids} as doc_id", f"'{english}' as text", "'en' as lang")
+    assert language_id.train(same, per_language=50).predict([english])[0] == ["en"]
+
+
+def test_language_equals_plain_nearest_centroid(spark, docs):
+    """The fitted model applied word for word: counts of hashed n-grams, weights, cosines one by one."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(table, per_language=60)
+    texts = [t for _, t in docs[:60]] + ["", "12 !", "á", "zzz qqq"]
+
+    def plain(text):
+        letters = language_id.letters_of(text or "")
+        if not letters:
+            return "und", 0.0
+        data, counts = f" {letters} ".encode(), Counter()
+        for n in language_id.GRAMS:
+            for k in range(len(data) - n + 1):
+                code = n
+                for byte in data[k:k + n]:
+                    code = (code * 257 + byte) % 2**32
+                counts[(code * 2654435761 % 2**32) >> 20] += 1
+        weights = {g: c * float(model.idf[g]) for g, c in counts.items()}
+        length = sum(w * w for w in weights.values()) ** 0.5
+        cosines = [(sum(w * float(c[g]) for g, w in weights.items()) / length, name) for c, name in zip(model.centroids, model.languages, strict=True)]
+        best = max(c for c, _ in cosines)
+        return {name for c, name in cosines if c > best - 1e-5}, best
+
+    rows = language_id.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    for r in rows:
+        name, score = plain(r["text"])
+        assert r["lang_pred"] in name and abs(r["score"] - score) < 1e-4
+
+
 def test_language_query(spark, sf_dir):
     found = QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").collect()
     held = [r for r in found if r["held_out"]]
@@ -376,6 +425,26 @@ def test_repeats_of_odd_rows(spark, odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_family_scans_levels_as_batches_come():
+    rng = np.random.default_rng(2)
+    pool = np.array([rng.bytes(suffix_dedup.LENGTH) for _ in range(300)], f"S{suffix_dedup.LENGTH}")
+    family, suffixes, worth = suffix_dedup.SuffixFamily(), [], []
+    for size in (64, 1, 1, 2, 128, 16, 3, 1):
+        suffixes.append(pool[rng.integers(0, 300, size)])
+        worth.append(rng.integers(0, 1000, size))
+        before = {s for l in family.levels for s in l.keys.tolist()}
+        found = family.found
+        family.add(suffixes[-1], worth[-1])
+        assert (family.found > found) == bool(before & set(suffixes[-1].tolist()))
+        sizes = [len(l.keys) for l in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        every, value = np.concatenate(suffixes), np.concatenate(worth)
+        assert family.least().tolist() == [value[every == s].min() for s in every]  # right after every batch, not at the end alone
+    assert family.found > 20 and len(family.levels) > 1
+    family.add(suffixes[0][:0], worth[0][:0])
+    assert len(family.least()) == sum(map(len, suffixes)) and suffix_dedup.SuffixFamily().least().tolist() == []
+
+
 def test_repeats_query(spark, sf_dir, docs):
     assert sorted((tuple(r) for r in QUERIES["op8_suffix_dedup"](spark, sf_dir).collect()), key=repr) == sorted(brute.repeats(docs), key=repr)
 
@@ -424,6 +493,33 @@ def test_sharding_query(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sharding_tree_equals_plain_splits(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(w), int(t), int(a), int(b)) for w, t, a, b in zip(rng.integers(1, 50, 400), rng.integers(0, 1 << sharding.TIE, 400), rng.integers(0, 1 << 20, 400), rng.integers(0, 5, 400) * 1000, strict=True)]
+    dims, levels = ["d_a", "d_b"], 3
+
+    def plain(points, node, level):
+        if level == levels or not points:
+            return {p: node << (levels - level) for p in points}
+        spans = [max(p[k] for p in points) - min(p[k] for p in points) for k in (2, 3)]
+        dim = 2 if spans[0] >= spans[1] else 3
+        ordered, total, below = sorted(points, key=lambda p: (p[dim], p[1])), sum(p[0] for p in points), 0
+        for at, p in enumerate(ordered):
+            if 2 * (below + p[0]) >= total:
+                break
+            below += p[0]
+        cut = at + 1 if abs(2 * (below + p[0]) - total) <= abs(2 * below - total) else at
+        return plain(ordered[:cut], 2 * node, level + 1) | plain(ordered[cut:], 2 * node + 1, level + 1)
+
+    points = spark.createDataFrame(rows, "weight long, tie long, d_a long, d_b long").cache()
+    cuts = sharding.split_tree(points, dims, levels, 0.0)
+    found = {tuple(r)[:4]: r["leaf"] for r in points.withColumn("leaf", sharding._node(cuts, dims)).collect()}
+    assert found == plain(rows, 0, 0) and len(set(found.values())) == 8
+    with pytest.raises(ValueError):
+        sharding.kd_shards(points, shards=12)
+
+
 def test_sharding_odd_rows(spark, odd, empty):
     rows = sharding.kd_shards(odd, shards=4).collect()
     assert len(rows) == odd.count()
