@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import SECTORS
+from .countries import COUNTRY_NAMES
 from .text import trim_space, trimmed
 
-# Names that differ from the platform's English country names.
-COUNTRY_NAME_OVERRIDES = {
-    "CD": "Democratic Republic of the Congo", "CG": "Republic of the Congo", "CI": "Ivory Coast", "HK": "Hong Kong",
-    "GS": "South Georgia and the South Sandwich Islands", "HM": "Heard Island and McDonald Islands", "MO": "Macao",
-    "PS": "Palestine", "UM": "United States Minor Outlying Islands", "VC": "Saint Vincent and the Grenadines", "TR": "Turkey",
-}
-
-
-@lru_cache(maxsize=1)
-def country_names() -> dict[str, str]:
-    """ISO alpha-2 code to English name, from the JVM's locale data."""
-    locale = SparkSession.getActiveSession()._jvm.java.util.Locale
-    out = {}
-    for code in locale.getISOCountries():
-        name = locale("", code).getDisplayCountry(locale.ENGLISH)
-        name = re.sub(r" \(.*\)", "", name).replace("St. ", "Saint ").replace(" & ", " and ").replace("U.S. ", "United States ")
-        out[code] = COUNTRY_NAME_OVERRIDES.get(code, name)
-    return out
-
-
 def country_name(code: Column) -> Column:
     """Name of a two-letter code; anything else is NULL."""
-    text = "\n".join(f"{k}\t{v}" for k, v in country_names().items())
+    text = "\n".join(f"{k}\t{v}" for k, v in COUNTRY_NAMES.items())
     table = F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t"))
     return F.try_element_at(table, F.upper(F.trim(code)))
 

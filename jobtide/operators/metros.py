@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.countries import COUNTRY_NAMES
 from ..functions.gazetteer import DEFAULT, Gazetteer
-from ..functions.scalar import country_names
 from ..functions.text import title_case
 
 col = F.col
@@ -76,8 +76,8 @@ def resolve_places(names: DataFrame, countries: DataFrame, metros: DataFrame) ->
     base = F.regexp_replace(F.regexp_replace(F.lower(F.trim("name")), "^the\\s+", ""), "\\s+", " ")
     n = names.where(F.trim("name") != "").withColumn("_a", base).withColumn(
         "_b", F.when(F.locate(",", col("_a")) > 1, F.trim(F.substring_index("_a", ",", 1))))
-    spelled = [(name.lower(), code.lower(), 2) for code, name in country_names().items()]
-    spelled += [(code.lower(), code.lower(), 1) for code in country_names()]
+    spelled = [(name.lower(), code.lower(), 2) for code, name in COUNTRY_NAMES.items()]
+    spelled += [(code.lower(), code.lower(), 1) for code in COUNTRY_NAMES]
     spelled += [(w, "gb", 0) for w in ("uk", "united kingdom", "england")]
     spelled += [(w, "us", 0) for w in ("usa", "us", "america", "united states", "the united states")]
     known = spark.createDataFrame(spelled, "key string, code string, rank int").join(countries.select("code").distinct(), "code", "left_semi")

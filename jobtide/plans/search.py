@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import GUESSED_ONSITE
 from ..functions.scalar import age_days
-from ..functions.text import fold, term_hits
+from ..functions.text import fold, let, term_hits
 from ..operators import criteria, facets as facet_ops, rank, textindex
 from ..session import materialize
 from .profile import normalize_profile
@@ -116,25 +116,28 @@ class Search:
             return self.view.where(F.coalesce("text_length", F.lit(0)) == 0).select("id")
         return self.view.select("id").join(self.index.where(col("field") == "body").select("id"), "id", "left_anti")
 
-    def keyword_hits(self, terms: list[str]) -> DataFrame:
-        """(id, _hits): the keywords found in a posting's body, in the profile's order. Only findings leave the scan."""
-        if self.texts is not None:
-            found = self.texts.select("id", term_hits(fold(col("body")), terms).alias("_hits"))
-            return found.where(F.size("_hits") > 0)
+    def _index_hits(self, terms: list[str]) -> DataFrame:
+        """(id, _hits): the keywords the index finds in a posting's body, in the profile's order."""
         each = [textindex.match_terms(self.index, [t], "any").withColumn("_t", F.lit(t)) for t in terms]
         found = reduce(DataFrame.unionByName, each).groupBy("id").agg(F.collect_set("_t").alias("_found"))
         return found.select("id", F.array_intersect(F.array(*[F.lit(t) for t in terms]), "_found").alias("_hits"))
 
     def _keyword_flags(self, df: DataFrame) -> DataFrame:
+        """Adds text_missing, text_hit and description_hits where the profile has keywords."""
         if not self.keywords:
             return df
+        none = F.array().cast("array<string>")
         if self.index is None:
-            # One narrow scan says of each text whether it is there and whether it holds the keywords.
-            body = col("body")
-            found = self.texts.select("id", (F.coalesce(body, F.lit("")) != "").alias("_has"), textindex.match_terms_scan(body, self.keywords, self.profile["description_match"]).alias("_hit"))
-            return df.join(found, "id", "left").withColumns({"text_hit": F.coalesce("_hit", F.lit(False)), "text_missing": ~F.coalesce("_has", F.lit(False))}).drop("_has", "_hit")
+            # One narrow scan folds each text once and says whether it is there, passes the gate, and holds which keywords.
+            p, body = self.profile, F.coalesce(col("body"), F.lit(""))
+            said = let(fold(body), lambda t: F.struct(textindex.holds_phrases(t, self.keywords, p["description_match"]).alias("hit"), term_hits(t, p["description_keywords"]).alias("hits")))
+            found = self.texts.select("id", (body != "").alias("_has"), said.alias("_said"))
+            joined = df.join(found, "id", "left")
+            flags = {"text_hit": F.coalesce("_said.hit", F.lit(False)), "text_missing": ~F.coalesce("_has", F.lit(False)), "description_hits": F.coalesce("_said.hits", none)}
+            return joined.withColumns(flags).drop("_has", "_said")
         gate = self._matching(self.keywords, self.profile["description_match"])
-        return self._flag(self._flag(df, gate, "text_hit"), self._missing, "text_missing")
+        flagged = self._flag(self._flag(df, gate, "text_hit"), self._missing, "text_missing")
+        return flagged.join(self._index_hits(self.keywords), "id", "left").withColumn("description_hits", F.coalesce("_hits", none)).drop("_hits")
 
     @cached_property
     def gated(self) -> DataFrame:
@@ -160,10 +163,6 @@ class Search:
     def _ranked(self, bucket: str, k: int, offset: int) -> DataFrame:
         p = self.profile
         kept = criteria.keep_bucket(self.visible, p, bucket)
-        if self.keywords:
-            none = F.array().cast("array<string>")
-            kept = kept.join(self.keyword_hits(p["description_keywords"] if self.texts is not None else self.keywords), "id", "left").withColumn(
-                "description_hits", F.coalesce("_hits", none)).drop("_hits")
         scored = rank.score(kept, p)
         if p["collapse_duplicates"]:
             scored = rank.collapse_duplicates(scored, p["sort"])

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.countries import COUNTRY_NAMES
 from ..operators import slugs
 from ..operators.snapshot import content_hash
 from ..session import checkpoint_root
@@ -416,10 +417,15 @@ def append_run_history(spark, sf_dir):
     return spark.read.schema("day string, new_jobs long").json(path)
 
 
-NATIONS = {"US": "United States", "DE": "Germany", "GB": "United Kingdom", "CI": "Ivory Coast", "HK": "Hong Kong", "PM": "Saint Pierre and Miquelon"}
+CODES = sorted(COUNTRY_NAMES)
+CODE_SQL = f"[{', '.join(repr(c) for c in CODES)}][c_custkey % {len(CODES)} + 1]"
+NAME_SQL = "map {" + ", ".join(f"'{c}': '{n}'" for c, n in COUNTRY_NAMES.items()) + "}"
 
 
-@query("country_name", "SELECT c_custkey, CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NATIONS.values())) + " END AS name FROM customer")
+@query("country_name",
+       f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE ({NAME_SQL})[{CODE_SQL}] END AS name FROM customer")
 def country_name(spark, sf_dir):
-    codes = "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN ' {c.lower()}'" for i, c in enumerate(NATIONS)) + " WHEN 6 THEN 'USA' END"
-    return table(spark, sf_dir, "customer").select("c_custkey", S.country_name(F.expr(codes)).alias("name"))
+    """Every code, in either case and with spaces about it; three letters, or a name, are no code."""
+    code = F.element_at(F.lit(CODES), (F.col("c_custkey") % len(CODES) + 1).cast("int"))
+    written = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), F.lower(code), F.lit(" "))).when(F.col("c_custkey") % 3 == 1, F.concat(code, F.lit("X"))).otherwise(code)
+    return table(spark, sf_dir, "customer").select("c_custkey", S.country_name(written).alias("name"))

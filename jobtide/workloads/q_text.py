@@ -303,9 +303,8 @@ def description_gate(spark, sf_dir):
 def description_hits(spark, sf_dir):
     """Whole-word keyword hits of surviving rows, however many there are."""
     found = search(views.postings(spark, sf_dir), {"description_keywords": KEYWORDS}, texts=views.texts(spark, sf_dir))
-    kept = found.visible.where("listed AND (text_missing OR text_hit)").select("id")
-    rows = kept.join(found.keyword_hits(KEYWORDS), "id", "left").select("id", F.coalesce("_hits", F.array().cast("array<string>")).alias("h"))
-    return rows.select("id", F.array_join("h", ",").alias("hits"), rank.explain(F.col("h")).alias("why"))
+    kept = found.visible.where("listed AND (text_missing OR text_hit)")
+    return kept.select("id", F.array_join("description_hits", ",").alias("hits"), rank.explain(F.col("description_hits")).alias("why"))
 
 
 @lookup("text_specificity",

@@ -91,7 +91,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title, company, body) for the token index; every tenth body is empty and every eleventh row is missing."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.where("doc_id % 11 <> 5").selectExpr(
         f"{POSTING['id'].format(**SPARK)} AS id", "split_part(text, chr(10), 1) AS title", "'Company ' || source AS company",
         "CASE WHEN doc_id % 10 = 3 THEN '' ELSE text END AS body")
