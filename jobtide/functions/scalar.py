@@ -9,6 +9,7 @@ from ..constants import SECTORS
 from .countries import COUNTRY_NAMES
 from .text import trim_space, trimmed
 
+
 def country_name(code: Column) -> Column:
     """Name of a two-letter code; anything else is NULL."""
     text = "\n".join(f"{k}\t{v}" for k, v in COUNTRY_NAMES.items())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_slug
+from . import records
 
 col = F.col
 # Object fields that may hold a slug when a list holds objects.
@@ -39,6 +40,28 @@ def _json_at(body: Column, path: str | None) -> Column:
     return F.get_json_object(body, "$." + path) if path else body
 
 
+def _entry(e: Column) -> Column:
+    """The candidate of a list entry: a string, or an object read through the first slug-like string field."""
+    return F.when(e.startswith("{"), F.coalesce(*[F.get_json_object(e, f"$.{k}") for k in SLUGISH_KEYS])).otherwise(e)
+
+
+def read_slug_source(spark: SparkSession, path: str, spec: dict) -> DataFrame:
+    """``candidate`` rows of the files of one source, in any of the formats.
+
+    JSON arrays, CSV and text lines are read in splits, however large a file is;
+    ``split: False`` reads each JSON or CSV file whole. The other formats, and
+    arrays inside a document (``jsonPath``), take a task per file.
+    """
+    kind, split = spec["format"], spec.get("split", True)
+    if kind == "csv":
+        return read_csv_slugs(spark, path, spec)
+    if kind == "json-array" and split and not spec.get("jsonPath"):
+        return records.json_elements(spark, path).select(_entry(col("value")).alias("candidate"))
+    if kind == "text-lines":
+        return parse_slug_list(spark.read.text(path).select(col("value").alias("body")), spec)
+    return parse_slug_list(read_bodies(spark, path), spec).select("candidate")
+
+
 def parse_slug_list(bodies: DataFrame, spec: dict) -> DataFrame:
     """``body`` rows to ``candidate`` rows; other columns ride along.
 
@@ -47,10 +70,8 @@ def parse_slug_list(bodies: DataFrame, spec: dict) -> DataFrame:
     kind, keep = spec["format"], [c for c in bodies.columns if c != "body"]
     body = _json_at(col("body"), spec.get("jsonPath"))
     if kind == "json-array":
-        # Entries are strings, or objects read through the first slug-like string field.
         items = bodies.select(*keep, F.explode(F.from_json(body, "array<string>")).alias("e"))
-        fields = [F.get_json_object("e", f"$.{k}") for k in SLUGISH_KEYS]
-        return items.select(*keep, F.when(col("e").startswith("{"), F.coalesce(*fields)).otherwise(col("e")).alias("candidate"))
+        return items.select(*keep, _entry(col("e")).alias("candidate"))
     if kind == "json-objects":
         objects = F.coalesce(F.from_json(body, "array<string>"), F.map_values(F.from_json(body, "map<string,string>")))
         items = bodies.select(*keep, F.explode(objects).alias("e"))
@@ -78,9 +99,12 @@ def parse_slug_list(bodies: DataFrame, spec: dict) -> DataFrame:
 def read_csv_slugs(spark: SparkSession, path: str, spec: dict) -> DataFrame:
     """``candidate`` rows of a CSV list with a header; ``column`` is a name or an index.
 
-    Quoted fields may hold line ends; ``multiLine: False`` says that none do, so that large files are read in splits.
+    Files are read in splits at record ends, quoted line ends included;
+    ``split: False`` reads each file whole.
     """
-    df = spark.read.csv(path, header=True, multiLine=spec.get("multiLine", True), escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    if spec.get("split", True):
+        df = records.csv_records(spark, path, df.columns)  # the header alone is read the other way
     column = spec["column"]
     name = df.columns[column] if isinstance(column, int) else column
     missing = [c for c in [name, *(spec.get("where") or {})] if c not in df.columns]
