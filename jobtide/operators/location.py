@@ -469,10 +469,14 @@ def location_fragments(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(fragments).alias("fragment"))
 
 
-def derive_location(df: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
-    """id, d_metros, d_countries, d_supra, remote_hint, cities, unmatched for every posting."""
+def derive_location(df: DataFrame, places: Gazetteer = DEFAULT, memory=None) -> DataFrame:
+    """id, d_metros, d_countries, d_supra, remote_hint, cities, unmatched for every posting.
+
+    With a ``memory`` of places read before, only strings it does not hold are read.
+    """
     fragments = location_fragments(df)
-    parsed = parse_fragments(fragments.select("fragment").distinct(), places)
+    wanted = fragments.select("fragment").distinct()
+    parsed = parse_fragments(wanted, places) if memory is None else memory.fragments(wanted)
     placed = fragments.join(parsed, "fragment", "left").groupBy("id").agg(
         F.array_distinct(F.flatten(F.collect_list("metros"))).alias("metros"),
         F.array_distinct(F.flatten(F.collect_list("countries"))).alias("countries"),
@@ -485,9 +489,10 @@ def derive_location(df: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     # The title is read only where the location fields named no country.
     silent = F.coalesce(F.size("countries"), F.lit(0)) <= 0
     titles = out.where(silent & F.col("title").isNotNull()).select("title").distinct()
-    # A posting that needs no title joins on a key of its own that no title has, so such rows are spread evenly.
-    out = out.withColumn("_title", F.when(silent, F.col("title")).otherwise(F.concat(F.lit("\0"), F.col("id")))).join(
-        title_places(titles, places).select(F.col("title").alias("_title"), F.col("place").alias("_t")), "_title", "left")
+    named = title_places(titles, places) if memory is None else memory.titles(titles)
+    # A posting that needs no title, or has none, joins on a key of its own that no title has, so such rows are spread evenly.
+    out = out.withColumn("_title", F.coalesce(F.when(silent, F.col("title")), F.concat(F.lit("\0"), F.col("id")))).join(
+        named.select(F.col("title").alias("_title"), F.col("place").alias("_t")), "_title", "left")
 
     def both(name: str) -> Column:
         empty = F.array().cast("array<string>")

@@ -11,21 +11,23 @@ from ..operators import derive_text as D
 from ..operators.facets import top_counts
 from ..operators.location import derive_location, remote_scope
 from ..session import materialize
+from .places import PlaceMemory
 
 col = F.col
 
 
-def derive(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEFAULT) -> DataFrame:
+def derive(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEFAULT, memory: PlaceMemory | None = None) -> DataFrame:
     """Postings with every derived column, plus ``cities`` and ``unmatched`` for the registry.
 
-    Places are read once per distinct string; everything else is row-local and
-    reads each text once. All joins are on the posting id.
+    Places are read once per distinct string, and with a ``memory`` only those it
+    does not hold; everything else is row-local and reads each text once. All
+    joins are on the posting id.
     """
     raw = [c for c in postings.columns if not c.startswith("d_") and c not in ("cities", "unmatched")]
     # What a text says is read where the text is scanned; only the findings are shuffled to the join.
     read = texts.select("id", D.signals(col("text")).alias("_signals"), D.strictest_years(D.years_claims(col("text"))).alias("_years"),
                         F.length("text").alias("_length"))
-    df = postings.select(*raw).join(read, "id", "left").join(derive_location(postings, places), "id")
+    df = postings.select(*raw).join(read, "id", "left").join(derive_location(postings, places, memory), "id")
     df = df.withColumns({
         "_title": fold(col("title")), "_dept": fold(F.concat_ws(" ", F.coalesce("department", F.lit("")), F.coalesce("team", F.lit("")))),
         "_pay": D.annual_salary(col("comp_min"), col("comp_max"), col("comp_currency"), col("comp_interval")),
@@ -48,14 +50,15 @@ def derive(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEF
     )
 
 
-def derive_incremental(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEFAULT, limit: int | None = None) -> DataFrame:
+def derive_incremental(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEFAULT, limit: int | None = None,
+                       memory: PlaceMemory | None = None) -> DataFrame:
     """Only rows whose stamp was cleared are derived; the others pass through.
 
     ``postings`` holds the earlier derived columns.
     """
     stale = postings.where(col("d_derived_at").isNull())
     stale = stale.orderBy("id").limit(limit) if limit else stale
-    fresh = derive(materialize(stale, "stale") if limit else stale, texts, as_of, places)
+    fresh = derive(materialize(stale, "stale") if limit else stale, texts, as_of, places, memory)
     kept = postings.where(col("d_derived_at").isNotNull())
     if limit:
         kept = postings.join(fresh.select("id"), "id", "left_anti")

@@ -6,6 +6,8 @@ texts carry a phrase chosen by row so that every rule meets real, long text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import FX_USD, GUESS_ORDER, PERIODS_PER_YEAR
@@ -13,7 +15,8 @@ from ..functions import text as T
 from ..functions.gazetteer import DEFAULT
 from ..operators import derive_text as D, location, metros
 from ..plans import derive as plan
-from ..session import materialize
+from ..plans.places import PlaceMemory
+from ..session import checkpoint_root, materialize
 from . import views
 from .registry import query, spread, table
 
@@ -250,6 +253,36 @@ def location_query(spark, sf_dir):
     return got.select("id", *[F.array_join(f"d_{c}", ",").alias(c) for c in ("metros", "countries", "supra")], F.col("remote_hint").cast("int").alias("remote"))
 
 
+FIRST_DAY = "CAST(substr(id, 3) AS INT) % 5 = 0"
+
+
+def _two_days(spark, sf_dir):
+    """A fifth of the postings, then all of them, with one memory of places."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/jobtide/places-{uuid.uuid4().hex}"
+    posts, counts = _customers(spark, sf_dir), []
+    memory = PlaceMemory(spark, root, parts=4)
+    for day, rows in (("first", posts.where(FIRST_DAY)), ("second", posts), ("again", posts)):
+        before, got = memory.parsed["fragments"], location.derive_location(rows, memory=memory)
+        counts.append((day, memory.parsed["fragments"] - before))
+    return got, counts
+
+
+@query("location_remembered", f"{LOCATED} SELECT id, {views.joined('metros')} AS metros, {views.joined('countries')} AS countries, {views.joined('supra')} AS supra, 1 AS remote FROM l")
+def location_remembered(spark, sf_dir):
+    """Places of all postings from a memory that was filled on two days."""
+    got = _two_days(spark, sf_dir)[0]
+    return got.select("id", *[F.array_join(f"d_{c}", ",").alias(c) for c in ("metros", "countries", "supra")], F.col("remote_hint").cast("int").alias("remote"))
+
+
+@query("places_parsed",
+       f"WITH c AS (SELECT 'c:' || CAST(c_custkey AS VARCHAR) AS id, ({_duck_list([p[0] for p in PLACES])})[c_custkey % {N} + 1] AS a, ({_duck_list([p[0] for p in PLACES])})[(c_custkey * 7 + 1) % {N} + 1] AS b, {NAME[False]} AS n_name "
+       f"FROM customer JOIN nation ON n_nationkey = c_nationkey), f AS (SELECT id, a AS fragment FROM c UNION SELECT id, b FROM c UNION SELECT id, 'Remote - ' || n_name FROM c), o AS (SELECT DISTINCT fragment FROM f WHERE {FIRST_DAY}) "
+       "SELECT 'first' AS day, count(*) AS strings FROM o UNION ALL SELECT 'second', count(DISTINCT fragment) - (SELECT count(*) FROM o) FROM f UNION ALL SELECT 'again', 0")
+def places_parsed(spark, sf_dir):
+    """How many strings each day had to read: those no day before had."""
+    return spark.createDataFrame(_two_days(spark, sf_dir)[1], "day string, strings long")
+
+
 @query("location_fragments",
        f"WITH c AS (SELECT 'c:' || CAST(c_custkey AS VARCHAR) AS id, ({_duck_list([p[0] for p in PLACES])})[c_custkey % {N} + 1] AS a, ({_duck_list([p[0] for p in PLACES])})[(c_custkey * 7 + 1) % {N} + 1] AS b, {NAME[False]} AS n_name "
        "FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT id, a AS fragment FROM c UNION SELECT id, b FROM c UNION SELECT id, 'Remote - ' || n_name FROM c")

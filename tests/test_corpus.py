@@ -187,3 +187,37 @@ def test_many_profiles_are_one_scan(spark, sf_dir):
     with pytest.raises(ValueError):
         many.totals(stored, {"x": {"text": "the"}})
     stored.unpersist()
+
+
+# -- places read before -------------------------------------------------------------------------------
+
+def test_place_memory(spark, tmp_path, monkeypatch):
+    from jobtide.functions.gazetteer import Gazetteer
+    from jobtide.operators.location import derive_location
+    from jobtide.plans import places as module
+    from jobtide.plans.places import PlaceMemory
+
+    def rows(*given):
+        return spark.createDataFrame([(str(i), t, p) for i, (t, p) in enumerate(given)], "id string, title string, location_raw string").selectExpr(
+            "*", "cast(null as array<string>) as locations_all", "'' as city", "'' as region", "cast(null as string) as country")
+
+    def facts(df):
+        return sorted(map(str, df.collect()))
+
+    one = rows(("Engineer - Paris", None), (None, None), ("Clerk", "Berlin, Germany"), (None, "Nowhereville"))
+    memory = PlaceMemory(spark, str(tmp_path), parts=2)
+    assert facts(derive_location(one, memory=memory)) == facts(derive_location(one)) and memory.parsed == {"fragments": 2, "titles": 1}
+    assert facts(derive_location(one, memory=memory)) == facts(derive_location(one)) and memory.parsed == {"fragments": 2, "titles": 1}
+    two = rows(("Clerk", "Berlin, Germany"), ("Engineer - Paris", ""), ("Nurse", "London, UK"))
+    other = PlaceMemory(spark, str(tmp_path), parts=2)
+    assert facts(derive_location(two, memory=other)) == facts(derive_location(two)) and other.parsed == {"fragments": 1, "titles": 0}
+    # Other place tables: what was read with the old ones does not count, and comes back with them.
+    places = Gazetteer(extra_cities={"nowhereville": "nyc"})
+    new = PlaceMemory(spark, str(tmp_path), places, parts=2)
+    found = {r["id"]: r["d_metros"] for r in derive_location(one, places, new).collect()}
+    assert found["3"] == ["nyc"] and new.parsed["fragments"] == 2
+    monkeypatch.setattr(module, "PIECES", 2)
+    memory.fragments(spark.createDataFrame([("Town",), ("Lisbon",), (None,), ("Lisbon",)], "fragment string"))
+    pieces = memory.store.pieces("fragments")
+    assert max(sum(p.part == part for p in pieces) for part in (0, 1)) <= 2 and memory.parsed == {"fragments": 4, "titles": 1}
+    assert memory.fragments(spark.createDataFrame([], "fragment string")).count() == 5  # Berlin, Nowhereville, London, Town, Lisbon
