@@ -36,6 +36,7 @@ HEADER = struct.Struct("<8s32sQB7x")
 NO_ID = -(1 << 63)
 # Bounds of a worker's memory: stretches remembered, characters of one, rows worked on at once.
 KEPT, BYTES = 1 << 19, 4 << 20  # words remembered; text encoded at once
+CLASSES = 64  # of a source's rows, ranked apart
 LATIN_END = "\u0250"  # letters below it are composed already
 MARKS = string.punctuation
 DOTTED = "\u0130"  # the one letter that lower-cases to a letter and a mark
@@ -208,15 +209,16 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text
                      sample_docs: int = 512, sample_ids: int = 8 << 10, dictionary_bytes: int = 64 << 10) -> bytes:
     """The shared dictionary, from one stretch of ``sample_ids`` ids of each of at most ``sample_docs`` documents.
 
-    Documents are taken by the smallest id hashes, from every source of
+    Documents are taken by the smallest hashes of id and text, from every source of
     ``source_col`` in turn, and a stretch begins where the hash says, so reruns
     agree. Only the dictionary rests on the sample: every document is written
     whole. Too few documents to train on give an empty dictionary.
     """
-    key = F.xxhash64(id_col)
-    source = F.col(source_col) if source_col else F.lit(0)
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("k"))
-    ranked = docs.select(key.alias("k"), source.alias("source")).withColumn("turn", turn).where(F.col("turn") <= sample_docs)
+    key = F.xxhash64(id_col, text_col)
+    rows = docs.select(key.alias("k"), F.xxhash64(F.col(source_col) if source_col else F.lit(0)).alias("source")).withColumn("class", F.pmod("k", F.lit(CLASSES)))
+    # Each source is ranked in classes first, which leaves few rows of it however large it is.
+    few = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "class").orderBy("k"))).where(F.col("place") <= max(1, 4 * sample_docs // CLASSES))
+    ranked = few.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("k"))).where(F.col("turn") <= sample_docs)
     keys = [r["k"] for r in ranked.orderBy("turn", "k").limit(sample_docs).collect()]
     if not keys:
         return b""
