@@ -328,7 +328,22 @@ def metro_registry(spark, sf_dir):
     return metros.metro_registry(located, located).select("id", "label", "country", "job_count")
 
 
-@query("metro_aliases")
+# The city each written place names, and its metro, in the order of PLACES.
+CITIES_READ = [
+    [("new york", "nyc")], [("newark", "sf-bay")], [], [("dallas tx", "dallas")], [("us-ma-boston", "boston")], [("london uk", "london")], [("paris", "paris")], [("nashville", "nashville")],
+    [("gurugram", "delhi-ncr")], [("mexico city", "mexico-city")], [], [("ho chi minh city", "ho-chi-minh-city")], [("st louis", "st-louis")], [("portland me", "portland-me")],
+    [("singapore", "singapore")], [("nyc", "nyc"), ("sf", "sf-bay")], [("toronto", "toronto")], [], [], [("seoul", "seoul")], [("rio de janeiro", "rio-de-janeiro")], [("elche", "elche")],
+]
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+@query("metro_aliases",
+       f"{LOCATED}, u AS (SELECT id, i AS x FROM l UNION SELECT id, j FROM l), s AS (SELECT alias, metro, count(*) AS n FROM u JOIN (VALUES {_values((i, *c) for i, cs in enumerate(CITIES_READ) for c in cs)}) v(x, alias, metro) USING (x) GROUP BY ALL), "
+       f"g AS (SELECT alias, metro, 0 AS n FROM (VALUES {_values(DEFAULT.cities.items())}) v(alias, metro) WHERE metro IN (SELECT unnest(metros) FROM l)), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY n DESC, metro) AS rn FROM (SELECT * FROM s UNION ALL SELECT * FROM g)) SELECT alias, metro AS metro_id FROM r WHERE rn = 1")
 def metro_aliases(spark, sf_dir):
     located = materialize(location.derive_location(_customers(spark, sf_dir)), "located")
     return metros.metro_aliases(metros.metro_registry(located, located), located)

@@ -170,7 +170,19 @@ def dossier_gather(spark, sf_dir):
     return g.select("company_id", F.array_join("titles", ";").alias("titles"), F.array_join(F.transform("texts", lambda t: F.md5(t)), ";").alias("texts"))
 
 
-@query("company_dossier")
+CUT = "trim(regexp_replace(regexp_replace(substr(text, 1, 1500), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("company_dossier",
+       "WITH d AS (SELECT source AS c, 'Title ' || (doc_id % 90) AS t, row_number() OVER (PARTITION BY source ORDER BY (doc_id * 37) % 1000, CAST(doc_id AS VARCHAR)) AS rn FROM documents WHERE doc_id % 11 <> 0), "
+       "t AS (SELECT c, t, min(rn) AS rn FROM d WHERE rn <= 60 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY rn) AS r, count(*) OVER (PARTITION BY c) AS n FROM t), "
+       "h AS (SELECT c, 'Company: ' || upper(c) || chr(10) || 'Board slug: ' || c || chr(10) || 'Website: https://' || c || '.example.com' || chr(10) || 'Open roles: ' || string_agg(t, '; ' ORDER BY r) "
+       "|| CASE WHEN any_value(n) > 14 THEN ' (and ' || (any_value(n) - 14) || ' more)' ELSE '' END AS head FROM o WHERE r <= 14 GROUP BY 1), "
+       f"l AS (SELECT source AS c, {CUT} AS cut, row_number() OVER (PARTITION BY source ORDER BY (doc_id * 37) % 1000, CAST(doc_id AS VARCHAR)) AS k FROM documents WHERE doc_id % 11 <> 0 AND length(text) > 200), "
+       "x AS (SELECT *, row_number() OVER (PARTITION BY c, lower(substr(cut, 1, 200)) ORDER BY k) AS again FROM l WHERE k <= 6 AND length(cut) >= 80), "
+       "y AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k) AS r FROM x WHERE again = 1), "
+       "z AS (SELECT c, string_agg(chr(10) || chr(10) || '--- from a posting ---' || chr(10) || cut, '' ORDER BY k) AS body FROM y WHERE r <= 3 GROUP BY 1) "
+       "SELECT h.c AS id, head || coalesce(body, '') AS dossier FROM h LEFT JOIN z USING (c)")
 def company_dossier(spark, sf_dir):
     posts, texts = _documents(spark, sf_dir)
     c = fill(posts.select("company_id").distinct(), COMPANIES, id="company_id", slug="company_id", name="upper(company_id)", website="'https://' || company_id || '.example.com'", status="'live'")
