@@ -281,24 +281,38 @@ def vocabulary(postings: DataFrame, metros: DataFrame, limit: int = 200) -> dict
 
 def corpus_meta(postings: DataFrame, companies: DataFrame, metros: DataFrame, events: DataFrame, run_meta: DataFrame,
                 top_metros: int = 250, top_skills: int = 200, last_days: int = 60) -> dict[str, DataFrame]:
-    """The corpus at a glance, one small frame per heading."""
-    totals = postings.agg(
-        F.count(F.lit(1)).alias("jobs"), F.count_if("is_open").alias("open"), F.count_if(col("d_derived_at").isNotNull()).alias("derived"))
+    """The corpus at a glance, one small frame per heading.
+
+    Postings are read once: each emits what it counts for, and the counts, one
+    row per company, skill and source, are stored for the headings to read.
+    """
+    def mark(kind: str, value: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.lit("") if value is None else value).alias("value"))
+
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    opened = F.array(mark("open"), mark("ats", col("ats")), mark("company", col("company_id")))
+    marks = F.concat(
+        F.array(mark("jobs")), F.when(col("is_open"), opened).otherwise(none), F.when(col("d_derived_at").isNotNull(), F.array(mark("derived"))).otherwise(none),
+        F.transform(F.coalesce("d_skills", F.array().cast("array<string>")), lambda s: mark("skill", s)))
+    tally = materialize(postings.select(F.explode(marks).alias("x")).select("x.*").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("jobs")), "tally")
+
+    def counted(kind: str) -> DataFrame:
+        return tally.where(col("kind") == kind).select("value", "jobs")
+
+    totals = tally.agg(*[F.coalesce(F.sum(F.when(col("kind") == k, col("jobs"))), F.lit(0)).alias(k) for k in ("jobs", "open", "derived")])
     live = col("status") == "live"
     boards = companies.agg(
         F.count(F.lit(1)).alias("companies"), F.count_if(live).alias("boards_live"),
         F.count_if(live & col("sector").isNotNull()).alias("sectors_read"))
-    # Count per company first: the join then carries one row per company.
-    per_company = open_roles(postings, "company_id")
-    with_sector = companies.where(col("sector").isNotNull()).join(per_company, companies["id"] == per_company["company_id"]).agg(
-        F.coalesce(F.sum("open_roles"), F.lit(0)).alias("jobs_with_sector"))
+    with_sector = companies.where(col("sector").isNotNull()).join(counted("company"), companies["id"] == col("value")).agg(
+        F.coalesce(F.sum("jobs"), F.lit(0)).alias("jobs_with_sector"))
     sweeps = run_meta.where(col("key").startswith("last_sweep_") & (F.expr("try_cast(value AS bigint)") > 0)).groupBy("key").agg(
         F.max_by(F.expr("try_cast(value AS bigint)"), "at").alias("at"))
     return {
         "totals": totals, "boards": boards, "jobs_with_sector": with_sector,
         "metros": metros.orderBy(col("job_count").desc(), "id").limit(top_metros),
-        "skills": top_counts(postings.select(F.explode("d_skills").alias("s")), "s", top_skills),
-        "ats": vocabulary(postings, metros)["ats"],
+        "skills": counted("skill").orderBy(col("jobs").desc(), "value").limit(top_skills),
+        "ats": counted("ats").select("value", col("jobs").alias("count")).orderBy(col("count").desc(), "value"),
         "last_sweep_by_ats": sweeps.select(F.substring("key", len("last_sweep_") + 1, 100).alias("ats"), "at"),
         "last_sweep": sweeps.agg(F.min("at").alias("at")),
         "days": events.groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(col("day").desc()).limit(last_days),
