@@ -460,13 +460,17 @@ def title_places(titles: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     return df.select(*titles.columns, let(found, collect).alias("place"))
 
 
-def location_fragments(df: DataFrame) -> DataFrame:
-    """(id, fragment): every distinct non-blank place string of each posting."""
+def _written_places() -> Column:
+    """Every distinct non-blank place string of a posting."""
     pair = F.when((F.col("city") != "") & (F.col("region") != ""), F.concat_ws(", ", "city", "region")).otherwise(F.col("city"))
     written = F.concat(
         F.coalesce(F.col("locations_all"), F.array().cast("array<string>")), F.array("location_raw", pair, "country"))
-    fragments = F.array_distinct(F.filter(F.transform(written, lambda w: F.trim(w)), lambda f: f.isNotNull() & (f != "")))
-    return df.select("id", F.explode(fragments).alias("fragment"))
+    return F.array_distinct(F.filter(F.transform(written, lambda w: F.trim(w)), lambda f: f.isNotNull() & (f != "")))
+
+
+def location_fragments(df: DataFrame) -> DataFrame:
+    """(id, fragment): every distinct non-blank place string of each posting."""
+    return df.select("id", F.explode(_written_places()).alias("fragment"))
 
 
 def derive_location(df: DataFrame, places: Gazetteer = DEFAULT, memory=None) -> DataFrame:
@@ -474,10 +478,12 @@ def derive_location(df: DataFrame, places: Gazetteer = DEFAULT, memory=None) ->
 
     With a ``memory`` of places read before, only strings it does not hold are read.
     """
-    fragments = location_fragments(df)
-    wanted = fragments.select("fragment").distinct()
+    wanted = location_fragments(df).select("fragment").distinct()
     parsed = parse_fragments(wanted, places) if memory is None else memory.fragments(wanted)
-    placed = fragments.join(parsed, "fragment", "left").groupBy("id").agg(
+    # Titles travel with the fragments, so postings need no join back; one without a fragment has a key of its own.
+    pieces = df.select("id", "title", F.explode_outer(_written_places()).alias("fragment")).withColumn("_key", F.coalesce("fragment", F.concat(F.lit("\0"), "id")))
+    out = pieces.join(parsed.withColumnRenamed("fragment", "_key"), "_key", "left").groupBy("id").agg(
+        F.any_value("title").alias("title"),
         F.array_distinct(F.flatten(F.collect_list("metros"))).alias("metros"),
         F.array_distinct(F.flatten(F.collect_list("countries"))).alias("countries"),
         F.array_distinct(F.flatten(F.collect_list("supra"))).alias("supra"),
@@ -485,7 +491,6 @@ def derive_location(df: DataFrame, places: Gazetteer = DEFAULT, memory=None) ->
         F.flatten(F.collect_list("cities")).alias("cities"),
         F.flatten(F.collect_list("unmatched")).alias("unmatched"),
     )
-    out = df.select("id", "title").join(placed, "id", "left")
     # The title is read only where the location fields named no country.
     silent = F.coalesce(F.size("countries"), F.lit(0)) <= 0
     titles = out.where(silent & F.col("title").isNotNull()).select("title").distinct()
