@@ -33,6 +33,7 @@ RANGE_BYTES = 12 << 20  # text whose n-grams one range counts
 KEY_BITS, KEY_BYTES = 48, 6  # a question carries so much of a hash
 PARTS = 512  # a suffix is told apart by the parity of so many parts
 TILE = 4096  # prefix rows of one n-gram compared by one task
+SALTS = 16  # classes of the rows of one set
 
 
 def least_overlap(a, b, percent: int):
@@ -302,9 +303,13 @@ def jaccard_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         raise ValueError("percent is above 0 and at most 100")
     every = materialize(ordered_sets(docs, shingle, percent, text_col, id_col), "sets")
     reach = every.where("id is not null and whole is not null")
-    first = reach.groupBy("whole").agg(F.min("id").alias("first"))
-    members = materialize(reach.select("id", "whole").join(first, "whole"), "members")
-    sets = materialize(reach.join(first, "whole").where("id = first").dropDuplicates(["whole"]).select("id", "n", "whole", "singles", "shared"), "different")
-    joined = links(sets, members.select(F.col("id").alias("a"), F.col("first").alias("b")), percent)
+    # Copies of one set may be a third of all rows: they point to the least id of one of SALTS classes, and these to each other's least.
+    reach = reach.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    lows = materialize(reach.groupBy("whole", "salt").agg(F.min("id").alias("low")), "lows")
+    first = lows.groupBy("whole").agg(F.min("low").alias("id"))
+    copies = reach.select("id", "whole", "salt").join(lows, ["whole", "salt"]).select(F.col("id").alias("a"), F.col("low").alias("b"))
+    members = materialize(copies.unionByName(lows.join(first, "whole").select(F.col("low").alias("a"), F.col("id").alias("b"))), "members")
+    sets = materialize(reach.join(first, ["whole", "id"]).dropDuplicates(["whole"]).select("id", "n", "whole", "singles", "shared"), "different")
+    joined = links(sets, members, percent)
     named: Column = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return every.join(joined, F.col("id") == F.col("node"), "left").select("id", F.col("n").alias("n_shingles"), named.alias("component_id"))

@@ -131,28 +131,34 @@ class SuffixFamily:
         new = np.flatnonzero(np.concatenate(([True], suffixes[order[1:]] != suffixes[order[:-1]]))) if len(order) else order
         level = Level(suffixes[order[new]], np.minimum.reduceat(worth[order], new) if len(new) else worth, order + self.owners, np.repeat(np.arange(len(new)), np.diff(new, append=len(order))))
         self.owners += len(order)
-        met = []
+        # The merge of two sorted arrays is their scan; larger levels are searched for the new suffixes alone.
+        fresh = np.ones(len(level.keys), bool)
+        while self.levels and len(self.levels[-1].keys) < 2 * len(level.keys):
+            level, fresh = self._merged(self.levels.pop(), level, fresh)
+        own, met = np.flatnonzero(fresh), []
         for old in self.levels:
-            at = np.minimum(np.searchsorted(old.keys, level.keys), len(old.keys) - 1)
-            hit = np.flatnonzero(old.keys[at] == level.keys)
-            level.least[hit] = np.minimum(level.least[hit], old.least[at[hit]])
-            met.append((old, at[hit], hit))
+            at = np.minimum(np.searchsorted(old.keys, level.keys[own]), len(old.keys) - 1)
+            hit = np.flatnonzero(old.keys[at] == level.keys[own])
+            level.least[own[hit]] = np.minimum(level.least[own[hit]], old.least[at[hit]])
+            met.append((old, at[hit], own[hit]))
             self.found += len(hit)
         for old, at, hit in met:
             old.least[at] = level.least[hit]
-        while self.levels and len(self.levels[-1].keys) < 2 * len(level.keys):
-            level = self._merged(self.levels.pop(), level)
         if len(level.keys):
             self.levels.append(level)
 
-    @staticmethod
-    def _merged(a: Level, b: Level) -> Level:
-        keys, least = np.concatenate((a.keys, b.keys)), np.concatenate((a.least, b.least))
+    def _merged(self, a: Level, b: Level, fresh: np.ndarray) -> tuple[Level, np.ndarray]:
+        """One level of two, and which of its suffixes are ``fresh`` ones of b; equal suffixes take the lesser worth."""
+        keys = np.concatenate((a.keys, b.keys))
         order = np.argsort(keys, kind="stable")  # two sorted runs: one merge
-        first = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))
+        first = np.flatnonzero(np.concatenate(([True], keys[order[1:]] != keys[order[:-1]])))
         place = np.empty(len(keys), np.int64)
-        place[order] = np.cumsum(first) - 1
-        return Level(keys[order[first]], least[order[first]], np.concatenate((a.owner, b.owner)), place[np.concatenate((a.of, b.of + len(a.keys)))])
+        place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+        new = np.zeros(len(first), bool)
+        new[place[len(a.keys):][fresh]] = True
+        self.found += len(keys) - len(first)
+        least = np.minimum.reduceat(np.concatenate((a.least, b.least))[order], first)
+        return Level(keys[order[first]], least, np.concatenate((a.owner, b.owner)), place[np.concatenate((a.of, b.of + len(a.keys)))]), new
 
     def least(self) -> np.ndarray:
         """For each owner, the least worth among the owners of an equal suffix."""
