@@ -42,6 +42,7 @@ class TableStore:
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+        self.known: dict[int, list[Piece]] = {0: []}  # a published version never changes
 
     def version(self) -> int:
         """The newest published version; 0 before the first."""
@@ -50,14 +51,11 @@ class TableStore:
     def pieces(self, name: str | None = None, version: int | None = None, parts: Iterable[int] | None = None) -> list[Piece]:
         """Pieces of a version. Their number is bounded by parts times pieces a part, so the driver holds them."""
         version = self.version() if version is None else version
-        if not version:
-            return []
-        rows = self.spark.read.schema(PIECES).parquet(f"{self.root}/_versions/v={version}")
-        if name is not None:
-            rows = rows.where(F.col("name") == name)
-        if parts is not None:
-            rows = rows.where(F.col("part").isin(list(parts)))
-        return [Piece(*r) for r in rows.orderBy("name", "part", "sequence", "folder").collect()]
+        if version not in self.known:
+            rows = self.spark.read.schema(PIECES).parquet(f"{self.root}/_versions/v={version}").orderBy("name", "part", "sequence", "folder")
+            self.known[version] = [Piece(*r) for r in rows.collect()]
+        wanted = None if parts is None else set(parts)
+        return [p for p in self.known[version] if name in (None, p.name) and (wanted is None or p.part in wanted)]
 
     def read(self, name: str, version: int | None = None, parts: Iterable[int] | None = None, pieces: list[Piece] | None = None) -> DataFrame:
         """The rows of a version, of some parts, or of the pieces named. Other files are not listed."""
@@ -84,6 +82,7 @@ class TableStore:
         version, gone = self.version(), {p.folder for p in drop}
         kept = [p for p in self.pieces(version=version) if p.folder not in gone]
         rows = self.spark.createDataFrame([astuple(p) for p in [*kept, *add]], PIECES)
-        rows.coalesce(1).write.mode("error").parquet(f"{self.root}/_versions/v={version + 1}")
+        # A writer that died before publishing may have left this version; nobody reads it.
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_versions/v={version + 1}")
         publish(self.spark, self.root, version + 1)
         return version + 1

@@ -100,6 +100,7 @@ def test_store_publishes_whole_versions(spark, tmp_path):
     assert store.version() == 0 and store.read("t").isEmpty()  # written, not published
     assert store.publish([], first) == 1 and sum(p.rows for p in first) == 50
     assert store.write("t", rows.limit(0), part_of(F.col("k"), 5)) == []
+    spark.range(1).write.parquet(str(tmp_path / "_versions" / "v=2"))  # left by a writer that died before it published
     second = store.write("t", rows.where("v < 3").withColumn("v", F.col("v") + 100), F.lit(0), 7)
     store.publish(first[1:], second)
     assert store.read("t").count() == first[0].rows + 3 and store.read("t", 1).count() == 50
