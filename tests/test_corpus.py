@@ -36,7 +36,7 @@ def boards(spark, outcomes):
 
 @pytest.fixture
 def corpus(spark, tmp_path):
-    c = Corpus(spark, str(tmp_path), parts=16)
+    c = Corpus(spark, str(tmp_path), parts=6)
     c.load(postings(spark), texts(spark))
     return c
 
@@ -44,7 +44,7 @@ def corpus(spark, tmp_path):
 def test_sweep_reads_and_writes_the_parts_of_its_boards(spark, corpus):
     before = corpus.store.pieces()
     swept = corpus.sweep(snap(spark, [("b3", "3", "new"), ("b3", "900", None)]), boards(spark, {"b3": "swept", "b4": "error"}), "2026-02-02 06:00:00", "2026-02-02")
-    part = spark.range(1).select(part_of(F.lit("ashby:b3"), 16)).first()[0]
+    part = spark.range(1).select(part_of(F.lit("ashby:b3"), 6)).first()[0]
     assert swept.parts == [part] and swept.rows_read == sum(p.rows for p in before if p.name == "postings" and p.part == part)
     after = corpus.store.pieces()
     kept = {p.folder for p in before} & {p.folder for p in after}
@@ -83,7 +83,7 @@ def test_text_deltas_and_compaction(spark, corpus, monkeypatch):
         corpus.sweep(snap(spark, [("b3", "3", text), ("b3", "23", None)]), one, f"2026-02-0{k + 2} 06:00:00", f"2026-02-0{k + 2}")
     newest = {r["id"]: r["text"] for r in corpus.text().collect()}
     assert newest["ashby:b3:3"] == "d" and newest["ashby:b3:23"] == "old" and len(newest) == 60
-    part = spark.range(1).select(part_of(F.lit("ashby:b3"), 16)).first()[0]
+    part = spark.range(1).select(part_of(F.lit("ashby:b3"), 6)).first()[0]
     assert corpus.crowded() == [part]  # four later rows beside the rows of a few boards
     before = corpus.store.pieces("posting_text")
     version = corpus.compact_text()
