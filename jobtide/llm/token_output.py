@@ -35,7 +35,7 @@ MAGIC = b"IDSZSTD1"
 HEADER = struct.Struct("<8s32sQB7x")
 NO_ID = -(1 << 63)
 # Bounds of a worker's memory: stretches remembered, characters of one, rows worked on at once.
-KEPT, BYTES = 1 << 19, 4 << 20  # words remembered; text encoded at once
+KEPT, BYTES = 1 << 19, 2 << 20  # words remembered; text encoded at once
 CLASSES = 64  # of a source's rows, ranked apart
 LATIN_END = "\u0250"  # letters below it are composed already
 MARKS = string.punctuation
