@@ -101,6 +101,24 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     return taken.select(F.col("id").alias(id_col), "text_hash", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), times.alias("times"))
 
 
+def training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``mix`` once a pass, with pass, at, start and end for ``times``: stretches of words of the whole training, in its order.
+
+    A pass lies at its position ``at`` of 0..1, which the schedules give; the
+    stretches follow each other without gaps. Written in the order of ``start``,
+    range by range; rows that are not taken have no pass.
+    """
+    parts = shuffle_partitions(plan.sparkSession)
+    each = plan.select("*", F.posexplode("times").alias("pass", "at")).drop("times")
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    # The position as a number over the whole range of a long, so that ranges of it are cut evenly; no schedule crowds one.
+    place = (F.floor(F.col("at") * F.lit(float((1 << 53) - 1))) - F.lit(1 << 52)) * F.lit(1 << 11)
+    passes = each.withColumns({"_words": words, "_place": place.cast("long"), "_all": F.lit(0)})
+    placed = running_total(passes, "_all", "_place", [id_col, "text_hash", "pass"], "_words", "start", power_of_two(parts))
+    stretches = placed.withColumn("end", F.col("start") + F.col("_words")).drop("_words", "_place", "_all")
+    return materialize(stretches.repartitionByRange(parts, "start", "end").sortWithinPartitions("start", "end"), "order")
+
+
 def curriculum(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` in training order, each as often as the mix takes it, whole documents only; same columns.
 

@@ -9,14 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, materialize
 from . import byte_bpe, pii
 from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_groups
 from .language_id import identify, train
 from .lexical_scan import rank_documents
-from .mixing import mix
+from .mixing import mix, training_order
 from .neighbours import nearest
 from .sharding import kd_shards
 from .simhash import hex_fingerprint, simhash_groups
@@ -104,7 +104,10 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE fl
   + least(size, greatest(floor(target) - floor(target / source_size) * source_size - before, 0)) END AS BIGINT) AS taken
 FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source""")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """What each document gives to the training order, read back from the order as written."""
+    plan = materialize(mix(documents(spark, sf_dir)).withColumn("row", F.monotonically_increasing_id()), "mix")
+    given = training_order(plan).groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("given"))
+    return plan.join(given, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("given", F.lit(0)).cast("long").alias("taken"))
 
 
 @query("op10_sharding")

@@ -394,6 +394,27 @@ def test_mixing_odd_rows(odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.curriculum(empty).count() == 0
 
 
+def test_mixing_order(spark, sf_dir, odd):
+    """Passes follow each other without gaps in the order of the schedules, and give what the mix takes."""
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd):
+        plan = mixing.mix(docs)
+        order = mixing.training_order(plan).orderBy("start", "end").collect()
+        assert [r["start"] for r in order] == [0, *[r["end"] for r in order]][:-1]
+        at = [r["at"] for r in order]
+        assert at == sorted(at) and at[-1] <= 1
+        taken = plan.agg(F.sum("taken"), F.sum(F.size("times"))).first()
+        assert (order[-1]["end"], len(order)) == tuple(taken)
+
+
+def test_mixing_query_follows_the_order(spark, sf_dir, monkeypatch):
+    """The query's words are those of the written training order."""
+    from jobtide.llm import queries
+    seen = []
+    monkeypatch.setattr(queries, "training_order", lambda plan: seen.append(mixing.training_order(plan)) or seen[0].where("pass = 0"))
+    once = QUERIES["op7_mixing"](spark, sf_dir).agg(F.sum("taken")).first()[0]
+    assert once == seen[0].where("pass = 0").selectExpr("sum(end - start)").first()[0] < seen[0].selectExpr("sum(end - start)").first()[0]
+
+
 def test_due_time_inverts_the_schedule(spark):
     df = spark.range(101).select((F.col("id") / 100).alias("share"))
     for k, knots in enumerate(mixing.SCHEDULES):
