@@ -87,15 +87,15 @@ def _effects(rule):
     return run
 
 
-def _cut(rule, begins):
-    """Records of a split. ``opens``: nothing of it lies in a split before; ``closes``: nothing in one behind."""
+def _cut(rule, begins, firsts):
+    """Records of a split. ``opens``: nothing of it lies in a split before; ``closes``: nothing in one behind. ``firsts``: splits that begin a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n, held, opens, state, out = None, 0, [], True, (False, 0), []
 
         def put(closes: bool) -> None:
             nonlocal n, held, opens
-            out.append((*at, n, opens, closes, at[1] == 0 and n == 0, rule.separator.join(held)))
+            out.append((*at, n, opens, closes, at in firsts and n == 0, rule.separator.join(held)))
             n, held, opens = n + 1, [], True
 
         def batch() -> pa.RecordBatch:
@@ -124,20 +124,24 @@ def _cut(rule, begins):
     return run
 
 
-def read_records(spark: SparkSession, path: str, rule) -> DataFrame:
+def read_records(spark: SparkSession, path: str, rule, one: bool = False) -> DataFrame:
     """(path, first, value): the records of all files under ``path``; ``first`` marks the first of each file.
 
-    The driver holds one row per split. A file that ends inside quotes or
+    With ``one`` the files are one list, cut behind separators that end a
+    record, in the order of their names: as many tasks write a long one. The driver holds one row per split. A file that ends inside quotes or
     brackets ends its last record. Empty files have no records.
     """
     read = spark.read.text(path, lineSep=rule.separator)
     pieces = read.select(col("_metadata.file_path").alias("path"), col("_metadata.file_block_start").alias("block"), "value")
-    begins, state, file = {}, (False, 0), None
+    begins, firsts, state, file = {}, set(), (False, 0), None
     for r in pieces.mapInArrow(_effects(rule), SPLIT).orderBy("path", "block").collect():
-        state, file = (state if r["path"] == file else (False, 0)), r["path"]
+        if file is None or (r["path"] != file and not one):
+            state = (False, 0)
+            firsts.add((r["path"], r["block"]))
+        file = r["path"]
         begins[r["path"], r["block"]] = state
         state = (r["in_quoted"], state[1] + r["in_depth"]) if state[0] else (r["out_quoted"], state[1] + r["out_depth"])
-    parts = pieces.mapInArrow(_cut(rule, begins), PART)
+    parts = pieces.mapInArrow(_cut(rule, begins, firsts), PART)
     whole = parts.where("opens and closes").select("path", "first", "value")
     # Records that cross splits: a part that opens begins a new one. There is at most one such part at either end of a split.
     order = Window.partitionBy("path").orderBy("block", "n")
@@ -146,9 +150,9 @@ def read_records(spark: SparkSession, path: str, rule) -> DataFrame:
     return whole.unionByName(joined.select("path", "first", F.array_join(F.transform("p", lambda x: x["value"]), rule.separator).alias("value")))
 
 
-def json_elements(spark: SparkSession, path: str) -> DataFrame:
-    """``value`` rows: the elements of files that each hold one JSON array. Strings come without quotes, the rest as written."""
-    found = read_records(spark, path, Brackets).where(F.trim(F.regexp_replace("value", "\\s", "")) != "")
+def json_elements(spark: SparkSession, path: str, one: bool = False) -> DataFrame:
+    """``value`` rows: the elements of files that each hold one JSON array, or, with ``one``, hold one together. Strings come without quotes, the rest as written."""
+    found = read_records(spark, path, Brackets, one).where(F.trim(F.regexp_replace("value", "\\s", "")) != "")
     return found.select(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0].alias("value"))
 
 

@@ -398,32 +398,33 @@ def recover_tenants(spark, sf_dir):
 # -- lists read in splits ---------------------------------------------------------------------
 
 
-def _one_file(df, fmt: str, **options) -> str:
+def _list_file(df, fmt: str, **options) -> str:
+    """A list in the shared folder: one file while it is small, else one a task."""
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/jobtide/list-{uuid.uuid4().hex}"
-    df.coalesce(1).write.format(fmt).options(**options).save(path)
+    df.write.format(fmt).options(**options).save(path)
     return path
 
 
 @query("slug_list_json_split", "SELECT 's' || doc_id AS candidate, CASE WHEN doc_id % 3 = 0 THEN length(text) END AS n FROM documents WHERE text IS NOT NULL")
 def slug_list_json_split(spark, sf_dir):
-    """One JSON array of whole texts, full of commas, quotes and brackets, read in splits: an entry is an object or a string."""
+    """One JSON array of whole texts, full of commas, quotes and brackets, in files that follow each other, read in splits: an entry is an object or a string."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     entry = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("s"), "doc_id").alias("slug"), F.struct("text", F.array("source", "text").alias("more")).alias("body")))).otherwise(
         F.concat(F.lit('"s'), "doc_id", F.lit('"')))
     ends = F.broadcast(d.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).withColumn("_one", F.lit(1)))
-    rows = d.withColumn("_one", F.lit(1)).join(ends, "_one").coalesce(1).sortWithinPartitions("doc_id")
+    rows = d.withColumn("_one", F.lit(1)).join(ends, "_one").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     text = F.concat(F.when(F.col("doc_id") == F.col("low"), "[").otherwise(""), entry, F.when(F.col("doc_id") == F.col("high"), "]").otherwise(""))
-    path = _one_file(rows.select(text.alias("value")), "text", lineSep=",")
-    found = records.json_elements(spark, path)
+    path = _list_file(rows.select(text.alias("value")), "text", lineSep=",")
+    found = records.json_elements(spark, path, one=True)
     length = F.length(F.get_json_object("value", "$.body.more[1]"))
     return found.select(F.coalesce(F.get_json_object("value", "$.slug"), "value").alias("candidate"), length.alias("n"))
 
 
 @query("slug_list_csv_split", "SELECT 's' || doc_id AS slug, md5(text) AS note FROM documents WHERE text IS NOT NULL AND trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
 def slug_list_csv_split(spark, sf_dir):
-    """One CSV file whose quoted cells hold whole texts with their line ends and quotes, read in splits."""
+    """CSV files whose quoted cells hold whole texts with their line ends and quotes, read in splits."""
     d = table(spark, sf_dir, "documents").where("text is not null").where(F.regexp_replace("text", "\\s", "") != "").select(F.concat(F.lit("s"), "doc_id").alias("slug"), F.col("text").alias("the note"))
-    path = _one_file(d, "csv", header="true", quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    path = _list_file(d.hint("rebalance"), "csv", header="true", quoteAll="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     return records.csv_records(spark, path, ["slug", "the note"]).select("slug", F.md5("the note").alias("note"))
 
 

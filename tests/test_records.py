@@ -67,3 +67,32 @@ def test_open_ends(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "a.json").write_text('["x", {"y": [1, 2')
     assert sorted(r["value"].strip() for r in records.read_records(spark, str(tmp_path / "b"), records.Brackets).collect()) == ['"x"', '{"y": [1, 2']
+
+
+@pytest.mark.parametrize("size", [97, 1 << 27])
+def test_one_array_in_many_files(spark, sized, tmp_path, size):
+    """Files that follow each other hold one array; only the first begins it."""
+    rng = random.Random(size)
+    items = [rng.choice([value(rng), {"slug": value(rng), "deep": [1, {"a": [value(rng)]}]}, "s" * 300]) for _ in range(200)]
+    cut = [json.dumps(x, ensure_ascii=False) for x in items]
+    cut[0], cut[-1] = "[" + cut[0], cut[-1] + "]"
+    for n in range(5):
+        (tmp_path / f"part-{n}.txt").write_text("".join(c + "," for c in cut[40 * n:40 * n + 40]))
+    sized(size)
+    found = sorted(r["value"] for r in records.json_elements(spark, str(tmp_path), one=True).collect())
+    assert found == sorted(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in items)
+    assert records.read_records(spark, str(tmp_path), records.Brackets, one=True).where("first").count() == 1
+
+
+@pytest.mark.parametrize("name", ["slug_list_json_split", "slug_list_csv_split"])
+def test_no_task_writes_a_whole_list(spark, sf_dir, tmp_path, monkeypatch, name):
+    """Where shuffled parts are not put together, each task writes its own."""
+    from jobtide.workloads import QUERIES, q_sources
+    seen, write = [], q_sources._list_file
+    monkeypatch.setattr(q_sources, "_list_file", lambda *a, **o: seen.append(write(*a, **o)) or seen[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        QUERIES[name](spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r[0] for r in spark.read.text(seen[0]).selectExpr("input_file_name()").collect()}) > 1
