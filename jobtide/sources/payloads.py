@@ -199,8 +199,9 @@ def workday_listing(pages: DataFrame) -> DataFrame:
 
 
 def workday_truncated(pages: DataFrame) -> DataFrame:
-    """Boards that fill every page the source will give: partial, so they must not close postings."""
-    counts = workday_listing(pages).groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
+    """Boards that fill every page the source will give: partial, so they must not close postings. Of the listing rows only paths are read."""
+    paths = F.from_json("body", "jobPostings array<struct<externalPath string>>")["jobPostings"]["externalPath"]
+    counts = pages.select("slug", F.explode(F.array_distinct(paths)).alias("path")).groupBy("slug").agg(F.count_distinct("path").alias("n"))
     read = pages.groupBy("slug").agg(F.countDistinct("page").alias("pages"))
     return counts.join(read, "slug").where((col("pages") == MAX_PAGES) & (col("n") == MAX_PAGES * PAGE_SIZE)).select("slug")
 

@@ -140,7 +140,7 @@ def workday_board_names(spark, sf_dir):
 # A board of 100 pages with 20 paths each is cut off; suppliers with an even key are such boards.
 @query("workday_truncated", "SELECT 't' || s_suppkey || '|wd1|s' AS slug FROM supplier WHERE s_suppkey % 2 = 0")
 def workday_truncated(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.when(F.expr("s_suppkey % 2 = 0"), 100).otherwise(99))).alias("page"))
+    s = spread(table(spark, sf_dir, "supplier")).select("s_suppkey", F.explode(F.sequence(F.lit(1), F.when(F.expr("s_suppkey % 2 = 0"), 100).otherwise(99))).alias("page"))
     rows = "transform(sequence(1, 20), i -> named_struct('title', 'T', 'externalPath', '/j/' || page || '-' || i))"
     pages = s.select(F.expr("'t' || s_suppkey || '|wd1|s'").alias("slug"), "page", F.expr(f"to_json(named_struct('total', 5000, 'jobPostings', {rows}))").alias("body"))
     return payloads.workday_truncated(pages)

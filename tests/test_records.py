@@ -96,3 +96,26 @@ def test_no_task_writes_a_whole_list(spark, sf_dir, tmp_path, monkeypatch, name)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len({r[0] for r in spark.read.text(seen[0]).selectExpr("input_file_name()").collect()}) > 1
+
+
+def test_truncated_boards_read_paths_alone(spark):
+    """Different paths of all pages count; the rows beside them are neither parsed nor kept."""
+    from jobtide.sources import payloads
+    pages = spark.range(200).selectExpr(
+        "CASE WHEN id < 100 THEN 'full' ELSE 'same' END AS slug", "id % 100 AS page",
+        "to_json(named_struct('jobPostings', transform(sequence(1, 20), i -> named_struct('title', 'T', 'externalPath', CASE WHEN id = 100 THEN '/j/1-1' ELSE '/j/' || id || '-' || i END)))) AS body")
+    found = payloads.workday_truncated(pages)
+    assert [r["slug"] for r in found.collect()] == ["full"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "locationsText" not in plan
+
+
+def test_spread_deals_rows_of_one_file(spark, sf_dir):
+    """Without a setting of its own, a table is dealt over as many tasks as a shuffle has."""
+    from jobtide.workloads.registry import spread, table
+    kept = spark.conf.get("spark.jobtide.inputPartitions")
+    spark.conf.unset("spark.jobtide.inputPartitions")
+    try:
+        assert spread(table(spark, sf_dir, "supplier")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.jobtide.inputPartitions", kept)
