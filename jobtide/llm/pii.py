@@ -133,10 +133,12 @@ def _candidate(g: int, kind: int, base: bool) -> Callable[[Column], Column]:
         (valid(kind, c["hit"]) if base else F.lit(False)).alias("ok"), features(g, c).alias("f"))
 
 
-def candidates(text: Column) -> Column:
-    """All generators' spans: (start, kind, end, generator, base, ok, f). Overlaps are left in."""
+def candidates(text: Column, loose: bool = False) -> Column:
+    """All generators' spans, or those of the loose ones: (start, kind, end, generator, base, ok, f). Overlaps are left in."""
     parts = []
     for g, (pattern, kind, base) in enumerate(GENERATORS):
+        if loose and base:
+            continue
         found = matches(text, pattern)
         if g == 5:
             found = F.filter(found, lambda c: ~F.startswith(c["hit"], F.lit("+")))
@@ -195,7 +197,7 @@ def supported(hit: Column, c: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """(generator, f, label, fold). Base spans are labelled by their checks, and so are loose spans that a rewrite of a
+    """(generator, fold, label, f, weight): the different examples of all documents and how often each occurs. Base spans are labelled by their checks, and so are loose spans that a rewrite of a
     base form made. A loose span that stands in the text as it is may be a real one: it is negative only where
     nothing speaks for it and no base finding holds it, and has no label otherwise."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -206,40 +208,43 @@ def training_rows(docs: DataFrame, text_col: str) -> DataFrame:
     hit = lambda t, c: F.substring(t, c["start"] + 1, c["end"] - c["start"])
     named = lambda t, c: F.concat_ws(":", c["generator"], hit(t, c))
     t, m = F.col("t"), F.col("m")
-    both = docs.select(text.alias("t"), loose.alias("m"), fold).select("t", "m", "fold", candidates(t).alias("own"), candidates(m).alias("new"))
+    # Where no rewrite changed the text there is nothing new to find.
+    both = docs.select(text.alias("t"), loose.alias("m"), fold).select("t", "m", "fold", candidates(t).alias("own"), F.when(t != m, candidates(m, loose=True)).alias("new"))
     sure = F.filter("own", lambda c: c["base"] & c["ok"])
 
     def unlabelled(c: Column) -> Column:
         return ~c["base"] & (supported(hit(t, c), c) | F.exists(sure, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
-    kept = both.select(F.explode(F.filter("own", lambda c: ~unlabelled(c))).alias("c"), "fold").select("c.generator", "c.f", F.when(F.col("c.base"), F.col("c.ok")).otherwise(False).cast("double").alias("label"), "fold")
+    def example(label: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda c: F.struct(c["generator"].alias("generator"), label(c).cast("double").alias("label"), c["f"].alias("f"))
+
+    kept = F.transform(F.filter("own", lambda c: ~unlabelled(c)), example(lambda c: F.when(c["base"], c["ok"]).otherwise(False)))
     # What no generator finds in the text as it is lies where a rewrite happened.
     before = F.transform(F.filter("own", lambda c: ~c["base"]), lambda c: named(t, c))
-    made = both.select("fold", F.explode(F.filter("new", lambda c: ~c["base"] & ~F.array_contains(before, named(m, c)))).alias("c"))
-    label = F.when(F.col("c.kind") == 2, feature(F.col("c"), "luhn")).when(F.col("c.kind") == 3, feature(F.col("c"), "digits").between(10, 15).cast("double")).otherwise(1.0)
-    made = made.select("c.generator", "c.f", label.alias("label"), "fold")
-    return kept.unionByName(made)
+    label = lambda c: F.when(c["kind"] == 2, feature(c, "luhn")).when(c["kind"] == 3, feature(c, "digits").between(10, 15).cast("double")).otherwise(1.0)
+    made = F.when(t != m, F.transform(F.filter("new", lambda c: ~F.array_contains(before, named(m, c))), example(label)))
+    # Both kinds from one pass over the texts.
+    rows = both.select("fold", F.explode(F.concat(kept, F.coalesce(made, F.array().cast("array<struct<generator:int,label:double,f:array<double>>>")))).alias("x"))
+    return rows.groupBy("x.generator", "fold", "x.label", "x.f").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 4000, trees: int = 12, depth: int = 3,
-        precision: float = 0.98, least: int = 20) -> SpanModel:
-    """Fits on the candidates of at most ``sample_docs`` documents, those of the smallest id hashes.
+def fit(docs: DataFrame, text_col: str = "text", trees: int = 12, depth: int = 3, precision: float = 0.98, least: int = 20) -> SpanModel:
+    """Fits on the candidates of all documents; equal examples are one row with a weight.
 
     One half trains the trees, the other sets each generator's threshold: the
     lowest at which the share of true spans above it is ``precision``, counted
     on at least ``least`` spans. A generator that reaches it nowhere adds nothing.
     """
-    key = F.xxhash64(id_col)
-    cut = docs.select(key.alias("k")).orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
-    if cut is None:
-        return SpanModel()
-    rows = training_rows(docs.where(key <= F.lit(cut)).limit(2 * sample_docs), text_col).select("generator", "fold", "label", array_to_vector("f").alias("features")).persist()
+    rows = training_rows(docs, text_col).select("generator", "fold", "label", "weight", array_to_vector("f").alias("features")).persist()
     try:
-        if rows.where("fold = 0").agg(F.count_distinct("label")).first()[0] < 2:
+        labels, n = rows.where("fold = 0").agg(F.count_distinct("label"), F.count(F.lit(1))).first()
+        if labels < 2:
             return SpanModel()
-        found = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1).fit(rows.where("fold = 0"))
-        scored = found.transform(rows.where("fold = 1")).select("generator", "label", F.floor(F.get(vector_to_array("probability"), F.lit(1)) * 200).alias("bin"))
-        bins = scored.groupBy("generator", "bin").agg(F.sum("label").alias("true"), F.count("*").alias("n")).collect()
+        # Split points are looked for among all examples: the library samples where there are more than maxBins squared.
+        booster = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=max(32, math.isqrt(n) + 1), stepSize=0.3, seed=1)
+        found = booster.fit(rows.where("fold = 0"))
+        scored = found.transform(rows.where("fold = 1")).select("generator", "label", "weight", F.floor(F.get(vector_to_array("probability"), F.lit(1)) * 200).alias("bin"))
+        bins = scored.groupBy("generator", "bin").agg(F.sum(F.col("label") * F.col("weight")).alias("true"), F.sum("weight").alias("n")).collect()
         thresholds = {}
         for g, (_, _, base) in enumerate(GENERATORS):
             true = n = 0.0

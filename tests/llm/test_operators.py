@@ -125,6 +125,14 @@ def test_pii_natural_loose_forms_do_not_switch_their_generator_off(spark, form):
     assert not any(found[3 * i + 2] for i in range(len(rows)))
 
 
+def test_pii_fits_on_all_documents(spark):
+    """60 base addresses in 12,000 documents: a third of them holds too few to set the loose generator's threshold."""
+    docs = spark.range(12000).selectExpr("id AS doc_id", "CASE WHEN id % 200 = 0 THEN concat('write to u', id, '@mail', id, '.org now') ELSE concat('see page 12 34 of ', id) END AS text")
+    assert 4 in pii.fit(docs).thresholds
+    examples = pii.training_rows(docs, "text")
+    assert examples.where("generator = 4").agg(F.sum("weight")).first()[0] == 60 and examples.count() < 400
+
+
 # 2 — nearest neighbours
 
 def test_neighbours_recall(spark, sf_dir):
