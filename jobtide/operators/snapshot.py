@@ -48,6 +48,7 @@ class Merged:
     postings: DataFrame
     text: DataFrame | None
     events: DataFrame
+    rows: DataFrame  # postings with ``_events``, so that one pass can write both
 
 
 def swept_listings(snapshot: DataFrame, boards: DataFrame) -> DataFrame:
@@ -63,6 +64,15 @@ def swept_listings(snapshot: DataFrame, boards: DataFrame) -> DataFrame:
     return keyed.join(swept, "company_id")
 
 
+def last_listing(listings: DataFrame) -> DataFrame:
+    """(id, n): of each posting the ``n`` with the largest ``_order``.
+
+    Wide values are reduced by sorting, so rows are dealt by id first: each task
+    then sorts one share of a shuffle and not all that its scan reads.
+    """
+    return listings.repartition("id").groupBy("id").agg(F.max_by("n", "_order").alias("n"))
+
+
 def join_snapshot(current: DataFrame, snapshot: DataFrame, boards: DataFrame) -> DataFrame:
     """Stored and new row side by side (structs ``o`` and ``n``) with the board's outcome today.
 
@@ -77,7 +87,7 @@ def join_snapshot(current: DataFrame, snapshot: DataFrame, boards: DataFrame) ->
     # The text itself stays out of this shuffle: the row needs its length only.
     carried = [c for c in snapshot.columns if c != "description_text"]
     length = F.length("description_text").alias("text_length")
-    fresh = fresh.select("id", "_order", F.struct("company_id", "board_name", length, *carried).alias("n")).groupBy("id").agg(F.max_by("n", "_order").alias("n"))
+    fresh = last_listing(fresh.select("id", "_order", F.struct("company_id", "board_name", length, *carried).alias("n")))
     met = stored.join(fresh, "id", "full_outer")
     beside = every.where(~swept).withColumn("n", F.lit(None).cast(fresh.schema["n"].dataType))
     return met.unionByName(beside).withColumn("swept", swept)
@@ -148,13 +158,13 @@ def merge_snapshot(current: DataFrame, text: DataFrame | None, snapshot: DataFra
     })
     events = rows.select("id", F.lit(day).cast("date").alias("day"), F.explode("_events").alias("event"))
     texts = None if text is None else merge_text(text, snapshot, boards)
-    return Merged(joined, rows.select(*columns(POSTINGS_RAW)), texts, events)
+    return Merged(joined, rows.select(*columns(POSTINGS_RAW)), texts, events, rows.select(*columns(POSTINGS_RAW), "_events"))
 
 
 def read_texts(snapshot: DataFrame, boards: DataFrame) -> DataFrame:
     """(id, company_id, text) of postings whose text was read on a board swept today; the text may be null."""
     listings = swept_listings(snapshot, boards)
-    last = listings.groupBy("id").agg(F.max_by(F.struct("has_text", "company_id", col("description_text").alias("text")), "_order").alias("n"))
+    last = last_listing(listings.select("id", "_order", F.struct("has_text", "company_id", col("description_text").alias("text")).alias("n")))
     return last.where("n.has_text").select("id", "n.company_id", "n.text")
 
 
@@ -168,7 +178,7 @@ def latest_text(base: DataFrame, deltas: DataFrame) -> DataFrame:
 
     Base rows stay where they are when the ids of the deltas are few enough to be broadcast.
     """
-    newest = deltas.groupBy("id").agg(F.max_by("text", "sweep").alias("text"))
+    newest = deltas.repartition("id").groupBy("id").agg(F.max_by("text", "sweep").alias("text"))
     return base.join(deltas.select("id").distinct(), "id", "left_anti").select("id", "text").unionByName(newest.select("id", "text"))
 
 

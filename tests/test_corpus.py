@@ -222,3 +222,37 @@ def test_place_memory(spark, tmp_path, monkeypatch):
     pieces = memory.store.pieces("fragments")
     assert max(sum(p.part == part for p in pieces) for part in (0, 1)) <= 2 and memory.parsed == {"fragments": 4, "titles": 1}
     assert memory.fragments(spark.createDataFrame([], "fragment string")).count() == 5  # Berlin, Nowhereville, London, Town, Lisbon
+
+
+# -- what a large corpus moves --------------------------------------------------------------------------
+
+def test_a_sweep_stores_merged_rows_once_and_no_joined_ones(spark, corpus, tmp_path):
+    from pathlib import Path
+
+    from jobtide.session import checkpoint_root
+
+    stages = lambda: {p.name for p in Path(checkpoint_root(spark), "jobtide").glob("*") if p.name.startswith(("joined-", "events-"))}
+    before = stages()
+    swept = corpus.sweep(snap(spark, [("b3", "3", "new"), ("b3", "900", None)]), boards(spark, {"b3": "swept"}), "2026-02-02 06:00:00", "2026-02-02")
+    assert stages() == before
+    assert sorted((r["id"], r["event"]) for r in swept.events.collect()) == sorted((r["id"], r["event"]) for r in corpus.events().collect())
+    assert len(corpus.events().collect()) == 4 and "_events" not in corpus.postings().columns
+    assert swept.joined.where("n is not null").count() == 2
+
+
+def test_wide_rows_are_dealt_before_they_are_sorted(spark):
+    from jobtide.operators.snapshot import latest_text, read_texts
+
+    listings = snap(spark, [("b3", "3", "new"), ("b3", "3", "newer")])
+    deltas = listings.select("id", F.col("description_text").alias("text"), F.lit(1).alias("sweep"))
+    for df in (read_texts(listings, boards(spark, {"b3": "swept"})), latest_text(deltas.select("id", "text").limit(0), deltas)):
+        plan = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+        sorts = [i for i, line in enumerate(plan) if "SortAggregate" in line or "ObjectHashAggregate" in line]
+        deals = [i for i, line in enumerate(plan) if "REPARTITION_BY_COL" in line]
+        assert sorts and deals and max(sorts) < max(deals)  # below every such aggregate the rows are dealt
+
+
+def test_texts_that_name_their_board_are_not_joined(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path), parts=3)
+    c.load(postings(spark).limit(0), texts(spark).withColumn("company_id", F.substring_index("id", ":", 2)))
+    assert c.text().count() == 60
