@@ -256,3 +256,19 @@ def test_texts_that_name_their_board_are_not_joined(spark, tmp_path):
     c = Corpus(spark, str(tmp_path), parts=3)
     c.load(postings(spark).limit(0), texts(spark).withColumn("company_id", F.substring_index("id", ":", 2)))
     assert c.text().count() == 60
+
+
+def test_entries_hold_what_the_index_holds(spark, tmp_path, monkeypatch):
+    texts = bodies(spark, [("a", "red fox, red Élan"), ("b", " red "), ("c", None), ("d", "")])
+    rows = lambda df: sorted((r["token"], r["field"], r["id"], r["pos"]) for r in df.collect())
+    for words in (1 << 20, 3):
+        monkeypatch.setattr(textindex, "WORDS_AT_ONCE", words)
+        entries = textindex.build_entries(texts)
+        assert rows(entries.select("token", "field", "id", F.explode("places").alias("pos"))) == rows(textindex.build_token_index(texts))
+        assert {(r["id"], r["token"], r["field"]) for r in entries.where("not first").collect()} == set()
+    both = textindex.build_entries(spark.createDataFrame([("a", "red", "Acme", "red hen")], "id string, title string, company string, body string"))
+    assert both.where("token = 'red'").count() == 2 and both.where("token = 'red' and first").count() == 1
+    store = TokenStore(spark, str(tmp_path), parts=2)
+    store.add(bodies(spark, [("a", "red red red"), ("a", "red hen")]))  # an id given twice is one posting
+    assert store.store.read("tokens").where("token = 'red'").count() == 2 and rows(store.index(["red"]).where("token = 'red'")) == [("red", "body", "a", 0)] * 2 + [("red", "body", "a", 1), ("red", "body", "a", 2)]
+    assert {tuple(r) for r in store.terms(["red"]).collect()} == {("red", "red", 1)}
