@@ -272,3 +272,12 @@ def test_entries_hold_what_the_index_holds(spark, tmp_path, monkeypatch):
     store.add(bodies(spark, [("a", "red red red"), ("a", "red hen")]))  # an id given twice is one posting
     assert store.store.read("tokens").where("token = 'red'").count() == 2 and rows(store.index(["red"]).where("token = 'red'")) == [("red", "body", "a", 0)] * 2 + [("red", "body", "a", 1), ("red", "body", "a", 2)]
     assert {tuple(r) for r in store.terms(["red"]).collect()} == {("red", "red", 1)}
+
+
+def test_votes_are_dealt_before_they_are_counted(spark):
+    index = textindex.build_token_index(bodies(spark, [("a", "red fox"), ("b", "red hen fox")]))
+    found = textindex.match_terms(index, ["red fox", "hen"])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].split("\n")
+    counts, deals = [[i for i, line in enumerate(plan) if word in line] for word in ("HashAggregate", "REPARTITION_BY_COL")]
+    assert counts and deals and max(counts) < min(deals) and sum("Exchange" in line for line in plan) == 1
+    assert ids(found) == ["a", "b"]
