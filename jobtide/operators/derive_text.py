@@ -13,7 +13,7 @@ from ..constants import (
     FX_USD, GUESS_ORDER, GUESSED_ONSITE, NUMBER_WORDS, PERIODS_PER_YEAR, SALARY_CEILING, SALARY_FLOOR,
     SALARY_GUESS_CEILING, SALARY_MAX_SPREAD,
 )
-from ..functions.text import any_term, fold, fold_lines, let, parse_number_word, running_sums, terms_pattern
+from ..functions.text import any_term, fold, fold_lines, let, parse_number_word, running_sums, terms_pattern, unlined
 
 # What a source's own workplace word means.
 WORKPLACE_WORDS = {
@@ -111,6 +111,8 @@ YEARS = (
     "(\\d{1,2}(?:\\.\\d)?|" + "|".join(NUMBER_WORDS) + ")\\s*(?:\\+\\s*)?"
     "(?:(?:-|to|or)\\s*(\\d{1,2})\\s*(?:\\+\\s*)?)?(?:\\+\\s*)?(?:years?|yrs?\\.?|yoe)\\b"
 )
+# What every match has, asked first: the word for years behind a number. Folded lines hold no run of more than two spaces.
+YEARS_NEAR = "y(?<=(?:[0-9]|" + "|".join(NUMBER_WORDS) + ")[\\s+]{0,8}y)(?:ear|r|oe)"
 YEARS_CONTEXT = (
     "experien|background|professional|track record|hands[- ]on|working (?:in|with|as)|"
     "in the (?:industry|field|space)|expertise|practicing|practice|building|career|history of|proven|"
@@ -135,7 +137,20 @@ MAX_YEARS = 40
 
 
 def years_claims(description: Column) -> Column:
-    """array<struct(min, max)> of experience claims in reading order.
+    """array<struct(min, max)> of experience claims in reading order."""
+    # Most texts say nothing about years; they skip the folding and the cutting.
+    return F.when(speaks_of_years(description), let(fold_lines(description), claims_in_lines)).otherwise(F.array().cast(CLAIMS))
+
+
+CLAIMS = "array<struct<min:double,max:double>>"
+
+
+def speaks_of_years(description: Column) -> Column:
+    return description.rlike("(?i)y(?:ea)?r|yoe")
+
+
+def claims_in_lines(lines: Column) -> Column:
+    """``years_claims`` of a text that is folded with its lines.
 
     The text is cut at its matches; running lengths of cuts and matches give
     each match's offset, and each claim is judged on the text just around it.
@@ -183,9 +198,7 @@ def years_claims(description: Column) -> Column:
         return F.transform(F.filter(windows, is_claim), lambda w: F.struct(
             w["min"].alias("min"), F.when(w["max"] >= w["min"], w["max"]).alias("max")))
 
-    empty = F.array().cast("array<struct<min:double,max:double>>")
-    # Most texts say nothing about years; they skip the folding and the cutting.
-    return F.when(description.rlike("(?i)y(?:ea)?r|yoe"), let(fold_lines(description), read)).otherwise(empty)
+    return F.when(lines.rlike(YEARS_NEAR), read(lines)).otherwise(F.array().cast(CLAIMS))
 
 
 def strictest_years(claims: Column) -> Column:
@@ -361,6 +374,18 @@ DEGREE_RULES = [
     ("none", "\\b(?:no degree (?:required|necessary)|degree not required|in lieu of a degree|or equivalent experience|"
              "equivalent practical experience|high school diploma)\\b"),
 ]
+# A wording has one of these; most texts have none, and finding that out costs little.
+DEGREE_HINTS = {"phd": ["phd", "ph.d", "doctora"], "none": ["degree", "equivalent", "diploma"]}
+DEGREE_STARTS = {"masters": "(?=m)", "bachelors": "(?=[buf])"}
+CLEARANCE_HINTS = ["clearance", "ts/sci", "top secret", "public trust", "polygraph"]
+
+
+def _holds(text: Column, hints: list[str], pattern: str) -> Column:
+    """Whether the pattern is found; it is only tried where a hint is."""
+    some = text.contains(hints[0])
+    for h in hints[1:]:
+        some = some | text.contains(h)
+    return some & text.rlike(pattern)
 
 
 def skills(folded_text: Column, terms=None) -> Column:
@@ -376,21 +401,34 @@ def visa(folded_text: Column) -> Column:
 
 
 def clearance(folded_text: Column) -> Column:
-    return F.when(folded_text.rlike(CLEARANCE), True)
+    return F.when(_holds(folded_text, CLEARANCE_HINTS, CLEARANCE), True)
 
 
 def degree(folded_text: Column) -> Column:
     out = None
     for level, pattern in DEGREE_RULES:
-        hit = folded_text.rlike(pattern)
+        hit = _holds(folded_text, DEGREE_HINTS[level], pattern) if level in DEGREE_HINTS else folded_text.rlike(DEGREE_STARTS.get(level, "") + pattern)
         out = F.when(hit, level) if out is None else out.when(hit, level)
     return out
 
 
 def signals(description: Column) -> Column:
     """struct(skills, visa, clearance, degree) with the text folded once."""
-    return let(fold(description), lambda t: F.struct(
-        skills(t).alias("skills"), visa(t).alias("visa"), clearance(t).alias("clearance"), degree(t).alias("degree")))
+    return let(fold(description), signals_in)
+
+
+def signals_in(folded_text: Column) -> Column:
+    """``signals`` of a text that is folded."""
+    return F.struct(skills(folded_text).alias("skills"), visa(folded_text).alias("visa"), clearance(folded_text).alias("clearance"), degree(folded_text).alias("degree"))
+
+
+def read_text(description: Column) -> Column:
+    """struct(signals, years): ``signals`` and the ``strictest_years`` of ``years_claims``, with the text folded once for both."""
+    def read(lines: Column) -> Column:
+        claims = F.when(speaks_of_years(description), claims_in_lines(lines)).otherwise(F.array().cast(CLAIMS))
+        return F.struct(let(unlined(lines, description), signals_in).alias("signals"), strictest_years(claims).alias("years"))
+
+    return let(fold_lines(description), read)
 
 
 def quality(description_length: Column, salary_known: Column, years_known: Column, place: Column, metros: Column,

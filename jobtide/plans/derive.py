@@ -25,8 +25,8 @@ def derive(postings: DataFrame, texts: DataFrame, as_of, places: Gazetteer = DEF
     """
     raw = [c for c in postings.columns if not c.startswith("d_") and c not in ("cities", "unmatched")]
     # What a text says is read where the text is scanned; only the findings are shuffled to the join.
-    read = texts.select("id", D.signals(col("text")).alias("_signals"), D.strictest_years(D.years_claims(col("text"))).alias("_years"),
-                        F.length("text").alias("_length"))
+    read = texts.select("id", D.read_text(col("text")).alias("_read"), F.length("text").alias("_length")).select(
+        "id", col("_read.signals").alias("_signals"), col("_read.years").alias("_years"), "_length")
     df = postings.select(*raw).join(read, "id", "left").join(derive_location(postings, places, memory), "id")
     df = df.withColumns({
         "_title": fold(col("title")), "_dept": fold(F.concat_ws(" ", F.coalesce("department", F.lit("")), F.coalesce("team", F.lit("")))),

@@ -117,6 +117,20 @@ def test_function(spark):
     assert got == [w for *_, w in cases]
 
 
+def test_text_is_folded_once(spark):
+    """What is read with one folding is what each function reads by itself, and single blanks are no match of the folding."""
+    texts = ["At least\u00a0two\n\n years of relevant experience. \u0085", " PhD \r\n\r\n\r\n•  5 +\t+ yrs. Python\u200b", "\u3000a\u0301 \x0b b \n ", "TS/SCI, e\u0301quivalent", "", None]
+    texts += [text for text, _ in YEARS]
+    spaced = [f"a{c}b {c} c{c}" for c in "\t\n\x0b\f\r\u00a0\u1680\u2000\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"]
+    assert run(spark, texts + spaced, "s string", T.unlined(T.fold_lines(F.col("s")), F.col("s"))) == run(spark, texts + spaced, "s string", T.fold(F.col("s")))
+    apart = F.struct(D.signals(F.col("s")).alias("signals"), D.strictest_years(D.years_claims(F.col("s"))).alias("years"))
+    assert run(spark, texts, "s string", D.read_text(F.col("s"))) == run(spark, texts, "s string", apart)
+    assert run(spark, spaced, "s string", T.fold(F.col("s"))) == ["a b c"] * len(spaced)
+    assert run(spark, ["a b c", "a  b", "a\tb"], "s string", F.col("s").rlike(T.SPACE_RUN)) == [False, True, True]
+    found = run(spark, [text for text, _ in YEARS], "s string", F.struct(T.fold_lines(F.col("s")).rlike(D.YEARS).alias("a"), T.fold_lines(F.col("s")).rlike(D.YEARS_NEAR).alias("b")))
+    assert all(r.b for r in found if r.a) and any(r.a for r in found)
+
+
 def test_signals(spark):
     texts = [
         "We are unable to provide visa sponsorship.", "We do not offer sponsorship at this time.", "Visa sponsorship is available.",
