@@ -274,6 +274,20 @@ def test_entries_hold_what_the_index_holds(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in store.terms(["red"]).collect()} == {("red", "red", 1)}
 
 
+def test_entries_know_their_part(spark, monkeypatch):
+    """The part of a token is found once a run, as ``part_of`` finds it; runs are sorted by part and token, and words are cut where Java cuts them."""
+    texts = bodies(spark, [("a", "Red (fox)  hen-fox_fox \u00e9t\u00e9 \u0663\u4e2d\u6587 \u03a3\u03a3 c++ 3.5"), ("b", "--red"), ("c", "  "), ("d", ""), ("e", None), ("f", "a\u0301 b\u00a0c\U0001d11e\U00010400 \u00df")]).coalesce(1)
+    rows = lambda df: sorted((r["token"], r["field"], r["id"], r["pos"]) for r in df.collect())
+    for words in (1 << 20, 1):
+        monkeypatch.setattr(textindex, "WORDS_AT_ONCE", words)
+        entries = textindex.build_entries(texts, parts=5)
+        assert rows(entries.select("token", "field", "id", F.explode("places").alias("pos"))) == rows(textindex.build_token_index(texts))
+        assert entries.where(F.col("part") != part_of(F.col("token"), 5)).isEmpty() and entries.select("part").distinct().count() > 1
+    monkeypatch.undo()
+    run = [(r["part"], r["token"]) for r in textindex.build_entries(texts, parts=5).collect()]
+    assert run == sorted(run, key=lambda x: (x[0], x[1].encode()))
+
+
 def test_votes_are_dealt_before_they_are_counted(spark):
     index = textindex.build_token_index(bodies(spark, [("a", "red fox"), ("b", "red hen fox")]))
     found = textindex.match_terms(index, ["red fox", "hen"])
