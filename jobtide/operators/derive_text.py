@@ -13,7 +13,7 @@ from ..constants import (
     FX_USD, GUESS_ORDER, GUESSED_ONSITE, NUMBER_WORDS, PERIODS_PER_YEAR, SALARY_CEILING, SALARY_FLOOR,
     SALARY_GUESS_CEILING, SALARY_MAX_SPREAD,
 )
-from ..functions.text import any_term, fold, fold_lines, let, parse_number_word, running_sums, terms_pattern, unlined
+from ..functions.text import any_term, fold, fold_lines, let, parse_number_word, running_sums, terms_found, unlined
 
 # What a source's own workplace word means.
 WORKPLACE_WORDS = {
@@ -112,7 +112,9 @@ YEARS = (
     "(?:(?:-|to|or)\\s*(\\d{1,2})\\s*(?:\\+\\s*)?)?(?:\\+\\s*)?(?:years?|yrs?\\.?|yoe)\\b"
 )
 # What every match has, asked first: the word for years behind a number. Folded lines hold no run of more than two spaces.
-YEARS_NEAR = "y(?<=(?:[0-9]|" + "|".join(NUMBER_WORDS) + ")[\\s+]{0,8}y)(?:ear|r|oe)"
+YEARS_NEAR = "y(?<=(?:[0-9]|" + "|".join(NUMBER_WORDS) + ")[\\s+]{0,8}y)(?=ear|r|oe)"
+# A match begins at most 39 characters before that y, and claims are judged on 60 more; behind the y, 4 and 70 are read.
+YEARS_BEFORE, YEARS_BEHIND = 200, 100
 YEARS_CONTEXT = (
     "experien|background|professional|track record|hands[- ]on|working (?:in|with|as)|"
     "in the (?:industry|field|space)|expertise|practicing|practice|building|career|history of|proven|"
@@ -132,7 +134,8 @@ COMPANY_TENURE = (
     "(?:\\s+(?:over|more than|upwards of|nearly|almost))?|"
     "\\b(?:nearly|almost|every)|\\bin (?:just|under|less than|only))$"
 )
-BULLET = "^[\\s>*•‣▪●◦⁃∙·o-]*$"
+BULLET_SIGNS = "\\s>*•‣▪●◦⁃∙·o-"
+BULLET = f"^[{BULLET_SIGNS}]*$"
 MAX_YEARS = 40
 
 
@@ -146,13 +149,29 @@ CLAIMS = "array<struct<min:double,max:double>>"
 
 
 def speaks_of_years(description: Column) -> Column:
-    return description.rlike("(?i)y(?:ea)?r|yoe")
+    """False only where no claim can be; an accent may make the y another character."""
+    return description.rlike("(?i)y(?:ea)?r|yoe") | (F.length(description) != F.octet_length(description))
+
+
+def around_years(pieces: Column) -> Column:
+    """A text again, from its pieces between the words for years, without what lies too far from any of them to be read.
+
+    Of a part left out, what ``line`` asks stays: whether it breaks the line, and
+    whether more than bullets stand behind that.
+    """
+    def ends(p: Column) -> Column:
+        out = F.substring(p, F.lit(YEARS_BEHIND + 1), F.length(p) - (YEARS_BEHIND + YEARS_BEFORE))
+        stays = let(out, lambda o: F.concat(
+            F.when(o.contains("\n"), "\n").otherwise(""), F.when(F.substring_index(o, "\n", -1).rlike(f"[^{BULLET_SIGNS}]"), "x").otherwise("")))
+        return F.when(F.length(p) > YEARS_BEHIND + YEARS_BEFORE, F.concat(F.left(p, F.lit(YEARS_BEHIND)), stays, F.right(p, F.lit(YEARS_BEFORE)))).otherwise(p)
+
+    return F.array_join(F.transform(pieces, ends), "y")
 
 
 def claims_in_lines(lines: Column) -> Column:
     """``years_claims`` of a text that is folded with its lines.
 
-    The text is cut at its matches; running lengths of cuts and matches give
+    Only what is near a word for years is read. It is cut at its matches; running lengths of cuts and matches give
     each match's offset, and each claim is judged on the text just around it.
     """
     def matches(text: Column) -> Column:
@@ -198,7 +217,7 @@ def claims_in_lines(lines: Column) -> Column:
         return F.transform(F.filter(windows, is_claim), lambda w: F.struct(
             w["min"].alias("min"), F.when(w["max"] >= w["min"], w["max"]).alias("max")))
 
-    return F.when(lines.rlike(YEARS_NEAR), read(lines)).otherwise(F.array().cast(CLAIMS))
+    return let(F.split(lines, YEARS_NEAR, -1), lambda pieces: F.when(F.size(pieces) > 1, let(around_years(pieces), read)).otherwise(F.array().cast(CLAIMS)))
 
 
 def strictest_years(claims: Column) -> Column:
@@ -376,28 +395,39 @@ DEGREE_RULES = [
 ]
 # A wording has one of these; most texts have none, and finding that out costs little.
 DEGREE_HINTS = {"phd": ["phd", "ph.d", "doctora"], "none": ["degree", "equivalent", "diploma"]}
-DEGREE_STARTS = {"masters": "(?=m)", "bachelors": "(?=[buf])"}
+DEGREE_STARTS = {"masters": "m", "bachelors": "buf"}
+VISA_HINTS = ["sponsor", "1b transfer"]
+# A refusal as it is seen from its last word, with room for characters that are stored as two.
+VISA_NO_NEAR = "sponsor(?<=" + VISA_NO.replace("{0,40}?", "{0,80}") + ")"
 CLEARANCE_HINTS = ["clearance", "ts/sci", "top secret", "public trust", "polygraph"]
 
 
-def _holds(text: Column, hints: list[str], pattern: str) -> Column:
-    """Whether the pattern is found; it is only tried where a hint is."""
+def _hinted(text: Column, hints: list[str]) -> Column:
     some = text.contains(hints[0])
     for h in hints[1:]:
         some = some | text.contains(h)
-    return some & text.rlike(pattern)
+    return some
+
+
+def _holds(text: Column, hints: list[str], pattern: str) -> Column:
+    """Whether the pattern is found; it is only tried where a hint is."""
+    return _hinted(text, hints) & text.rlike(pattern)
+
+
+def _starting(chars: str, pattern: str) -> str:
+    """The pattern, tried only at characters it can start with; these come first, as they are the cheaper test."""
+    return f"[{chars}](?<=(?={pattern})[{chars}])"
 
 
 def skills(folded_text: Column, terms=None) -> Column:
     """Distinct skills named, in alphabetical order."""
-    pattern = terms_pattern(terms or SKILL_TERMS)
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(folded_text, F.lit(pattern), F.lit(0))))
+    return F.array_sort(F.array_distinct(terms_found(folded_text, terms or SKILL_TERMS)))
 
 
 def visa(folded_text: Column) -> Column:
     """False for a refusal to sponsor, true for an offer, NULL when silent."""
-    told = F.when(folded_text.rlike(VISA_NO), False).when(folded_text.rlike(VISA_YES), True)
-    return F.when(folded_text.contains("sponsor"), told)  # every wording has the word; most texts do not
+    told = F.when(folded_text.rlike(VISA_NO_NEAR) & folded_text.rlike(VISA_NO), False).when(folded_text.rlike(_starting("vwsho", VISA_YES)), True)
+    return F.when(_hinted(folded_text, VISA_HINTS), told)
 
 
 def clearance(folded_text: Column) -> Column:
@@ -407,7 +437,7 @@ def clearance(folded_text: Column) -> Column:
 def degree(folded_text: Column) -> Column:
     out = None
     for level, pattern in DEGREE_RULES:
-        hit = _holds(folded_text, DEGREE_HINTS[level], pattern) if level in DEGREE_HINTS else folded_text.rlike(DEGREE_STARTS.get(level, "") + pattern)
+        hit = _holds(folded_text, DEGREE_HINTS[level], pattern) if level in DEGREE_HINTS else folded_text.rlike(_starting(DEGREE_STARTS[level], pattern))
         out = F.when(hit, level) if out is None else out.when(hit, level)
     return out
 
@@ -425,8 +455,7 @@ def signals_in(folded_text: Column) -> Column:
 def read_text(description: Column) -> Column:
     """struct(signals, years): ``signals`` and the ``strictest_years`` of ``years_claims``, with the text folded once for both."""
     def read(lines: Column) -> Column:
-        claims = F.when(speaks_of_years(description), claims_in_lines(lines)).otherwise(F.array().cast(CLAIMS))
-        return F.struct(let(unlined(lines, description), signals_in).alias("signals"), strictest_years(claims).alias("years"))
+        return F.struct(let(unlined(lines, description), signals_in).alias("signals"), strictest_years(claims_in_lines(lines)).alias("years"))
 
     return let(fold_lines(description), read)
 

@@ -151,3 +151,51 @@ def test_workplace(spark, raw, remote, hint, metros, want):
     got = run(spark, [(raw, remote, hint, metros)], "a string, b boolean, c boolean, d array<string>",
               D.workplace(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
     assert got[0].value == want
+
+
+FAR = "We care about people. " * 30
+NEAR_YEARS = [
+    FAR + "\n\n• 5+ years in sales.\n" + FAR + "At least two years of relevant experience. " + FAR,
+    "• " + "o" * 700 + " 5 years", "x" + "•" * 700 + " 5 years", "x\n" + "•" * 700 + " 5 years", "5 years ago. " + "•" * 700 + " 6 years",
+    "5 years ago.\n" + "o " * 400 + "6 years", "5 years ago. x\n" + "- " * 400 + "\u0085 6 years", "experience " + "•" * 60 + "5 years" + "•" * 62 + " experience" + "•" * 700,
+    "3 years" + "•" * 68 + "experience " + "- " * 300, "3 years" + "z" * 75 + "experience " + "- " * 300, "12 \u00fdears of experience", "12 y\u0301ears of experience",
+    "minimum of\n\ntwelve\n\n+\n\nto\n\n15\n\n+\n\n+\n\nyears" + FAR + "experience", FAR + "99 yrs.experience " + FAR + " one yoe, 2yrs, 3 years 4 years " + FAR + "proven 7 years\n" + FAR,
+]
+
+
+def test_years_are_read_near_their_words(spark, monkeypatch):
+    """Claims of a text without its far parts are those of the whole text, and the far parts do go."""
+    texts = NEAR_YEARS + [a + FAR + b for a, _ in YEARS for b, _ in YEARS if a and b]
+    near = run(spark, texts, "s string", D.years_claims(F.col("s")))
+    left = run(spark, [NEAR_YEARS[0]], "s string", F.length(D.around_years(F.split(T.fold_lines(F.col("s")), D.YEARS_NEAR, -1))))
+    assert left[0] < 1200 < len(NEAR_YEARS[0])
+    monkeypatch.setattr(D, "around_years", lambda pieces: F.array_join(pieces, "y"))
+    assert near == run(spark, texts, "s string", D.years_claims(F.col("s")))
+    assert [len(c) for c in near[10:12]] == [1, 1] and len(near[0]) == 2
+
+
+def test_terms_found_as_by_one_pattern(spark):
+    """The tree of terms finds what the alternation finds, at the edges of words and texts too."""
+    texts = ["python", "java,javascript/java", "c++", "c++java", "c++,c#|.net", "x.net (.net", "react native reactnative react", "aws certified,aws", "node.js.next.js", "ci/cd/ci", "a\U0001f600sql\U0001f600",
+             "r sql5 5sql sql", "series 7.", " sql", "sql ", "", "rest api;rest apis", "c+++", "soc 2type", "excel\nexcel"]
+    whole = F.regexp_extract_all(F.col("s"), F.lit(T.terms_pattern(D.SKILL_TERMS)), F.lit(0))
+    assert run(spark, texts, "s string", T.terms_found(F.col("s"), D.SKILL_TERMS)) == run(spark, texts, "s string", whole)
+    odd = ["a/", ".net", "net", "r&d", "c++", "+", "ørsted", "a b", "a"]
+    texts = ["a/.net", "a b/a/ .net net", "r&d,c++ + ørsted", "+c++", "a b a ba"]
+    for terms in (odd, odd[1:]):
+        whole = F.regexp_extract_all(F.col("s"), F.lit(T.terms_pattern(terms)), F.lit(0))
+        assert run(spark, texts, "s string", T.terms_found(F.col("s"), terms)) == run(spark, texts, "s string", whole)
+    assert run(spark, texts, "s string", T.terms_found(F.col("s"), [])) == [[]] * len(texts)
+
+
+def test_wordings_are_tried_where_they_can_start(spark):
+    """Degree and visa patterns behind their cheaper tests hit what the plain patterns hit; a transfer alone is an offer."""
+    texts = ["m.s. b.a", "ms", "ams", "mba.", "four-year degree", "afour year degree", "b.sc", "bs", "master's", "an mba", "undergraduate degrees", "undergraduate degree",
+             "h1b transfer", "h-1b sponsor", "we do sponsor", "awe sponsor", "open to sponsor", "no visa or other sponsor", "no. sponsor", "not " + "x" * 39 + " sponsor", "not " + "x" * 38 + " sponsor",
+             "not " + "\U0001f600" * 39 + " sponsor", "not " + "\U0001f600" * 38 + " sponsor", "nosponsor", "no sponsor of some\nbut not here", ""]
+    s = F.col("s")
+    for level, pattern in D.DEGREE_RULES:
+        if level in D.DEGREE_STARTS:
+            assert run(spark, texts, "s string", s.rlike(D._starting(D.DEGREE_STARTS[level], pattern))) == run(spark, texts, "s string", s.rlike(pattern))
+    assert run(spark, texts, "s string", D.visa(s)) == run(spark, texts, "s string", F.when(s.rlike(D.VISA_NO), False).when(s.rlike(D.VISA_YES), True))
+    assert run(spark, ["h1b transfer available"], "s string", D.visa(s)) == [True]
